@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, packing, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_quality_rules": quality.op1,
         "op4_feistel_sharding": sharding.op4,
         "op5_subset_sum_mix": mixing.op5,
+        "op6_best_fit_packing": packing.op6,
+        "op7_viterbi_token_counts": token_counts.op7,
+        "op10_secret_scan": secrets.op10,
     }
 
 
