@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, packing, quality, secrets, sharding, token_counts
+from . import embedding_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1,
         "op2_subspace_pigeonhole": embedding_dedup.op2,
+        "op3_prob_minhash": minhash_dedup.op3,
         "op4_feistel_sharding": sharding.op4,
         "op5_subset_sum_mix": mixing.op5,
         "op6_best_fit_packing": packing.op6,
