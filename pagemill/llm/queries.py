@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, token_counts
+from . import embedding_dedup, line_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_subset_sum_mix": mixing.op5,
         "op6_best_fit_packing": packing.op6,
         "op7_viterbi_token_counts": token_counts.op7,
+        "op8_line_templates": line_dedup.op8,
         "op10_secret_scan": secrets.op10,
     }
 
