@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, line_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, token_counts
+from . import embedding_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_best_fit_packing": packing.op6,
         "op7_viterbi_token_counts": token_counts.op7,
         "op8_line_templates": line_dedup.op8,
+        "op9_block_lstm_text": html_text.op9,
         "op10_secret_scan": secrets.op10,
     }
 
