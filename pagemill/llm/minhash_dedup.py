@@ -219,3 +219,16 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, tex
 
 def op3(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """docs with one row of each component; rows without doc_id stay."""
+    marks = near_duplicates(docs, text=text, **how).filter("doc_id is not null")
+    marks = marks.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
+    marks = written(marks.filter("not kept or rows > 1"), "gone")
+    few = marks.count() <= 1_000_000  # 16 bytes a row; beyond that both sides are shuffled
+    marks = marks.select(F.col("doc_id").alias("_id"), "kept", "rows")
+    joined = docs.join(F.broadcast(marks) if few else marks, docs["doc_id"] == F.col("_id"), "left")
+    once = joined.filter("_id is null").select(*docs.columns)
+    repeated = joined.filter("kept").groupBy("_id").agg(*[F.first(c).alias(f"_f_{c}") for c in docs.columns])
+    return once.unionByName(repeated.select(*[F.col(f"_f_{c}").alias(c) for c in docs.columns]))

@@ -89,18 +89,19 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     space, symbols = " \t\n\x0b\x0c\r", "#*$%&|<>"
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, space, "")) > 0)
     out = docs.withColumns({"_w": words(F.col(text)), "_lines": lines})
-    out = out.withColumns(
-        {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate(t, space, "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, symbols, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_repeat_words": F.coalesce(_repeat_words("_w"), F.lit(0)).cast("long"),
-            "n_stop_words": F.size(F.filter("_w", lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"),
-        }
-    )
-    return out.drop("_w", "_lines").withColumns(
+    counts = {
+        "n_words": F.size("_w").cast("long"),
+        "word_chars": F.length(F.translate(t, space, "")).cast("long"),
+        "n_symbols": (F.length(t) - F.length(F.translate(t, symbols, ""))).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_repeat_words": F.coalesce(_repeat_words("_w"), F.lit(0)).cast("long"),
+        "n_stop_words": F.size(F.filter("_w", lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"),
+    }
+    # an explode of one row bars a filter on the result from being pushed below, where it would repeat the counts
+    one = F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts.items()])))
+    out = out.select(*[c for c in docs.columns if c not in counts], one.alias("_m")).select("*", "_m.*").drop("_m")
+    return out.withColumns(
         {
             "repeat_ratio": _ratio(F.col("n_repeat_words"), F.col("n_words")),
             "symbol_ratio": _ratio(F.col("n_symbols"), F.col("n_words")),
