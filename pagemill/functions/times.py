@@ -31,7 +31,7 @@ FORMATS = (
     "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d", "yyyy.M.d H:m:s", "yyyy.M.d H:m", "yyyy.M.d",
     "yyyy年M月d日 H:m:s", "yyyy年M月d日H:m:s", "yyyy年M月d日 H:m", "yyyy年M月d日H:m", "yyyy年M月d日", "yyyy-M-d'T'H:m:s", "yyyyMMdd",
     "d MMM yyyy H:m:s", "d MMM yyyy H:m", "d MMM yyyy", "MMM d yyyy H:m:s", "MMM d yyyy H:m", "MMM d yyyy",
-    "d MMMM yyyy H:m:s", "d MMMM yyyy", "MMMM d yyyy H:m:s", "MMMM d yyyy", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy",
+    "d MMMM yyyy H:m:s", "d MMMM yyyy", "MMMM d yyyy H:m:s", "MMMM d yyyy H:m", "d MMMM yyyy H:m", "MMMM d yyyy", "M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy",
 )
 
 

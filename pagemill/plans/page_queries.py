@@ -1 +1,564 @@
-"""Queries of the page operators."""
+"""Queries of the page operators: trees, content, links, news, sites, crawls, streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import times
+from ..functions.lang import lang_html, lang_page
+from ..functions.text import limited, normalise_space, remove_lines, trimmed
+from ..functions.titles import web_title
+from ..operators import cepf, crawl, dom, links, news, ngram, page, sites
+from ..streaming import pages as streaming
+from .catalog import pick, query, sql_pick, sql_text, table
+from .text_queries import KIND_SQL, PATHS, edge, part, resolve, space, sql_dir, sql_path
+
+AS_OF = "2026-01-15 12:00:00"
+
+
+def decoded(c: str) -> str:
+    """Character references that occur in the corpus."""
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;?", '"'), ("&amp;?", "&")):
+        c = f"regexp_replace({c}, '{name}', '{char}', 'g')"
+    return c
+
+
+TITLE = decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+LANG = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
+BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->|</body>|</html>', '', 'g')"
+ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1)"
+
+
+@query("html_parse")
+def _(spark, d):
+    n = dom.html_nodes(table(spark, d, "pages"))
+    return n.select("page_id", "pre", "end", "parent", "depth", "tag", F.octet_length("text").alias("n_bytes"))
+
+
+def counts(tags: tuple[str, ...]) -> str:
+    each = [f"(SELECT page_id, '{t}' AS tag, len(regexp_extract_all(html, '<{t}[ >]')) AS n FROM pages)" for t in tags]
+    return "SELECT * FROM (" + " UNION ALL ".join(each) + ") WHERE n > 0"
+
+
+KEPT = ("a", "article", "div", "footer", "h1", "li", "nav", "p", "ul", "title", "meta")
+
+
+@query("strip_tags_site", counts(KEPT))
+def _(spark, d):
+    n = dom.html_nodes(table(spark, d, "pages"), dom.SITE_STRIP).filter(~F.col("tag").isin("#text", "html", "head", "body", "b"))
+    return n.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("strip_tags_content", counts(KEPT))
+def _(spark, d):
+    n = dom.html_nodes(table(spark, d, "pages"), dom.CONTENT_STRIP).filter(~F.col("tag").isin("#text", "html", "head", "body", "b"))
+    return n.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("select_first_attr", "SELECT page_id, regexp_extract(html, '<a href=\"([^\"]*)\"', 1) AS href FROM pages")
+def _(spark, d):
+    n = dom.html_nodes(table(spark, d, "pages")).filter((F.col("tag") == "a") & F.map_contains_key("attrs", "href"))
+    return n.groupBy("page_id").agg(F.min_by(F.try_element_at("attrs", F.lit("href")), "pre").alias("href"))
+
+
+@query("body_text", f"SELECT page_id, {decoded(f'''regexp_replace({BODY}, '<[^>]*>', '', 'g')''')} AS text FROM pages")
+def _(spark, d):
+    return page.page_features(table(spark, d, "pages"), "body_text").select("page_id", F.col("body_text").alias("text"))
+
+
+@query("normalise_text", f"SELECT page_id, array_to_string(list_transform(regexp_split_to_array({BODY}, '<[^>]*>'), lambda x: {space(decoded('x'))}), '') AS text FROM pages")
+def _(spark, d):
+    n = dom.html_nodes(table(spark, d, "pages"), dom.SITE_STRIP)
+    body = n.filter("tag = 'body'").groupBy("page_id").agg(F.min(F.struct("pre", "end")).alias("b"))
+    inside = n.filter("tag = '#text'").join(body, "page_id").filter("pre between b.pre and b.end")
+    text = F.collect_list(F.struct("pre", normalise_space(F.col("text")).alias("t")))
+    return inside.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(text), lambda x: x["t"]), "").alias("text"))
+
+
+LINED = f"""WITH a AS (SELECT page_id, string_split(replace(regexp_replace({ARTICLE}, '</?(b|h1)>|<br>', '', 'g'), '</p>', chr(10)), '<p>') AS c FROM pages),
+    t AS (SELECT page_id, c[1] || array_to_string(c[2:len(c)], chr(10)) AS t FROM a)
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split({decoded('t')}, chr(10)), lambda x: {space('x')}), lambda x: x <> ''), chr(10)) AS text FROM t"""
+
+
+@query("format_content", LINED)
+def _(spark, d):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for h in batch.column(1).to_pylist():
+                found = next((n for n in dom.strip(dom.parse(h or ""), dom.CONTENT_STRIP).walk() if n.tag == "article"), None)
+                out.append(page.content_of(found) if found is not None else "")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["page_id", "text"])
+
+    return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "page_id long, text string")
+
+
+@query("sanitize_html")
+def _(spark, d):
+    return page.page_features(table(spark, d, "pages"), "content_html").select("page_id", "content_html")
+
+
+@query("web_title", f"SELECT page_id, left({edge(f'''regexp_replace({TITLE}, '[\\r\\n]', '', 'g')''')}, 128) AS title FROM pages")
+def _(spark, d):
+    return page.page_features(table(spark, d, "pages"), "title").select("page_id", web_title(F.col("title")).alias("title"))
+
+
+METAS = ["", '<meta name="keywords" content=" a, b&amp;c ">', '<META NAME=Keywords CONTENT="x">', '<meta name="description" content="long text">']
+
+
+@query("web_keywords", f"SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'a, b&c' WHEN 2 THEN 'x' ELSE '' END AS keywords FROM pages")
+def _(spark, d):
+    p = table(spark, d, "pages").withColumn("html", F.concat(pick("page_id", METAS), "html"))
+    return page.page_features(p, "keywords").select("page_id", trimmed(remove_lines(F.col("keywords"))).alias("keywords"))
+
+
+@query("web_description", f"SELECT page_id, left({edge(f'''regexp_replace({TITLE}, '[\\r\\n]', '', 'g')''')}, 20) AS description FROM pages")
+def _(spark, d):
+    p = table(spark, d, "pages").withColumn("html", F.regexp_replace("html", "(?s)<title>(.*?)</title>", "<title>x</title><meta name=\"description\" content='$1'>"))
+    return page.page_features(p, "description").select("page_id", limited(trimmed(remove_lines(F.col("description"))), 384, 20).alias("description"))
+
+
+REFRESH = ["", '<meta http-equiv="refresh" content="0; url=https://b.example.com/x">', "<meta http-equiv=Refresh content='5;URL=/home'>", '<meta http-equiv="refresh" content="30">']
+
+
+@query("meta_refresh", "SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'https://b.example.com/x' WHEN 2 THEN '/home' ELSE '' END AS target FROM pages")
+def _(spark, d):
+    p = table(spark, d, "pages").withColumn("html", F.concat(pick("page_id", REFRESH), "html"))
+    return page.page_features(p, "refresh").select("page_id", sites.meta_refresh(F.col("refresh")).alias("target"))
+
+
+# languages of pages
+
+
+@query("lang_page", f"SELECT page_id, CASE WHEN {LANG} <> 'en' THEN {LANG} ELSE '' END AS lang, CASE WHEN {LANG} <> 'en' THEN 'html' ELSE '' END AS lang_pos FROM pages")
+def _(spark, d):
+    return sites.with_lang(page.page_features(table(spark, d, "pages"), *sites.LANGS)).select("page_id", "lang", "lang_pos")
+
+
+@query("lang_body_text", f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS a FROM pages)
+    SELECT page_id, CASE WHEN len(a) >= 16 THEN {decoded("array_to_string(a[1:64], '')")} ELSE '' END AS text FROM l""")
+def _(spark, d):
+    return page.page_features(table(spark, d, "pages"), "list_text").select("page_id", F.col("list_text").alias("text"))
+
+
+GRAMS = f"""WITH t AS (SELECT doc_id, lang, lower(trim(left(regexp_replace(replace(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), chr(9), ''), '  ', ''), '[\\pP\\pS]', '', 'g'), 2048))) AS t FROM documents),
+    g AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram FROM t WHERE length(t) >= 3),
+    c0 AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
+    c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c0),
+    m0 AS (SELECT lang, gram, n, sum(n) OVER (PARTITION BY lang) AS total FROM c WHERE r <= {ngram.GRAMS}),
+    m AS (SELECT lang, gram, ln((n + 1) / (total + {ngram.GRAMS})) AS gain, ln(1 / (total + {ngram.GRAMS})) AS unseen FROM m0),
+    b AS (SELECT lang, any_value(unseen) AS unseen FROM m GROUP BY lang),
+    dg AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), sz AS (SELECT doc_id, sum(n) AS alln FROM dg GROUP BY ALL),
+    h AS (SELECT doc_id, m.lang, sum(n * (gain - unseen)) AS s FROM dg JOIN m USING (gram) GROUP BY ALL),
+    sc AS (SELECT doc_id, h.lang, round(s + alln * unseen, 6) AS score FROM h JOIN sz USING (doc_id) JOIN b ON b.lang = h.lang)
+    SELECT doc_id, arg_max(lang, score) AS lang FROM sc GROUP BY doc_id"""
+
+
+@query("lang_ngram", GRAMS)
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return ngram.lang_ngram(docs, ngram.train(docs), "doc_id")
+
+
+# links
+
+ANCHOR = """a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS t,
+    unnest(range(len(regexp_extract_all(html, '<a href=')))) AS pos FROM pages)"""
+LINKS = f"""WITH {ANCHOR}, b AS (SELECT page_id, base, pos, {edge(decoded('h'))} AS href, {space(decoded('t'))} AS title FROM a),
+    c AS (SELECT page_id, base, href, arg_max(title, strlen(title) * 100000 - pos) AS title FROM b WHERE href <> '' AND title <> '' GROUP BY ALL),
+    e AS (SELECT *, regexp_matches(href, '[{{}}\\[\\]@$<>"]') AS bad FROM c),
+    f AS (SELECT page_id, base, title, bad, CASE WHEN bad THEN href ELSE {resolve('href', 'base')} END AS url FROM e),
+    g AS (SELECT page_id, base, url, CASE WHEN bad THEN 'invalid url with illegal characters' END AS reason, title FROM f),
+    w AS (SELECT page_id, base, url, reason, arg_max(title, strlen(title)) AS title FROM g GROUP BY ALL)"""
+
+
+def found_links(spark, d):
+    return links.web_links(page.page_features(table(spark, d, "pages"), "links"))
+
+
+@query("web_links", f"{LINKS} SELECT page_id, base, url, title, reason FROM w")
+def _(spark, d):
+    return found_links(spark, d)
+
+
+TYPED = f"""{LINKS}, l AS (SELECT w.page_id, w.url AS u, title AS t, CASE WHEN {LANG} <> 'en' THEN {LANG} ELSE '' END AS l FROM w JOIN pages USING (page_id) WHERE reason IS NULL),
+    k AS (SELECT page_id, u, t, CASE WHEN l IN ('fr', 'de', 'es') THEN (CASE WHEN {sql_path('u')} IN ('', '/') THEN 'NONE' WHEN NOT regexp_matches(regexp_replace(t, '\\pP', '', 'g'), '[a-zA-Z]') THEN 'NONE'
+      WHEN len(list_filter(string_split(regexp_replace(t, '\\pP', '', 'g'), ' '), lambda x: trim(x) <> '')) >= 5 THEN 'CONTENT' ELSE 'LIST' END) ELSE {KIND_SQL} END AS kind FROM l)"""
+
+
+def typed(spark, d, rules=None):
+    f = sites.with_lang(page.page_features(table(spark, d, "pages"), *sites.LANGS, "links"))
+    found = links.web_links(f).filter("reason is null").join(f.select("page_id", "lang"), "page_id")
+    return links.link_types(found.select("page_id", "url", "title", "lang"), rules)
+
+
+@query("link_types", f"{TYPED} SELECT page_id, u AS url, t AS title, kind FROM k")
+def _(spark, d):
+    return typed(spark, d).select("page_id", "url", "title", "kind")
+
+
+@query("link_counts", f"{TYPED} SELECT page_id, count(*) FILTER (kind = 'CONTENT') AS content_count, count(*) FILTER (kind = 'LIST') AS list_count FROM k GROUP BY page_id")
+def _(spark, d):
+    return links.link_counts(typed(spark, d))
+
+
+RULES = [("ththre.example.com", "/th[a-z]+$"), ("example.com", "/(the|and)$"), ("example.org", "[0-9]"), ("example.net", "/la$"), ("example.net", "/o[nf]$")]
+RULES_SQL = ", ".join(f"('{h}', '{r}')" for h, r in RULES)
+
+
+@query("link_by_regex", f"""{LINKS}, r(host, re) AS (VALUES {RULES_SQL}), x AS (SELECT page_id, url, {part('url', 2)} AS h FROM w WHERE reason IS NULL)
+    SELECT page_id, url, CASE WHEN EXISTS (SELECT 1 FROM r WHERE host = h) THEN EXISTS (SELECT 1 FROM r WHERE host = h AND regexp_matches(url, re))
+      ELSE EXISTS (SELECT 1 FROM r WHERE host = regexp_extract(h, '([^.]+\\.[^.]+)$', 1) AND regexp_matches(url, re)) END AS by_rule FROM x""")
+def _(spark, d):
+    found = found_links(spark, d).filter("reason is null").select("page_id", "url")
+    return links.link_by_regex(found, spark.createDataFrame(RULES, "host string, regex string"))
+
+
+@query("link_subdomains", f"{LINKS}, x AS (SELECT DISTINCT page_id, {part('url', 2)} AS subdomain FROM w WHERE reason IS NULL) SELECT * FROM x WHERE subdomain <> regexp_extract(subdomain, '([^.]+\\.[^.]+)$', 1)")
+def _(spark, d):
+    return links.subdomains(found_links(spark, d).filter("reason is null"))
+
+
+#: Twelve links a page whose paths and titles vary with the page.
+WHERE = ["/2024/05/17/a.html", "/news/2023-11/b.html", "/sport/x.html", "/sport/y.html", "/c/d/e.html", "/2031/1/9/f.html", "/f.html", "/index.php", "/sport/2022/0101/g.html", "/about"]
+ANCHORS = ["中央经济工作会议今天在北京举行", "要闻", "国务院办公厅新", "体育频道今天的全部比赛结果", "x", "中国足球队昨天赢了比赛！", "国家统计局发"]
+SEEDED = f"""u AS (SELECT page_id, j, 'https://s' || (page_id % 3) || '.example.com' || {sql_pick('((page_id % 7 + 1) * j + page_id % 4)', WHERE)} || '?' || j AS u,
+    CASE WHEN page_id % 5 = 0 THEN {sql_pick('0 * j', ANCHORS)} ELSE {sql_pick('(page_id * 3 + j * j)', ANCHORS)} END AS t, 'zh' AS l FROM pages, (SELECT unnest(range(12)) AS j) y),
+    k AS (SELECT page_id, u, t, {KIND_SQL} AS kind FROM u),
+    s AS (SELECT *, list_filter(string_split({sql_dir(sql_path('u'))}, '/'), lambda x: trim(x) <> '')[1] AS seg, regexp_matches(translate({sql_dir(sql_path('u'))}, '.-_', ''), '20[23][0-9]/?(0[1-9]|1[0-2]|[1-9])/?(0[1-9]|[12][0-9]|3[01]|[1-9])?') AS dated FROM k)"""
+
+
+def seeded(spark, d):
+    j = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j")
+    x = table(spark, d, "pages").select("page_id", j)
+    at = lambda e, vs: F.get(F.array(*[F.lit(v) for v in vs]), (e % len(vs)).cast("int"))
+    p = F.col("page_id")
+    url = F.concat(F.lit("https://s"), (p % 3).cast("string"), F.lit(".example.com"), at((p % 7 + 1) * F.col("j") + p % 4, WHERE), F.lit("?"), F.col("j").cast("string"))
+    title = F.when(p % 5 == 0, ANCHORS[0]).otherwise(at(p * 3 + F.col("j") * F.col("j"), ANCHORS))
+    x = x.select("page_id", url.alias("url"), title.alias("title"), F.lit("zh").alias("lang"))
+    return x.withColumn("kind", links.link_by_title(F.col("url"), F.col("title"), F.col("lang")))
+
+
+@query("link_path_stats", f"""WITH {SEEDED}, c AS (SELECT page_id, count(*) AS content, count(*) FILTER (dated) AS dated FROM s WHERE kind = 'CONTENT' GROUP BY page_id),
+    g AS (SELECT page_id, seg, count(*) AS n FROM s WHERE kind = 'CONTENT' AND seg IS NOT NULL GROUP BY ALL),
+    t AS (SELECT page_id, list(seg ORDER BY seg) AS tops FROM g JOIN c USING (page_id) WHERE n > 1 AND n / content > 0.4::DOUBLE AND content >= 8 GROUP BY page_id)
+    SELECT page_id, content, c.dated, coalesce(array_to_string(tops, ','), '') AS top_paths FROM c LEFT JOIN t USING (page_id)""")
+def _(spark, d):
+    return links.link_path_stats(seeded(spark, d)).withColumn("top_paths", F.array_join("top_paths", ","))
+
+
+@query("link_path_process", f"""WITH {SEEDED}, c AS (SELECT page_id, count(*) FILTER (kind = 'CONTENT') AS content, count(*) FILTER (kind = 'CONTENT' AND dated) AS dates FROM s GROUP BY page_id),
+    g AS (SELECT page_id, seg, count(*) AS n FROM s WHERE kind = 'CONTENT' AND seg IS NOT NULL GROUP BY ALL),
+    t AS (SELECT page_id, seg FROM g JOIN c USING (page_id) WHERE n > 1 AND n / content > 0.4::DOUBLE AND content >= 8),
+    x AS (SELECT s.*, content, content > 0 AND dates / nullif(content, 0) > 0.7::DOUBLE AS pub, EXISTS (SELECT 1 FROM t WHERE t.page_id = s.page_id) AS tops, EXISTS (SELECT 1 FROM t WHERE t.page_id = s.page_id AND t.seg = s.seg) AS top FROM s JOIN c USING (page_id)),
+    y AS (SELECT *, CASE WHEN pub THEN CASE WHEN kind = 'LIST' AND dated AND length(t) >= 2 THEN 'CONTENT' WHEN kind = 'UNKNOWN' THEN CASE WHEN dated AND length(t) >= 2 THEN 'CONTENT' ELSE 'LIST' END ELSE kind END
+      WHEN tops AND kind = 'UNKNOWN' AND seg IS NOT NULL THEN CASE WHEN top AND length(t) >= 2 THEN 'CONTENT' ELSE 'LIST' END ELSE kind END AS k2 FROM x)
+    SELECT page_id, u AS url, CASE WHEN k2 = 'CONTENT' AND content > 0 AND (pub OR tops) AND seg IS NULL THEN 'UNKNOWN' ELSE k2 END AS kind FROM y""")
+def _(spark, d):
+    return links.link_path_process(seeded(spark, d)).select("page_id", "url", "kind")
+
+
+#: Front pages of the next page's site as outgoing links.
+FRIEND = ["", "/", "/index.html", "/x", "/index.shtml"]
+FRIENDS = f"""SELECT page_id, domain, title FROM (SELECT a.page_id, regexp_extract({part('b.url', 2)}, '([^.]+\\.[^.]+)$', 1) AS domain, 'Friend ' || b.page_id AS title, a.page_id % 5 AS k, regexp_extract({part('a.url', 2)}, '([^.]+\\.[^.]+)$', 1) AS own
+    FROM pages a JOIN pages b ON b.page_id = a.page_id + 1) WHERE k <> 3 AND domain <> own"""
+
+
+@query("friend_domains", FRIENDS)
+def _(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    n = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("other"))
+    href = F.concat(F.regexp_extract("other", "^(https?://[^/]*)", 1), pick("page_id", FRIEND))
+    title = F.concat(F.lit("Friend "), (F.col("page_id") + 1).cast("string"))
+    made = p.join(n, "page_id").select("page_id", "url", F.array(F.struct(F.lit(0).alias("pos"), href.alias("href"), title.alias("title"))).alias("links"))
+    return links.friend_domains(made)
+
+
+@query("get_link_data", f"{TYPED} SELECT page_id, u AS url, t AS title, kind, CAST(NULL AS VARCHAR) AS reason FROM k UNION ALL SELECT page_id, url, title, NULL, reason FROM w WHERE reason IS NOT NULL")
+def _(spark, d):
+    return sites.get_link_data(table(spark, d, "pages"))
+
+
+@query("get_subdomains", f"{LINKS}, x AS (SELECT DISTINCT {part('url', 2)} AS subdomain FROM w WHERE reason IS NULL) SELECT * FROM x WHERE subdomain <> regexp_extract(subdomain, '([^.]+\\.[^.]+)$', 1)")
+def _(spark, d):
+    return links.subdomains(found_links(spark, d).filter("reason is null")).select("subdomain").distinct()
+
+
+@query("icp_doc", f"SELECT page_id, '粤ICP备' || page_id AS icp, '粤' AS province_short FROM pages")
+def _(spark, d):
+    from ..functions.registration import icp_doc
+
+    p = table(spark, d, "pages").withColumn("html", F.concat("html", F.lit("<p>粤 ICP\n备"), F.col("page_id").cast("string"), F.lit("号</p>")))
+    return page.page_features(p, "body_text").select("page_id", icp_doc(F.col("body_text")).alias("i")).select("page_id", "i.*")
+
+
+DETECTED = f"""{TYPED}, n AS (SELECT page_id, count(*) FILTER (kind = 'CONTENT') AS content_count, count(*) FILTER (kind = 'LIST') AS list_count FROM k GROUP BY page_id),
+    s AS (SELECT page_id, list(DISTINCT {part('url', 2)}) AS subs FROM w WHERE reason IS NULL AND {part('url', 2)} <> regexp_extract({part('url', 2)}, '([^.]+\\.[^.]+)$', 1) GROUP BY page_id)
+    SELECT page_id, regexp_extract({part('url', 2)}, '([^.]+\\.[^.]+)$', 1) AS domain, {part('url', 2)} AS home_host, {part('url', 1)} AS scheme, CASE WHEN {LANG} <> 'en' THEN {LANG} ELSE '' END AS lang,
+    '' AS country, '' AS icp, coalesce(content_count, 0) AS content_count, coalesce(list_count, 0) AS list_count, coalesce(array_to_string(subs, ','), '') AS subdomains, '' AS error
+    FROM pages LEFT JOIN n USING (page_id) LEFT JOIN s USING (page_id)"""
+
+
+@query("detect_domain", DETECTED)
+def _(spark, d):
+    x = sites.detect_domain(table(spark, d, "pages")).withColumn("subdomains", F.array_join("subdomains", ","))
+    return x.select("page_id", "domain", "home_host", "scheme", "lang", "country", "icp", "content_count", "list_count", "subdomains", "error")
+
+
+HOSTED = ["a.example.com", "", "b.example.com"]
+JUMPS = ["", "x.example.org", "c.example.com"]
+ASKED = ["a.example.com", "b.example.com"]
+
+
+@query("domain_error_codes", f"""WITH x AS (SELECT page_id, {sql_pick('page_id', HOSTED)} AS h, {sql_pick('(page_id // 3)', JUMPS)} AS j, {sql_pick('(page_id // 9)', ASKED)} AS r, page_id % 11 = 5 AS f FROM pages)
+    SELECT page_id, CASE WHEN f THEN 'ErrorDomainDetect' WHEN h = '' THEN 'ErrorRedirectHost' WHEN r <> h THEN 'ErrorRedirect:' || h WHEN j <> '' AND regexp_extract(j, '([^.]+\\.[^.]+)$', 1) <> 'example.com' THEN 'ErrorMetaJump:' || regexp_extract(j, '([^.]+\\.[^.]+)$', 1) ELSE '' END AS error FROM x""")
+def _(spark, d):
+    nth = lambda n, vs: F.get(F.array(*[F.lit(v) for v in vs]), ((F.col("page_id") / n).cast("int") % len(vs)))
+    jump = nth(3, JUMPS)
+    top = F.regexp_extract(jump, "([^.]+\\.[^.]+)$", 1)
+    return table(spark, d, "pages").select("page_id", sites.domain_errors(pick("page_id", HOSTED), nth(9, ASKED), jump, top, F.lit("example.com"), F.col("page_id") % 11 == 5).alias("error"))
+
+
+# content
+
+
+def measured(spark, d):
+    n = dom.html_nodes(table(spark, d, "pages"), dom.CONTENT_STRIP)
+    return n, cepf.node_stats(n)
+
+
+@query("node_stats")
+def _(spark, d):
+    return measured(spark, d)[1].select("page_id", "pre", "tag", "text", "link_text", "tags", "link_tags", "p", F.round("density_sum", 6).alias("density_sum"), F.round("score", 6).alias("score"))
+
+
+@query("leaf_variance", "SELECT page_id, round(CASE WHEN len(x) = 0 THEN 0.0 WHEN len(x) = 1 THEN x[1] / 2 ELSE list_var_pop(x) END, 6) AS v FROM (SELECT page_id, list_transform(range(page_id % 6), lambda i: (page_id * (i + 1)) % 97) AS x FROM pages)")
+def _(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.transform(F.sequence(F.lit(0), (F.col("page_id") % 6).cast("int")), lambda i: (F.col("page_id") * (i + 1)) % 97).alias("y"))
+    p = p.withColumn("x", F.slice("y", F.lit(1), F.size("y") - 1))
+    add = lambda f: F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + f(v))
+    v = cepf.leaf_variance(F.size("x"), add(lambda v: v), add(lambda v: v * v))
+    return p.select("page_id", F.round(v, 6).alias("v"))
+
+
+@query("node_score", "SELECT page_id, round(ln(sqrt(page_id % 50 + 1)) * (page_id % 7) * ln(page_id % 300 + 1.0) * log10(page_id % 9 + 1.0), 6) AS score FROM pages")
+def _(spark, d):
+    p = F.col("page_id")
+    return table(spark, d, "pages").select("page_id", F.round(cepf.node_score((p % 50).cast("double"), (p % 7).cast("double"), p % 300, p % 9), 6).alias("score"))
+
+
+@query("content_node")
+def _(spark, d):
+    n, s = measured(spark, d)
+    return cepf.content_node(s, n).withColumn("score", F.round("score", 6))
+
+
+@query("title_threshold", f"SELECT page_id, CASE WHEN l IN ('en','ru','ar','de','fr','es','pt') THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS least FROM (SELECT page_id, {LANG} AS l FROM pages)")
+def _(spark, d):
+    return page.page_features(table(spark, d, "pages"), "html_lang").select("page_id", news.title_threshold(F.col("html_lang")).alias("least"))
+
+
+@query("extract_news")
+def _(spark, d):
+    return news.extract_news(table(spark, d, "pages"), as_of=F.lit(AS_OF).cast("timestamp"))
+
+
+@query("get_news")
+def _(spark, d):
+    """News of every page after one hop along a refresh to a page of the same registrable domain."""
+    p = table(spark, d, "pages")
+    f = page.page_features(p, "refresh").withColumn("target", sites.meta_refresh(F.col("refresh")))
+    hop = f.filter("target <> ''").select("page_id", "target").join(p.select(F.col("url").alias("target"), F.col("html").alias("other")), "target")
+    p = p.join(hop.select("page_id", "other"), "page_id", "left").select("page_id", "url", F.coalesce("other", "html").alias("html"))
+    return news.extract_news(p, as_of=F.lit(AS_OF).cast("timestamp")).select("page_id", "url", "title", "time", "content", "lang")
+
+
+# titles of pages: each case plants the piece that the step looks for, made of the page's own title
+
+
+def planted(spark, d, head: str = "", body: str = ""):
+    t = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    made = F.concat(F.lit(head.split("{}")[0]), t if "{}" in head else F.lit(""), F.lit(head.split("{}")[-1] if "{}" in head else ""))
+    low = F.concat(F.lit(body.split("{}")[0]), t if "{}" in body else F.lit(""), F.lit(body.split("{}")[-1] if "{}" in body else ""))
+    h = F.concat(F.lit("<html><head><title>"), t, F.lit(" | Site</title>"), made, F.lit("</head><body>"), low, F.lit("</body></html>"))
+    return table(spark, d, "pages").select("page_id", "url", h.alias("html"))
+
+
+CASES = {
+    "title_by_origin": ("", "<h1>Other words altogether</h1><h2>{}</h2><h2>zzz</h2>", lambda: news.title_by_origin(F.col("headings"), F.col("t"), F.lit(0.5))),
+    "title_by_meta": ('<meta property="og:title" content="{}">', "", lambda: news.title_by_meta(F.col("metas"), F.col("t"), F.lit(0.5))),
+    "title_by_heading": ("", "<h1>{}</h1><h2>zzz</h2>", lambda: news.title_by_heading(F.col("headings"), F.col("t"), F.lit(0.5))),
+    "title_by_selector": ("", "<div class=subtitle>zzz</div><div id=title>{}</div>", lambda: news.title_by_selector(F.col("titled"), F.col("t"), F.lit(0.5))),
+}
+for _name, (_head, _body, _expr) in CASES.items():
+
+    @query(_name, f"SELECT page_id, {space(TITLE)} AS title FROM pages")
+    def _(spark, d, head=_head, body=_body, expr=_expr):
+        f = page.page_features(planted(spark, d, head, body), "title", "metas", "headings", "titled")
+        f = f.withColumn("t", normalise_space(F.regexp_replace("title", " \\| Site$", "")))
+        return f.select("page_id", expr().alias("title"))
+
+
+@query("title_by_script", f"SELECT page_id, {space('regexp_extract(html, ' + sql_text('(?s)<title>(.*?)</title>') + ', 1)')} AS title FROM pages")
+def _(spark, d):
+    head = '<script>"title": "zzz"</script><script>x = "title" : "{}"</script>'
+    f = page.page_features(planted(spark, d, head), "title", "scripts")
+    t = normalise_space(F.regexp_replace("title", " \\| Site$", ""))
+    return f.select("page_id", normalise_space(news.title_by_script(F.col("scripts"), t, F.lit(0.3))).alias("title"))
+
+
+# times: dates made of the events' own
+
+FORMS = [("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M"), ("yyyy年MM月dd日", "%Y年%m月%d日"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"), ("yyyy.MM.dd", "%Y.%m.%d")]
+ENGLISH = [("dd MMM yyyy HH:mm:ss", "%d %b %Y %H:%M:%S"), ("MMM dd, yyyy", "%b %d, %Y"), ("dd MMMM yyyy", "%d %B %Y"), ("MMMM dd yyyy HH:mm", "%B %d %Y %H:%M")]
+
+
+def dated(forms):
+    out = F.date_format("ts", forms[-1][0])
+    for k, (f, _) in enumerate(forms[:-1]):
+        out = F.when(F.col("event_id") % len(forms) == k, F.date_format("ts", f)).otherwise(out)
+    return out
+
+
+def sql_dated(forms) -> str:
+    return "CASE " + " ".join(f"WHEN event_id % {len(forms)} = {k} THEN strftime(ts, '{f}')" for k, (_, f) in enumerate(forms)) + " END"
+
+
+def metas(c):
+    return F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit("og:image").alias("property"), F.lit("2019-01-01 00:00:00").alias("content")), F.struct(F.lit(None).cast("string").alias("name"), F.lit("article:published_time").alias("property"), c.alias("content")))
+
+
+
+
+@query("time_by_meta", f"SELECT event_id, {sql_dated(FORMS)} AS time FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", times.time_by_meta(metas(dated(FORMS)), F.lit("en")).alias("time"))
+
+
+@query("time_by_meta_en", f"SELECT event_id, replace({sql_dated(ENGLISH)}, ',', ' ') AS time FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", times.time_by_meta_en(metas(dated(ENGLISH)), F.lit("fr")).alias("time"))
+
+
+@query("time_by_tag", f"SELECT event_id, replace({sql_dated(FORMS + ENGLISH)}, ',', ' ') AS time FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", times.time_by_tag(dated(FORMS + ENGLISH), F.lit("en"))["time"].alias("time"))
+
+
+@query("time_by_script", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time FROM events")
+def _(spark, d):
+    quoted = F.concat(F.lit('x={"pubDate" : "'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('"}'))
+    epoch = F.concat(F.lit('var ct = "'), F.unix_timestamp("ts").cast("string"), F.lit('";'))
+    scripts = F.array(F.lit("a"), F.when(F.col("event_id") % 2 == 0, quoted).otherwise(epoch), F.lit("b"))
+    return table(spark, d, "events").select("event_id", times.time_by_script(scripts).alias("time"))
+
+
+@query("time_by_body", f"SELECT event_id, {sql_dated(FORMS)} AS time FROM events")
+def _(spark, d):
+    text = F.concat(F.lit("Some words "), dated(FORMS), F.lit(" and more"))
+    return table(spark, d, "events").select("event_id", times.time_by_body(text, F.lit("en"), F.lit(""), F.lit(""), F.lit(AS_OF).cast("timestamp")).alias("time"))
+
+
+@query("time_by_lang", f"SELECT event_id, replace({sql_dated(ENGLISH)}, ',', ' ') AS time FROM events")
+def _(spark, d):
+    text = F.concat(F.lit("Some words "), dated(ENGLISH), F.lit(". And more"))
+    return table(spark, d, "events").select("event_id", times.time_by_lang(text, F.lit("en"), F.lit(""), F.lit(""), F.lit(AS_OF).cast("timestamp"))["time"].alias("time"))
+
+
+@query("time_by_url", "SELECT event_id, strftime(ts, '%Y%m%d') AS time FROM events")
+def _(spark, d):
+    day = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy/MM/dd")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    url = F.concat(F.lit("https://a.example.com/news/"), day, F.lit("/x.html"))
+    return table(spark, d, "events").select("event_id", times.time_by_url(url).alias("time"))
+
+
+@query("pick_dates", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%Y-%m-%d') END AS time FROM events")
+def _(spark, d):
+    """Three situations: a clock beats none; the longer one next to the title; the last of dates without a clock."""
+    day, moment = F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    k = F.col("event_id") % 3
+    text = (
+        F.when(k == 0, F.concat(F.lit("2015-01-01 x "), moment))
+        .when(k == 1, F.concat(F.lit("2015-01-01 10:00 far away from what comes here: My title "), moment))
+        .otherwise(F.concat(F.lit("2015-01-01 y "), day, F.lit(" z 2039-01-01")))
+    )
+    e = table(spark, d, "events").select("event_id", text.alias("text"))
+    got = times.pick_dates(F.col("text"), times.every(F.col("text"), times.SHORT), F.lit("My title"), F.lit("headline"), as_of=F.lit(AS_OF).cast("timestamp"))
+    return e.select("event_id", got.alias("time"))
+
+
+@query("format_time", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S+08:00') END AS time FROM events")
+def _(spark, d):
+    k = F.col("event_id") % 4
+    t = (
+        F.when(k == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(k == 1, F.date_format("ts", "yyyy-MM-dd'T' HH:mm:ss'Z'"))
+        .when(k == 2, F.date_format("ts", "yyyy-MM-dd HH:mm'分'"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+08:00'"))
+    )
+    return table(spark, d, "events").select("event_id", times.format_time(t, F.lit(False)).alias("time"))
+
+
+@query("parse_time", f"SELECT event_id, strftime(date_trunc(CASE event_id % 9 WHEN 0 THEN 'second' WHEN 1 THEN 'minute' WHEN 2 THEN 'day' WHEN 3 THEN 'second' WHEN 4 THEN 'day' WHEN 5 THEN 'second' WHEN 6 THEN 'day' WHEN 7 THEN 'day' ELSE 'minute' END, ts), '%Y-%m-%d %H:%M:%S') AS time FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", times.parse_time(F.replace(dated(FORMS + ENGLISH), F.lit(","), F.lit(""))).alias("time"))
+
+
+# crawls
+
+
+def edges(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    to = p.select(F.col("page_id").alias("to"), F.col("url").alias("dst"))
+    e = p.select(F.col("url").alias("src"), F.explode(F.array(F.struct((F.col("page_id") * 2 + 1).alias("to"), F.lit("LIST").alias("kind")), F.struct((F.col("page_id") * 2 + 2).alias("to"), F.lit("LIST").alias("kind")), F.struct((F.col("page_id") * 3 + 1).alias("to"), F.lit("CONTENT").alias("kind")))).alias("e"))
+    return e.select("src", "e.*").join(to, "to").select("src", "dst", "kind")
+
+
+TREE = """WITH RECURSIVE t(id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT p.page_id, t.depth + 1 FROM t JOIN pages p ON p.page_id IN (2 * t.id + 1, 2 * t.id + 2) WHERE t.depth < 5)"""
+
+
+def visited(spark, d):
+    root = table(spark, d, "pages").filter("page_id = 0").select("url")
+    return crawl.crawl_bfs(edges(spark, d), root, crawl.CrawlOptions(depth=6))
+
+
+@query("crawl_bfs", f"{TREE} SELECT url, depth FROM t JOIN pages ON page_id = id")
+def _(spark, d):
+    return visited(spark, d)
+
+
+@query("crawl_content", f"{TREE}, c AS (SELECT p.url, min(depth) AS depth FROM t JOIN pages p ON p.page_id = 3 * t.id + 1 GROUP BY p.url) SELECT url, depth FROM c WHERE url NOT IN (SELECT url FROM t JOIN pages ON page_id = id WHERE t.depth > 0)")
+def _(spark, d):
+    return crawl.crawl_content(edges(spark, d), visited(spark, d))
+
+
+@query("crawl_links", f"{TREE} SELECT a.url AS src, b.url AS dst, depth FROM t JOIN pages a ON a.page_id = t.id JOIN pages b ON b.page_id IN (2 * t.id + 1, 2 * t.id + 2)")
+def _(spark, d):
+    """What a crawl hands to its link sink: the list links of every visited page with its depth."""
+    v = visited(spark, d)
+    return edges(spark, d).filter("kind = 'LIST'").join(v, F.col("src") == F.col("url")).select("src", "dst", "depth")
+
+
+@query("stream_titles", f"SELECT page_id, url, left({edge(f'''regexp_replace({TITLE}, '[\\r\\n]', '', 'g')''')}, 128) AS title FROM pages")
+def _(spark, d):
+    """The streaming form: a folder as a stream, features, each URL once, a batch sink."""
+    base = f"{crawl_dir(spark)}/stream-{uuid.uuid4().hex}"
+    titled = page.page_features(streaming.stream_pages(spark, d, name="pages.parquet"), "title")
+    once = streaming.seen_once(titled.select("page_id", "url", web_title(F.col("title")).alias("title")))
+    streaming.run(once, lambda df, k: df.write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def crawl_dir(spark) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="pagemill-")
+    return named
