@@ -10,24 +10,21 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagemill.llm import line_dedup, minhash_dedup, mixing, packing, quality
-from pagemill.llm.common import WORD, shared_dir
+from pagemill.llm.common import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule."""
-    return quality.quality(docs).filter("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go from the texts; n_chars follows, and documents without a word left go."""
-    out = line_dedup.line_dedup(docs)
-    n = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n).filter(F.regexp_like("text", F.lit(WORD))).select(*docs.columns)
+    return line_dedup.keep_rest(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

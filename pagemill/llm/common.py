@@ -117,3 +117,13 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     ids = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return ids.union(roots).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with its whole row in the one column _row besides, so that no incoming name can clash with ours."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs again, some of them changed."""
+    return df.select(*[(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in docs.columns])

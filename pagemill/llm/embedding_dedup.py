@@ -33,6 +33,8 @@ from .common import components, written
 
 TILE, BLOCK, CELLS = 4096, 8, 6
 SLACK = 1e-7
+#: Hot cells up to this number (a few MB) are broadcast; beyond, both sides are shuffled.
+FEW = 200_000
 
 
 def rotation(d: int) -> np.ndarray:
@@ -196,7 +198,7 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98, tile: int = TILE) -> Da
     big = written(big.withColumn("parts", F.ceil(F.col("count") / (tile // 2)).cast("int")).drop("count"), "cells")
     hot = big.count()
     on = ["part", "block", "cell"]
-    if hot <= 200_000:  # a few MB; beyond that a shuffle join
+    if hot <= FEW:
         big = F.broadcast(big)
     tiled = placed.join(big, on, "left") if hot else placed.withColumn("parts", F.lit(None).cast("int"))
     tiled = tiled.withColumn("parts", F.coalesce("parts", F.lit(1)))

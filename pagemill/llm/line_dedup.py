@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words, written
+from .common import WORD, packed, unpacked, words, written
 
 LEAD, SIMILAR, MIN_TEXTS, MIN_TOKENS, PART = 3, 0.6, 3, 4, 20_000
 VARIABLE = "<*>"
+#: Sides of at most so many keys (8 bytes each) are broadcast; beyond, both sides are shuffled.
+FEW_LEAVES, FEW_DROPS = 1_000_000, 3_000_000
 
 
 class Leaf:
@@ -99,7 +101,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_texts: int = MIN_TE
     lines = lines.select("doc_id", "_k1", "_k2", "line", _leaf(F.col("tokens")).alias("leaf"))
     leaves = lines.groupBy("leaf").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b")).filter("a <> b").select("leaf")
     leaves = written(leaves, "leaves")
-    few = leaves.count() <= 1_000_000  # 8 bytes a key; beyond that both sides are shuffled
+    few = leaves.count() <= FEW_LEAVES
     lines = lines.join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
     line_hash = F.xxhash64("line").alias("line_hash")
     seen = lines.groupBy("leaf", line_hash, "_k1", "_k2").agg(F.min("doc_id").alias("doc"), F.first("line").alias("line"))
@@ -129,18 +131,29 @@ def line_dedup(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs with recurring lines gone from the text, and n_lines, n_dropped."""
     drops = written(recurring_lines(docs, text, **how), "drops")
     size = drops.agg(F.count("*"), F.sum(F.size("drop"))).first()
-    few = (size[0] or 0) * 3 + (size[1] or 0) <= 3_000_000  # 8 bytes each; beyond that both sides are shuffled
-    keyed = docs.withColumns(_digests(F.col(text)))
-    joined = keyed.join(F.broadcast(drops) if few else drops, ["_k1", "_k2"], "left")
-    joined = joined.withColumn("_lines", F.split(text, "\n"))
+    few = (size[0] or 0) * 3 + (size[1] or 0) <= FEW_DROPS
+    text_ = F.col("_row").getField(text)
+    joined = packed(docs).withColumns(_digests(text_)).join(F.broadcast(drops) if few else drops, ["_k1", "_k2"], "left")
+    joined = joined.withColumn("_lines", F.split(text_, "\n"))
     left = F.filter("_lines", lambda x: ~F.array_contains(F.col("drop"), F.xxhash64(x)))
-    joined = joined.withColumn("_left", F.when(F.col("drop").isNull(), F.col("_lines")).otherwise(left))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n)
+    joined = joined.withColumn("_left", F.when(F.col("drop").isNotNull(), left))
+    n = F.when(text_.isNull(), F.lit(0)).otherwise(F.size("_lines"))
     dropped = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left"))
-    joined = joined.withColumns({"n_lines": n.cast("long"), "n_dropped": dropped.cast("long")})
-    joined = joined.withColumn(text, F.when(F.col("drop").isNull(), F.col(text)).otherwise(F.array_join("_left", "\n")))
-    return joined.select(*docs.columns, "n_lines", "n_dropped")
+    new = F.when(F.col("drop").isNull(), text_).otherwise(F.array_join("_left", "\n"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(
+        *[(new if c == text else F.col("_row").getField(c)).alias(c) for c in own],
+        n.cast("long").alias("n_lines"),
+        dropped.cast("long").alias("n_dropped"),
+    )
+
+
+def keep_rest(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """docs with its columns and without recurring lines; n_chars follows, and texts that lose their last word go."""
+    out = line_dedup(packed(docs).withColumns({"doc_id": F.col("_row.doc_id"), "text": F.col("_row").getField(text)}), **how)
+    n = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("_row").getField("n_chars"))
+    left = (F.col("n_dropped") == 0) | F.regexp_like("text", F.lit(WORD))
+    return unpacked(out.filter(left), docs, **{text: F.col("text"), "n_chars": n})
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, packed, unpacked, written
 
 SLOTS, BANDS, ROWS = 128, 32, 4
 THRESHOLD, TILE = 0.5, 512
 CHUNK = 250_000
+#: Sides of at most so many rows (32 bytes each) are broadcast; beyond, both sides are shuffled.
+FEW = 500_000
 LOW = np.uint64((1 << 48) - 1)
 
 
@@ -182,7 +184,7 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, tex
     sizes = sizes.select(F.col("component").alias("grp"), F.ceil(F.col("count") / (tile // 2)).cast("int").alias("parts"))
     members = members.join(sizes, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     members = written(members, "members")
-    few = members.count() <= 500_000  # 32 bytes a row; beyond that both sides are shuffled
+    few = members.count() <= FEW
     side = members.withColumnRenamed("cid", "doc_id")
     texts = docs.select(F.col("doc_id").cast("long"), text).join(F.broadcast(side) if few else side, "doc_id")
     texts = texts.select(F.col("doc_id").alias("cid"), "grp", "n", "parts", shingles(F.col(text)).alias("s"))
@@ -226,9 +228,8 @@ def keep_one(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     marks = near_duplicates(docs, text=text, **how).filter("doc_id is not null")
     marks = marks.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
     marks = written(marks.filter("not kept or rows > 1"), "gone")
-    few = marks.count() <= 1_000_000  # 16 bytes a row; beyond that both sides are shuffled
-    marks = marks.select(F.col("doc_id").alias("_id"), "kept", "rows")
-    joined = docs.join(F.broadcast(marks) if few else marks, docs["doc_id"] == F.col("_id"), "left")
-    once = joined.filter("_id is null").select(*docs.columns)
-    repeated = joined.filter("kept").groupBy("_id").agg(*[F.first(c).alias(f"_f_{c}") for c in docs.columns])
-    return once.unionByName(repeated.select(*[F.col(f"_f_{c}").alias(c) for c in docs.columns]))
+    few = marks.count() <= FEW
+    joined = packed(docs).withColumn("doc_id", F.col("_row.doc_id").cast("long")).join(F.broadcast(marks) if few else marks, "doc_id", "left")
+    once = joined.filter("rows is null").select("_row")
+    repeated = joined.filter("kept").groupBy("doc_id").agg(F.first("_row").alias("_row")).select("_row")
+    return unpacked(once.unionByName(repeated), docs)

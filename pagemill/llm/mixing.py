@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, packed, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 FINISH = 1 << 17
@@ -148,20 +148,16 @@ def mix(docs: DataFrame, seed: int = 0, text: str = "text", **how) -> DataFrame:
     """
     same = ["doc_id", "source", "check"]
     picked = choose(docs, seed, text=text, **how).groupBy(*same).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
-    picked = picked.filter("_n > 0").select(*[F.col(c).alias(f"_p_{c}") for c in same], "_n", "_rows")
-    t = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_check", F.crc32(F.encode(t, "UTF-8")))
-    on = (
-        keyed["doc_id"].eqNullSafe(picked["_p_doc_id"])
-        & keyed["source"].eqNullSafe(picked["_p_source"])
-        & (keyed["_check"] == picked["_p_check"])
-    )
+    picked = picked.filter("_n > 0")
+    row = F.col("_row")
+    mark = F.crc32(F.encode(F.coalesce(row.getField(text), F.lit("")), "UTF-8"))
+    keyed = packed(docs).select("_row", row.getField("doc_id").alias("id"), row.getField("source").alias("src"), mark.alias("mark"))
+    on = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("src").eqNullSafe(F.col("source")) & (F.col("mark") == F.col("check"))
     joined = keyed.join(picked, on)
-    single = joined.filter("_rows = 1").select(*docs.columns, "_n")
-    several = joined.filter("_rows > 1").groupBy("doc_id", "source", "_check")
-    several = several.agg(F.first("_n").alias("_n"), *[F.first(c).alias(f"_f_{c}") for c in docs.columns])
-    several = several.select(*[F.col(f"_f_{c}").alias(c) for c in docs.columns], "_n")
-    return single.unionByName(several).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    single = joined.filter("_rows = 1").select("_row", "_n")
+    several = joined.filter("_rows > 1").groupBy("id", "src", "mark").agg(F.first("_row").alias("_row"), F.first("_n").alias("_n")).select("_row", "_n")
+    copies = single.unionByName(several).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return unpacked(copies, docs)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

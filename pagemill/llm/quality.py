@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import packed, unpacked, words
 
 STOP_WORDS = (
     "the and of to in is it for was on are be with as at by this that from or an a not "
@@ -88,19 +88,19 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     space, symbols = " \t\n\x0b\x0c\r", "#*$%&|<>"
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, space, "")) > 0)
-    out = docs.withColumns({"_w": words(F.col(text)), "_lines": lines})
+    out = docs.withColumns({"__words": words(F.col(text)), "__lines": lines})
     counts = {
-        "n_words": F.size("_w").cast("long"),
+        "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.translate(t, space, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, symbols, ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_repeat_words": F.coalesce(_repeat_words("_w"), F.lit(0)).cast("long"),
-        "n_stop_words": F.size(F.filter("_w", lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_lines": F.size("__lines").cast("long"),
+        "n_repeat_words": F.coalesce(_repeat_words("__words"), F.lit(0)).cast("long"),
+        "n_stop_words": F.size(F.filter("__words", lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS)))).cast("long"),
     }
     # an explode of one row bars a filter on the result from being pushed below, where it would repeat the counts
     one = F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts.items()])))
-    out = out.select(*[c for c in docs.columns if c not in counts], one.alias("_m")).select("*", "_m.*").drop("_m")
+    out = out.select(*[c for c in docs.columns if c not in counts], one.alias("__m")).select("*", "__m.*").drop("__m")
     return out.withColumns(
         {
             "repeat_ratio": _ratio(F.col("n_repeat_words"), F.col("n_words")),
@@ -127,6 +127,12 @@ def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that break no rule, with its columns."""
+    rows = packed(docs).withColumn("text", F.col("_row").getField(text))
+    return unpacked(quality(rows, "text", rules).filter("kept"), docs)
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality(docs.select("doc_id", "text")).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, token_counts
+from . import embedding_dedup, html_text, line_dedup, minhash_dedup, mixing, oracle, packing, quality, secrets, sharding, token_counts
 
 
 def queries() -> dict:
@@ -21,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": oracle.quality(),
+        "op2_subspace_pigeonhole": oracle.embeddings(),
+        "op4_feistel_sharding": oracle.sharding(),
+    }
