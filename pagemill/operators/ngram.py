@@ -11,18 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lang import text_chunk
+from ..functions.text import let
 
 GRAMS = 2000
 
 
 def trigrams(text: Column) -> Column:
     """Trigrams of the lower-cased chunk, in order, with repeats."""
-    t = F.lower(text_chunk(text))
-    bound = F.get(
-        F.transform(F.array(t), lambda x: F.when(F.char_length(x) < 3, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(x) - 2), lambda i: x.substr(i, F.lit(3))))),
-        0,
-    )
-    return bound
+    chars = F.regexp_extract_all(F.lower(text_chunk(text)), F.lit("(?s)."), F.lit(0))
+    joined = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
+    return let(chars, joined)
 
 
 def train(texts: DataFrame, text: str = "text", lang: str = "lang", most: int = GRAMS) -> DataFrame:

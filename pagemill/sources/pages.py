@@ -29,6 +29,12 @@ class RequestOptions:
     headers: dict[str, str] = field(default_factory=dict)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores (one small file) is dealt out to all of them; any other is left as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus: page_id, url, html. Filters and column choices reach the parquet scan."""
     return spark.read.parquet(f"{folder}/pages.parquet")
