@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, table, written
 
 TILE, BLOCK, CELLS = 4096, 8, 6
 SLACK = 1e-7
@@ -245,4 +245,4 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98, tile: int = TILE) -> Da
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.98)
+    return near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 WEIGHTS = Path(__file__).with_name("weights") / "blocks.npz"
 PATHS, WORDS, PATH_DIM, WORD_DIM, MEASURES, STATE = 1024, 1024, 16, 8, 8, 16
 TRAIN_PAGES = 6000
@@ -479,7 +481,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(table(spark, sf_dir, "pages"))
 
 
 if __name__ == "__main__":

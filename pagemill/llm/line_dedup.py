@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, packed, unpacked, words, written
+from .common import WORD, packed, table, unpacked, words, written
 
 LEAD, SIMILAR, MIN_TEXTS, MIN_TOKENS, PART = 3, 0.6, 3, 4, 20_000
 VARIABLE = "<*>"
@@ -157,5 +157,5 @@ def keep_rest(docs: DataFrame, text: str = "text", **how) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs)

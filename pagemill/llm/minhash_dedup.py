@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, packed, unpacked, written
+from .common import components, packed, table, unpacked, written
 
 SLOTS, BANDS, ROWS = 128, 32, 4
 THRESHOLD, TILE = 0.5, 512
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, tex
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", **how) -> DataFrame:

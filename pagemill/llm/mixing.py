@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, packed, unpacked, written
+from .common import WORD, packed, table, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 FINISH = 1 << 17
@@ -161,7 +161,7 @@ def mix(docs: DataFrame, seed: int = 0, text: str = "text", **how) -> DataFrame:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return choose(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import table, written
 
 SIZE, END = 4096, 1
 
@@ -158,4 +158,4 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, text: str
 def op6(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

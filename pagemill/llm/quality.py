@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, words
+from .common import packed, table, unpacked, words
 
 STOP_WORDS = (
     "the and of to in is it for was on are be with as at by this that from or an a not "
@@ -134,7 +134,7 @@ def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return quality(docs.select("doc_id", "text")).select(
         "doc_id", *BASE, "base_failed", "kept", F.array_join("broken", ",").alias("broken")
     )

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import table
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -287,7 +289,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_secrets(table(spark, sf_dir, "documents"))
 
 
 if __name__ == "__main__":

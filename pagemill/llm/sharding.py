@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_row_number
+from .common import global_row_number, table
 
 ROUNDS = ((40503, 12345), (30011, 6789), (48271, 2221), (25173, 13849), (16807, 777), (28411, 134456))
 
@@ -68,4 +68,4 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 0, id_col: str = "
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return shard_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
+    return shard_rows(table(spark, sf_dir, "documents"), 40)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import table
+
 MARK, UNKNOWN, CACHE = "▁", 10.0, 400_000
 
 
@@ -108,5 +110,5 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", out: str = "n_t
 def op7(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
