@@ -6,13 +6,13 @@ import gzip
 from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import blank, literal_map
 
 LIST = Path(__file__).with_name("data") / "public_suffix.txt.gz"
-DEPTH = 5
 
 #: Countries of governmental suffixes gov.<code>, by name of the country.
 GOVERNMENTS = {
@@ -31,50 +31,50 @@ BY_LANG = {"cn/zh": "中国", "de/de": "德国", "es/es": "西班牙", "fr/fr":
 
 
 @lru_cache(maxsize=1)
-def rules() -> list[tuple[str, bool, bool, bool, bool]]:
-    """(suffix, is a rule, has a wildcard below, is an exception, icann) of the snapshot."""
-    found: dict[str, list[bool]] = {}
+def rules() -> pa.Table:
+    """The snapshot by key (the last two labels of a rule, or its only one): entries (suffix, labels, kind, icann).
+
+    kind: 0 a rule, 1 a rule for everything one label longer, 2 an exception to such a rule.
+    """
+    found: dict[str, list[dict]] = {}
     for line in gzip.decompress(LIST.read_bytes()).decode().split("\n"):
         if not line or line.startswith("#"):
             continue
         icann, rule = line[0] != "-", line.lstrip("-")
         kind = 1 if rule.startswith("*.") else 2 if rule.startswith("!") else 0
-        row = found.setdefault(rule.removeprefix("*.").removeprefix("!"), [False, False, False, icann])
-        row[kind] = True
-        row[3] |= icann
-    return [(s, *row) for s, row in sorted(found.items())]
+        suffix = rule.removeprefix("*.").removeprefix("!")
+        labels = suffix.split(".")
+        found.setdefault(".".join(labels[-2:]), []).append({"suffix": suffix, "labels": len(labels), "kind": kind, "icann": icann})
+    entry = pa.struct([("suffix", pa.string()), ("labels", pa.int32()), ("kind", pa.int32()), ("icann", pa.bool_())])
+    return pa.table({"key": pa.array(list(found)), "entries": pa.array(list(found.values()), pa.list_(entry))})
 
 
 def suffix_table(spark: SparkSession) -> DataFrame:
-    """The rules as a table of fixed size (some 10,000 rows), small enough to broadcast."""
-    return spark.createDataFrame(rules(), "suffix string, rule boolean, wild boolean, exception boolean, icann boolean")
+    """The rules as a local table of fixed size (some 10,000 rules), small enough to broadcast."""
+    return spark.createDataFrame(rules())
 
 
 def domain_parse(df: DataFrame, host: str, out: str = "domain") -> DataFrame:
     """Adds a struct (subdomain, domain, tld, icann); null for a blank host or one that is a bare suffix.
 
-    One broadcast lookup for each of the last DEPTH suffixes of a host: no shuffle, no user function.
+    Two broadcast lookups a host, by its last label and by its last two; the few rules found there are
+    compared with the host in place. No shuffle, no user function.
     """
-    spark = df.sparkSession
-    table = suffix_table(spark)
+    table = suffix_table(df.sparkSession)
     h = F.lower(F.regexp_replace(F.trim(blank(F.col(host))), "\\.\\z", ""))
-    work = df.withColumn("_labels", F.split(h, "\\."))
-    for k in range(1, DEPTH + 1):
-        side = table.select(*[F.col(c).alias(f"_{c}{k}") for c in ("suffix", "rule", "wild", "exception", "icann")])
-        suffix = F.when(F.size("_labels") >= k, F.array_join(F.slice("_labels", -k, k), "."))
-        work = work.withColumn(f"_s{k}", suffix).join(F.broadcast(side), F.col(f"_s{k}") == F.col(f"_suffix{k}"), "left")
-    n, icann = F.lit(1), F.lit(False)
-    for k in range(1, DEPTH + 1):
-        wild = F.col(f"_wild{k}") & (F.size("_labels") > k)
-        own = F.col(f"_rule{k}")
-        icann = F.when(wild | own, F.col(f"_icann{k}")).otherwise(icann)
-        n = F.when(wild, k + 1).when(own & (n < k), k).otherwise(n)
-    for k in range(2, DEPTH + 1):
-        n = F.when(F.col(f"_exception{k}"), k - 1).otherwise(n)
-        icann = F.when(F.col(f"_exception{k}"), F.col(f"_icann{k}")).otherwise(icann)
-    work = work.withColumns({"_n": n, "_i": icann})
+    labels = F.split(h, "\\.")
+    work = df.withColumns({"_h": h, "_labels": labels, "_k1": F.substring_index(h, ".", -1), "_k2": F.when(F.contains(h, F.lit(".")), F.substring_index(h, ".", -2))})
+    for k in (1, 2):
+        side = table.select(F.col("key").alias(f"_key{k}"), F.col("entries").alias(f"_e{k}"))
+        work = work.join(F.broadcast(side), F.col(f"_k{k}") == F.col(f"_key{k}"), "left")
+    none = F.array().cast("array<struct<suffix:string,labels:int,kind:int,icann:boolean>>")
+    entries = F.concat(F.coalesce("_e1", none), F.coalesce("_e2", none))
     size = F.size("_labels")
-    fine = (F.array_join("_labels", ".") != "") & (size > F.col("_n")) & ~F.exists("_labels", lambda x: x == "")
+    fits = lambda x: ((F.col("_h") == x["suffix"]) | F.col("_h").endswith(F.concat(F.lit("."), x["suffix"]))) & ((x["kind"] != 1) | (size > x["labels"]))
+    rank = lambda x: F.struct((x["kind"] == 2).alias("e"), (x["labels"] + F.when(x["kind"] == 0, 0).when(x["kind"] == 1, 1).otherwise(-1)).alias("n"), x["icann"].alias("icann"))
+    work = work.withColumn("_best", F.array_max(F.transform(F.filter(entries, fits), rank)))
+    work = work.withColumns({"_n": F.coalesce("_best.n", F.lit(1)), "_i": F.coalesce("_best.icann", F.lit(False))})
+    fine = (F.col("_h") != "") & (size > F.col("_n")) & ~F.array_contains("_labels", "")
     left = F.greatest(size - F.col("_n") - 1, F.lit(0))
     domain = F.when(
         fine,

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import checkpointed
 from .links import CONTENT, LIST
 
 
@@ -26,36 +27,22 @@ class CrawlOptions:
         return replace(self, **changes)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            named = "file://" + tempfile.mkdtemp(prefix="pagemill-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
-
-
 def crawl_bfs(links: DataFrame, roots: DataFrame, options: CrawlOptions = CrawlOptions()) -> DataFrame:
     """url, depth of every list page that is visited. links: src, dst, kind; roots: url.
 
     Roots are no member of the seen-set, so one that is linked to is visited once more, as a list page.
     """
     follow = links.filter(F.col("kind") == LIST).select("src", "dst").filter("dst is not null")
-    frontier = _cut(roots.select("url", F.lit(0).alias("depth")).distinct())
+    frontier = checkpointed(roots.select("url", F.lit(0).alias("depth")).distinct())
     visited, seen = frontier, None
     for depth in range(1, options.depth):
         new = frontier.join(follow, frontier["url"] == follow["src"]).select(F.col("dst").alias("url")).distinct()
         if seen is not None:
             new = new.join(seen, "url", "left_anti")
-        frontier = _cut(new.select("url", F.lit(depth).alias("depth")))
+        frontier = checkpointed(new.select("url", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
-        seen = frontier.select("url") if seen is None else _cut(seen.union(frontier.select("url")))
+        seen = frontier.select("url") if seen is None else checkpointed(seen.union(frontier.select("url")))
         visited = visited.unionByName(frontier)
     return visited
 

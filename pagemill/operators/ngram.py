@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lang import text_chunk
 from ..functions.text import let
+from .durable import checkpointed
 
 GRAMS = 2000
 
@@ -36,10 +37,18 @@ def train(texts: DataFrame, text: str = "text", lang: str = "lang", most: int =
 
 
 def lang_ngram(texts: DataFrame, model: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, lang: the language with the highest score; ties go to the first by name. Texts without grams have no row."""
-    grams = texts.select(key, F.explode(trigrams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    hit = grams.join(F.broadcast(model), "gram").groupBy(key, "lang").agg(F.sum(F.col("n") * (F.col("gain") - F.col("unseen"))).alias("s"), F.sum("n").alias("hits"))
-    base = model.groupBy("lang").agg(F.first("unseen").alias("unseen"))
-    size = grams.groupBy(key).agg(F.sum("n").alias("all"))
-    score = hit.join(size, key).join(F.broadcast(base), "lang").withColumn("score", F.round(F.col("s") + F.col("all") * F.col("unseen"), 6))
-    return score.groupBy(key).agg(F.max_by("lang", F.struct("score", F.translate("lang", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"))).alias("lang"))
+    """key, lang: the language with the highest score; ties go to the first by name. Texts without known grams have no row.
+
+    The model becomes one broadcast row a gram with a gain for each language; a text's grams meet it in place.
+    """
+    model = checkpointed(model)
+    langs = {r["lang"]: r["unseen"] for r in model.groupBy("lang").agg(F.first("unseen").alias("unseen")).orderBy("lang").collect()}
+    if not langs:
+        return texts.select(key, F.lit("").alias("lang")).limit(0)
+    wide = model.groupBy("gram").pivot("lang", list(langs)).agg(F.first(F.col("gain") - F.col("unseen")))
+    wide = wide.select("gram", F.array(*[F.coalesce(F.col(f"`{x}`"), F.lit(0.0)) for x in langs]).alias("gains"))
+    grams = texts.select(key, F.explode(trigrams(F.col(text))).alias("gram")).join(F.broadcast(wide), "gram", "left")
+    sums = [F.sum(F.coalesce(F.get("gains", k), F.lit(0.0))).alias(f"s{k}") for k in range(len(langs))]
+    score = grams.groupBy(key).agg(F.count("*").alias("n"), F.count("gains").alias("hits"), *sums).filter("hits > 0")
+    each = [F.struct(F.round(F.col(f"s{k}") + F.col("n") * F.lit(u), 6).alias("score"), F.lit(-k).alias("k"), F.lit(x).alias("lang")) for k, (x, u) in enumerate(langs.items())]
+    return score.select(key, F.array_max(F.array(*each))["lang"].alias("lang"))

@@ -11,6 +11,7 @@ from ..functions.lang import lang_html, lang_page
 from ..functions.text import limited, normalise_space, remove_lines, trimmed
 from ..functions.titles import web_title
 from ..operators import cepf, crawl, dom, links, news, ngram, page, sites
+from ..operators.durable import shared_folder
 from ..streaming import pages as streaming
 from .catalog import pick, query, sql_pick, sql_text, table
 from .text_queries import KIND_SQL, PATHS, edge, part, resolve, space, sql_dir, sql_path
@@ -546,19 +547,8 @@ def _(spark, d):
 @query("stream_titles", f"SELECT page_id, url, left({edge(f'''regexp_replace({TITLE}, '[\\r\\n]', '', 'g')''')}, 128) AS title FROM pages")
 def _(spark, d):
     """The streaming form: a folder as a stream, features, each URL once, a batch sink."""
-    base = f"{crawl_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     titled = page.page_features(streaming.stream_pages(spark, d, name="pages.parquet"), "title")
     once = streaming.seen_once(titled.select("page_id", "url", web_title(F.col("title")).alias("title")))
     streaming.run(once, lambda df, k: df.write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out")
-
-
-def crawl_dir(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="pagemill-")
-    return named
