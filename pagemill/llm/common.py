@@ -74,8 +74,10 @@ def global_row_number(df: DataFrame, keys: list[str], out: str, name: str) -> tu
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(k).asc_nulls_first() for k in keys]
     ranked = (
-        df.repartitionByRange(n, *order)
+        df.withColumn("_each", F.monotonically_increasing_id())
+        .repartitionByRange(n, *order, "_each")  # rows that agree in all keys are interchangeable, and split all the same
         .sortWithinPartitions(*order)
+        .drop("_each")
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )

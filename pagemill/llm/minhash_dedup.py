@@ -12,8 +12,8 @@ once, and every pair of classes in a group is verified exactly inside the task t
 than TILE classes are cut into tiles of pairs of parts. A task emits one row per class: its links and the
 root of its local component.
 
-Null and wordless texts link with nothing, as do null doc_ids (component_id null, kept). Repeated rows
-are copies. Rows that share a doc_id are nodes of one name. An empty table gives no rows.
+Null and empty texts link with nothing, as do null doc_ids (component_id null, kept); texts without letters
+and digits link with their exact copies alone. Repeated rows are copies. Rows that share a doc_id are nodes of one name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -101,7 +101,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _k1, _k2 (digest of the weighted shingles), sig (SLOTS 32-bit marks; null without words)."""
+    """doc_id, _k1, _k2 (digest of the weighted shingles, or of a wordless text), sig (SLOTS 32-bit marks; null without words), _fine."""
+    import pyarrow.compute as pc
 
     def run(batches):
         for batch in batches:
@@ -123,13 +124,16 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
                     keys.append(pa.array(total.view(np.int64)))
                 some = sizes[i:j] > 0
                 raw = [s.tobytes() if ok else None for s, ok in zip(sig, some)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), *keys, pa.array(raw, pa.binary())], names=["doc_id", "_k1", "_k2", "sig"]
-                )
+                texts = [c.slice(i, j - i) for c in batch.columns[2:4]]
+                keys = [pc.if_else(pa.array(some), k, t) for k, t in zip(keys, texts)]
+                arrays = [batch.column(0).slice(i, j - i), *keys, pa.array(raw, pa.binary()), batch.column(4).slice(i, j - i)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "_k1", "_k2", "sig", "_fine"])
                 i = j
 
-    narrow = docs.select(F.col("doc_id").cast("long"), shingles(F.col(text)).alias("s"))
-    return narrow.mapInArrow(run, "doc_id long, _k1 long, _k2 long, sig binary")
+    t = F.col(text)
+    fine = F.coalesce(t != "", F.lit(False)) & F.col("doc_id").isNotNull()
+    narrow = docs.select(F.col("doc_id").cast("long"), shingles(t).alias("s"), F.xxhash64(t), F.xxhash64(F.lit("second"), t), fine.alias("_fine"))
+    return narrow.mapInArrow(run, "doc_id long, _k1 long, _k2 long, sig binary, _fine boolean")
 
 
 def verify(table: pa.Table, lo: int, hi: int, t: float) -> pa.Table:
@@ -170,12 +174,11 @@ def verify(table: pa.Table, lo: int, hi: int, t: float) -> pa.Table:
 def near_duplicates(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, n_links, component_id, kept (one of each component)."""
     drawn = written(sketches(docs, text), "sketches")
-    fine = F.col("sig").isNotNull() & F.col("doc_id").isNotNull()
-    classes = drawn.filter(fine).groupBy("_k1", "_k2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n"), F.first("sig").alias("sig"))
+    classes = drawn.filter("_fine").groupBy("_k1", "_k2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n"), F.first("sig").alias("sig"))
     classes = written(classes, "classes")
     width = 4 * ROWS
     band = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)]))
-    banded = classes.select("cid", band.alias("band", "key"))
+    banded = classes.filter("sig is not null").select("cid", band.alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high")
     stars = banded.join(shared.select("key", "low"), "key").select(F.col("cid").alias("a"), F.col("low").alias("b"))
     groups = components(stars.filter("a > b"), "bands")
@@ -208,7 +211,7 @@ def near_duplicates(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, tex
         (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("component", "cid").alias("component_id"),
     )
-    out = drawn.select("doc_id", "_k1", "_k2", fine.alias("_fine")).join(known, ["_k1", "_k2", "_fine"], "left")
+    out = drawn.select("doc_id", "_k1", "_k2", "_fine").join(known, ["_k1", "_k2", "_fine"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
         "doc_id",

@@ -23,7 +23,7 @@ from .common import WORD, packed, table, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 FINISH = 1 << 17
-SALT_BITS = 6
+SALT_BITS = 12
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[tuple]:

@@ -136,6 +136,12 @@ def test_minhash(docs, rows, tile, monkeypatch):
     assert kept == {int(k) for k in root}
 
 
+def test_wordless_copies(spark):
+    rows = [(1, "!!!"), (2, "!!!"), (3, "???"), (4, ""), (5, ""), (6, None), (7, None)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 12345])
 def test_feistel_is_a_permutation(n):
     p = sharding.feistel(np.arange(n), n)
