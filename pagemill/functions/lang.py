@@ -46,14 +46,19 @@ def lang_title(title: Column, body: Column) -> Column:
     return F.when(han, kind).otherwise("")
 
 
-def text_chunk(text: Column) -> Column:
-    """What lang_text looks at: no signs, at most CHUNK characters."""
+def plain_text(text: Column) -> Column:
+    """A text without line ends, tabs, double spaces and signs."""
     t = F.replace(F.replace(remove_lines(text), F.lit("\t"), F.lit("")), F.lit("  "), F.lit(""))
-    return trimmed(F.substring(F.regexp_replace(t, "[\\p{P}\\p{S}]", ""), 1, CHUNK))
+    return F.regexp_replace(t, "[\\p{P}\\p{S}]", "")
+
+
+def text_chunk(text: Column) -> Column:
+    """What lang_text looks at: at most CHUNK characters, as its definition has it."""
+    return trimmed(F.substring(plain_text(text), 1, CHUNK))
 
 
 def lang_text(text: Column, latin: Column | None = None) -> Column:
-    """struct(lang, lang_pos); `latin` is the n-gram model's verdict for Latin text with accents (see lang_ngram)."""
+    """struct(lang, lang_pos); `latin`: a model's verdict for Latin text with accents (lang_ngram), else lang_latin's."""
 
     def judge(t: Column) -> Column:
         n = F.char_length(t)
@@ -72,10 +77,30 @@ def lang_text(text: Column, latin: Column | None = None) -> Column:
         )
         return F.struct(lang.alias("lang"), F.when(lang == "", "").when(model, "lingua").otherwise("body").alias("lang_pos"))
 
-    latin_ = F.coalesce(latin, F.lit("en")) if latin is not None else F.lit("en")
+    latin_ = F.coalesce(latin, lang_latin(text)) if latin is not None else lang_latin(text)
     return let(text_chunk(text), judge)
 
 
+#: Function words that tell Latin-script languages apart; the first language wins ties.
+FUNCTION_WORDS = {
+    "en": "the of and to in is that for was with",
+    "fr": "le la les des et du une est dans pour qui au aux",
+    "de": "der die das und ist nicht ein eine den von zu mit",
+    "es": "el los las y que del por una con se su",
+    "pt": "o os um uma não do da em para com ao",
+}
+
+
+def lang_latin(text: Column) -> Column:
+    """The language whose function words occur most often: a verdict on one row, without a model table."""
+    chunk = F.lower(text_chunk(text))
+    scored = [
+        F.struct(F.regexp_count(chunk, F.lit("(?<!\\p{L})(?:" + "|".join(w.split()) + ")(?!\\p{L})")).alias("n"), F.lit(-k).alias("k"), F.lit(code).alias("lang"))
+        for k, (code, w) in enumerate(FUNCTION_WORDS.items())
+    ]
+    return F.greatest(*scored)["lang"]
+
+
 OTHER_SCRIPTS = (("\\p{IsArabic}", "ar"), ("\\p{IsCyrillic}", "ru"), ("\\p{IsDevanagari}", "hi"), (HANGUL, "ko"))
 
 

@@ -1,8 +1,8 @@
 """Language by character trigrams: a model counted from labelled texts, and its verdicts.
 
 The model is a table (lang, gram, gain) of at most GRAMS rows a language, so its size is bounded and it is
-broadcast. Texts are cut to what the language rules look at; their grams are counted before they meet
-the model, and a text's rows lie in one partition, so sums are partial before any shuffle.
+broadcast. A text's grams meet it where they are made; its rows lie in one partition, so sums are partial
+before the one shuffle.
 """
 
 from __future__ import annotations
@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lang import text_chunk
-from ..functions.text import let
+from ..functions.lang import plain_text
+from ..functions.text import let, trimmed
 from .durable import checkpointed
 
 GRAMS = 2000
 
 
 def trigrams(text: Column) -> Column:
-    """Trigrams of the lower-cased chunk, in order, with repeats."""
-    chars = F.regexp_extract_all(F.lower(text_chunk(text)), F.lit("(?s)."), F.lit(0))
+    """Trigrams of the whole text, lower-cased and without signs, in order, with repeats."""
+    chars = F.regexp_extract_all(F.lower(trimmed(plain_text(text))), F.lit("(?s)."), F.lit(0))
     joined = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
     return let(chars, joined)
 

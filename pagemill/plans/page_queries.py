@@ -146,7 +146,7 @@ def _(spark, d):
     return page.page_features(table(spark, d, "pages"), "list_text").select("page_id", F.col("list_text").alias("text"))
 
 
-GRAMS = f"""WITH t AS (SELECT doc_id, lang, lower(trim(left(regexp_replace(replace(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), chr(9), ''), '  ', ''), '[\\pP\\pS]', '', 'g'), 2048))) AS t FROM documents),
+GRAMS = f"""WITH t AS (SELECT doc_id, lang, lower(trim(regexp_replace(replace(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), chr(9), ''), '  ', ''), '[\\pP\\pS]', '', 'g'))) AS t FROM documents),
     g AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram FROM t WHERE length(t) >= 3),
     c0 AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
     c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c0),

@@ -304,15 +304,11 @@ def _(spark, d):
 
 @query(
     "similarity",
-    """WITH x AS (SELECT doc_id, regexp_replace(left(text, 60), '[^\\pL\\pN]', '', 'g') AS a, regexp_replace(substring(text, 3, 50), '[^\\pL\\pN]', '', 'g') AS b FROM documents)
-    SELECT doc_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS sim FROM
-    (SELECT doc_id, a, b FROM x WHERE regexp_matches(a, '^[A-Za-z0-9]*$') AND regexp_matches(b, '^[A-Za-z0-9]*$'))""",
+    """WITH x AS (SELECT p_partkey, regexp_replace(p_name, '[^\\pL\\pN]', '', 'g') AS a, regexp_replace(p_type, '[^\\pL\\pN]', '', 'g') AS b FROM part)
+    SELECT p_partkey, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 0.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 6) AS sim FROM x""",
 )
 def _(spark, d):
-    a, b = F.substring("text", 1, 60), F.substring("text", 3, 50)
-    # the SQL engine counts bytes in levenshtein, so the comparison is made where letters are single bytes
-    plain = text.remove_sign(a).rlike("^[A-Za-z0-9]*$") & text.remove_sign(b).rlike("^[A-Za-z0-9]*$")
-    return table(spark, d, "documents").filter(plain).select("doc_id", F.round(text.similarity(a, b), 6).alias("sim"))
+    return table(spark, d, "part").select("p_partkey", F.round(text.similarity(F.col("p_name"), F.col("p_type")), 6).alias("sim"))
 
 
 # hosts

@@ -123,6 +123,12 @@ def test_lang_text_needs_64_characters(spark):
     assert tuple(one(spark, lang.lang_text(F.lit("हिन्दी समाचार पत्र में आज की मुख्य खबरें " * 4)))) == ("hi", "lingua")
 
 
+def test_latin_text_with_accents(spark):
+    french = "Le gouvernement a annoncé aujourd'hui que les nouvelles règles pour les écoles seront appliquées dans toutes les régions du pays à la rentrée"
+    assert tuple(one(spark, lang.lang_text(F.lit(french)))) == ("fr", "lingua")
+    assert tuple(one(spark, lang.lang_text(F.lit("Die Regierung hat für die nächsten Jahre größere Änderungen angekündigt und möchte die Schulen in allen Ländern stärken")))) == ("de", "lingua")
+
+
 @pytest.mark.parametrize(
     "name, found", [("utf8", "UTF-8"), ("gb2312", "GBK"), ("big5-hkscs", "Big5"), ("Shift-JIS", "SHIFT_JIS"), ("", ""), (None, "")]
 )
