@@ -382,9 +382,10 @@ def generated(rnd: random.Random) -> str:
 
     junk = lambda: rnd.choice([side, notice, advert, advert, form, menu])()
     close = rnd.random() < 0.8
+    repeated = say(1, 6) if rnd.random() < 0.06 else ""  # junk articles say one short thing again and again
 
     def para() -> str:
-        body = MARK + say(1, 8 if rnd.random() < 0.2 else 120) + end()
+        body = MARK + (rnd.choice(["", repeated]) or say(1, 8 if rnd.random() < 0.25 else 120)) + end()
         if rnd.random() < 0.06:
             body = MARK + rnd.choice(["All rights reserved.", f"Copyright {say(1, 5)}.", f"Licensed under {say(1, 5)}.", f"Subscribe {say(1, 9)}.", f"{say(1, 9)} &copy; 20{rnd.randint(10, 30)}"])
         if rnd.random() < 0.25:
