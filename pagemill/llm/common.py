@@ -6,13 +6,13 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.pages import spread
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-SPACE = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,3 +131,19 @@ def packed(docs: DataFrame) -> DataFrame:
 def unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     """The columns of docs again, some of them changed."""
     return df.select(*[(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest index of each index's component under edges (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

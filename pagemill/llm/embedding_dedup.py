@@ -26,10 +26,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, local_roots, table, written
 
 TILE, BLOCK, CELLS = 4096, 8, 6
 SLACK = 1e-7
@@ -120,22 +121,6 @@ def pairs(x: np.ndarray, r: np.ndarray, block: int, left: np.ndarray, right: np.
             yield a[ok], b[ok]
 
 
-def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index of each index's component under edges (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_duplicates(vectors: DataFrame, t: float = 0.98, tile: int = TILE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. vectors: vec_id, embedding, label."""
     spark = vectors.sparkSession
@@ -177,7 +162,7 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98, tile: int = TILE) -> Da
                     take = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.compute.binary_join_element_wise(own.column(2).take(take), pa.scalar(str(d)), "/"),
+                            pc.binary_join_element_wise(own.column(2).take(take), pa.scalar(str(d)), "/"),
                             pa.array(np.full(len(rows), b), pa.int32()),
                             pa.array(keys),
                             pa.array(homes),
@@ -188,8 +173,6 @@ def near_duplicates(vectors: DataFrame, t: float = 0.98, tile: int = TILE) -> Da
                         names=["part", "block", "cell", "home", "cid", "n", "x"],
                     )
 
-    import pyarrow.compute  # noqa: F401
-
     placed = classes.select("cid", "n", "label", F.col("x").cast("array<double>").alias("x")).mapInArrow(
         spread, "part string, block int, cell long, home boolean, cid long, n long, x array<double>"
     )

@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, packed, table, unpacked, written
+from .common import components, local_roots, packed, table, unpacked, written
 
 SLOTS, BANDS, ROWS = 128, 32, 4
 THRESHOLD, TILE = 0.5, 512
@@ -102,7 +103,6 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, _k1, _k2 (digest of the weighted shingles, or of a wordless text), sig (SLOTS 32-bit marks; null without words), _fine."""
-    import pyarrow.compute as pc
 
     def run(batches):
         for batch in batches:
@@ -163,8 +163,6 @@ def verify(table: pa.Table, lo: int, hi: int, t: float) -> pa.Table:
                 a.append(i)
                 b.append(j)
     i, j = np.array(a, np.int64), np.array(b, np.int64)
-    from .embedding_dedup import local_roots
-
     links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
     hit = np.flatnonzero(links)
     root = local_roots(len(cid), i, j)
