@@ -124,7 +124,7 @@ def sql_dir(p: str) -> str:
 
 @query("scan_pages", "SELECT page_id, url, strlen(html) AS n_bytes FROM pages")
 def _(spark, d):
-    return scan_pages(spark, d).select("page_id", "url", F.octet_length("html").alias("n_bytes"))
+    return scan_pages(spark, d).select("page_id", "url", F.octet_length("html").cast("long").alias("n_bytes"))
 
 
 @query("content_type_filter", f"SELECT page_id, ct FROM (SELECT page_id, {sql_pick('page_id', HEADERS)} AS ct FROM pages) WHERE lower(trim(string_split(ct, ';')[1])) IN ({', '.join(map(sql_text, TYPES))})")
@@ -134,7 +134,7 @@ def _(spark, d):
 
 @query("size_limit", "SELECT page_id, strlen(html) AS n_bytes FROM pages WHERE strlen(html) <= 8000")
 def _(spark, d):
-    return table(spark, d, "pages").filter(size_limit(F.col("html"), 8000)).select("page_id", F.octet_length("html").alias("n_bytes"))
+    return table(spark, d, "pages").filter(size_limit(F.col("html"), 8000)).select("page_id", F.octet_length("html").cast("long").alias("n_bytes"))
 
 
 # character sets
