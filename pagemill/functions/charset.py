@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank
+from .text import blank, let
 
-NAMED = "(?i)charset=\\s*([a-z][_\\-0-9a-z]*)"
+NAMED = "(?i)" + "charset=" + "\\s*([a-z][\\w-]*)"
 META4 = "(?is)<meta([^>]*http-equiv=[\"']?content-type[^>]*)>"
-META5 = "(?is)<meta[^>]*\\scharset=[\"']?\\s*([a-z][_\\-0-9a-z]*)"
+META5 = "(?is)<meta[^>]*\\scharset=[\"']?\\s*([a-z][\\w-]*)"
 #: Spark's name for each charset that decode_body knows.
 CODECS = ("GBK", "Big5", "SHIFT_JIS", "EUC-JP", "EUC-KR", "KOI8-R", "ISO-8859-1", "WINDOWS-1251", "WINDOWS-1252")
 
 
 def charset_normalize(name: Column) -> Column:
-    c = F.upper(F.trim(blank(name)))
-    return (
+    known = lambda c: (
         F.when(c.isin("UTF8", "UTF_8"), "UTF-8")
         .when(c.startswith("GB"), "GBK")
         .when(c.startswith("BIG5"), "Big5")
         .when(c.startswith("SHIFT"), "SHIFT_JIS")
         .otherwise(c)
     )
+    return let(F.upper(F.trim(blank(name))), known)
 
 
 def charset_header(content_type: Column) -> Column:
@@ -34,25 +34,29 @@ def charset_html(html: Column) -> Column:
     h = blank(html)
     old = F.regexp_extract(F.regexp_extract(h, META4, 1), NAMED, 1)
     new = F.regexp_extract(h, META5, 1)
-    pick = (
-        F.when(old == "", new)
-        .when(new == "", old)
-        .when(F.instr(h, old) <= F.instr(h, new), old)
-        .otherwise(new)
-    )
-    return charset_normalize(pick)
+
+    def pick(x: Column) -> Column:
+        a, b = x["old"], x["new"]
+        earlier = F.call_function("instr", h, a) <= F.call_function("instr", h, b)
+        return F.when(a == "", b).when((b == "") | earlier, a).otherwise(b)
+
+    return charset_normalize(let(F.struct(old.alias("old"), new.alias("new")), pick))
 
 
 def charset_header_html(content_type: Column, html: Column) -> Column:
     """struct(charset, charset_pos); a header of ISO or WINDOWS gives way to the page."""
-    a, b = charset_header(content_type), charset_html(html)
-    weak = a.startswith("ISO") | a.startswith("WINDOWS")
-    pos = (
-        F.when((a == "") & (b == ""), "")
-        .when((a != "") & ((b == "") | (a == b) | ~weak), "header")
-        .otherwise("html")
-    )
-    return F.struct(F.when(pos == "header", a).when(pos == "html", b).otherwise("").alias("charset"), pos.alias("charset_pos"))
+
+    def decide(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        weak = a.startswith("ISO") | a.startswith("WINDOWS")
+        header = (a != "") & ((b == "") | (a == b) | ~weak)
+        return (
+            F.when(header, F.struct(a.alias("charset"), F.lit("header").alias("charset_pos")))
+            .when(b != "", F.struct(b.alias("charset"), F.lit("html").alias("charset_pos")))
+            .otherwise(F.struct(F.lit("").alias("charset"), F.lit("").alias("charset_pos")))
+        )
+
+    return let(F.struct(charset_header(content_type).alias("a"), charset_html(html).alias("b")), decide)
 
 
 def charset_guess(body: Column) -> Column:
@@ -81,15 +85,11 @@ def charset_guess(body: Column) -> Column:
 
 def charset_detect(body: Column, content_type: Column) -> Column:
     """struct(charset, charset_pos): valid UTF-8, else header and page, else a guess."""
-    text = F.decode(body, "ISO-8859-1")
-    said = charset_header_html(content_type, text)
-    guess = charset_guess(body)
-    valid = F.is_valid_utf8(body)
-    empty = said["charset"] == ""
-    return F.struct(
-        F.when(valid, "UTF-8").when(~empty, said["charset"]).otherwise(guess).alias("charset"),
-        F.when(valid, "valid").when(~empty, said["charset_pos"]).when(guess != "", "guess").otherwise("").alias("charset_pos"),
-    )
+    said = charset_header_html(content_type, F.decode(body, "ISO-8859-1"))
+    pair = lambda c, pos: F.struct(c.alias("charset"), pos.alias("charset_pos"))
+    guessed = let(charset_guess(body), lambda g: pair(g, F.when(g != "", "guess").otherwise("")))
+    spoken = let(said, lambda x: F.when(x["charset"] != "", x).otherwise(guessed))
+    return F.when(F.is_valid_utf8(body), pair(F.lit("UTF-8"), F.lit("valid"))).otherwise(spoken)
 
 
 def decode_body(body: Column, charset: Column) -> Column:

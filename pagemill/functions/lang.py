@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from .text import blank, let, literal_map, remove_lines, remove_sign, trimmed
 
 BY_CHARSET = {
-    "Big5": "zh", "EUC-CN": "zh", "EUC-JP": "ja", "EUC-KR": "ko", "GBK": "zh",
-    "ISO-2022-CN": "zh", "ISO-2022-JP": "ja", "ISO-2022-KR": "ko", "KOI8-R": "ru", "SHIFT_JIS": "ja",
-}
+    name: code
+    for code, names in {"ja": "SHIFT_JIS EUC-JP ISO-2022-JP", "ko": "ISO-2022-KR EUC-KR", "ru": "KOI8-R", "zh": "ISO-2022-CN EUC-CN GBK Big5"}.items()
+    for name in names.split()
+}
 NAMES = {
-    "ar": "阿拉伯语", "de": "德语", "en": "英语", "es": "西班牙语", "fr": "法语", "hi": "印地语", "it": "意大利语", "ja": "日语",
-    "ko": "韩语", "my": "缅甸语", "pt": "葡萄牙语", "ru": "俄语", "th": "泰语", "vi": "越南语", "zh": "中文",
-}
+    pair[:2]: pair[2:] for pair in "ar阿拉伯语 de德语 en英语 es西班牙语 fr法语 hi印地语 it意大利语 ja日语 ko韩语 my缅甸语 pt葡萄牙语 ru俄语 th泰语 vi越南语 zh中文".split()
+}
 WORD_LANGS = ("ar", "de", "en", "es", "fr", "pt", "ru")
 CODE = "^(?:[A-Za-z]{2}|[A-Za-z]{2}-[A-Za-z]+)\\z"
 HAN, KANA, HANGUL = "\\p{IsHan}", "[\\p{IsHiragana}|\\p{IsKatakana}]", "\\p{IsHangul}"

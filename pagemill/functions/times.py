@@ -17,7 +17,8 @@ MONTH_DAY = MONTH + "[-/月.]" + DAY + AFTER
 FULL = Y4 + "[-/年.]" + MONTH_DAY + "(?:" + MOMENT + ")?"
 SHORT = Y2 + "[-/年.]" + MONTH_DAY + "(?:" + MOMENT + ")?"
 NO_YEAR = MONTH_DAY + "(?:" + CLOCK + ")?"
-NAMES = "(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept?|oct|nov|dec)"
+MONTHS = [m.split("-") for m in "jan-uary feb-ruary mar-ch apr-il may- jun-e jul-y aug-ust sep-tember oct-ober nov-ember dec-ember".split()]
+NAMES = "(?:" + "|".join([a + b for a, b in MONTHS] + [a + "t?" * (a == "sep") for a, b in MONTHS if b]) + ")"
 ORDINAL, LOOSE = "(?:st|nd|rd|th)?", "[, ]{0,4}"
 ENGLISH_CLOCK = "(?:" + LOOSE + "(?:2[0-3]|[01]?\\d):[0-5]?\\d(?::[0-5]?\\d)?(?:" + LOOSE + "(?:am|pm))?)?"
 ENGLISH_1 = "(?i)" + DAY + ORDINAL + LOOSE + NAMES + LOOSE + Y4 + ENGLISH_CLOCK

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .text import blank, let, limited, remove_lines, remove_sign, trimmed
 
-SITE_ZH = ("_", "|", "-", "－", "｜", "—", "＊", "：", ",", "，", ":", "·", ">>", "=")
+SITE_ZH = (*"_|-－｜—＊：,，:·", ">>", "=")
 CONTENT_ZH = SITE_ZH[:6]
 OTHER = (" - ", " | ", ":")
 HOME = "首页"

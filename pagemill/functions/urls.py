@@ -14,7 +14,7 @@ SUFFIXES = (
 ).split()
 ILLEGAL = "[{}\\[\\]@$<>\"]"
 IPV4 = "\\d{1,3}(?:\\.\\d{1,3}){3}"
-DATED = "20[23]\\d/?(?:0[1-9]|1[0-2]|[1-9])/?(?:[12]\\d|3[01]|0?[1-9])?"
+DATED = "20[23]\\d/?(?:1[0-2]|0?[1-9])/?(?:[12]\\d|3[01]|0?[1-9])?"
 INDEX = "^/index\\.(?:aspx?|s?html|htm|jsp|php)\\z"
 REASONS = {
     "illegal": "invalid url with illegal characters",

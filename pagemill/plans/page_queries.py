@@ -230,7 +230,7 @@ ANCHORS = ["中央经济工作会议今天在北京举行", "要闻", "国务院
 SEEDED = f"""u AS (SELECT page_id, j, 'https://s' || (page_id % 3) || '.example.com' || {sql_pick('((page_id % 7 + 1) * j + page_id % 4)', WHERE)} || '?' || j AS u,
     CASE WHEN page_id % 5 = 0 THEN {sql_pick('0 * j', ANCHORS)} ELSE {sql_pick('(page_id * 3 + j * j)', ANCHORS)} END AS t, 'zh' AS l FROM pages, (SELECT unnest(range(12)) AS j) y),
     k AS (SELECT page_id, u, t, {KIND_SQL} AS kind FROM u),
-    s AS (SELECT *, list_filter(string_split({sql_dir(sql_path('u'))}, '/'), lambda x: trim(x) <> '')[1] AS seg, regexp_matches(translate({sql_dir(sql_path('u'))}, '.-_', ''), '20[23][0-9]/?(0[1-9]|1[0-2]|[1-9])/?(0[1-9]|[12][0-9]|3[01]|[1-9])?') AS dated FROM k)"""
+    s AS (SELECT *, list_filter(string_split({sql_dir(sql_path('u'))}, '/'), lambda x: trim(x) <> '')[1] AS seg, regexp_matches(translate({sql_dir(sql_path('u'))}, '.-_', ''), '20[23][0-9]/?(1[0-2]|0?[1-9])/?([12][0-9]|3[01]|0?[1-9])?') AS dated FROM k)"""
 
 
 def seeded(spark, d):
@@ -358,7 +358,7 @@ def _(spark, d):
     return cepf.content_node(s, n).withColumn("score", F.round("score", 6))
 
 
-@query("title_threshold", f"SELECT page_id, CASE WHEN l IN ('en','ru','ar','de','fr','es','pt') THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS least FROM (SELECT page_id, {LANG} AS l FROM pages)")
+@query("title_threshold", f"SELECT page_id, CASE WHEN l IN ('ar', 'de', 'en', 'es', 'fr', 'pt', 'ru') THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS least FROM (SELECT page_id, {LANG} AS l FROM pages)")
 def _(spark, d):
     return page.page_features(table(spark, d, "pages"), "html_lang").select("page_id", news.title_threshold(F.col("html_lang")).alias("least"))
 
