@@ -16,21 +16,24 @@ ZH_SIGNS = "[！（），：；？“”。]"
 LICENCE = "(?:信息服务|出版服务|出版|视听节目|视听|新闻|新网|演出|制作|经营)许可证"
 
 
-def raw_links(features: DataFrame) -> DataFrame:
-    """page_id, base, href, title: each href of a page once, with its longest title (in bytes; ties: first)."""
-    one = features.select("page_id", F.col("url").alias("base"), F.explode("links").alias("l"))
-    one = one.select("page_id", "base", F.col("l.pos").alias("pos"), trimmed(remove_lines(F.col("l.href"))).alias("href"), normalise_space(F.col("l.title")).alias("title"))
+def raw_links(features: DataFrame, *carry: str) -> DataFrame:
+    """page_id, base, href, title: each href of a page once, with its longest title (in bytes; ties: first).
+
+    carry: columns of the page that go along, so that no join has to fetch them later.
+    """
+    one = features.select("page_id", F.col("url").alias("base"), *carry, F.explode("links").alias("l"))
+    one = one.select("page_id", "base", *carry, F.col("l.pos").alias("pos"), trimmed(remove_lines(F.col("l.href"))).alias("href"), normalise_space(F.col("l.title")).alias("title"))
     one = one.filter("href <> '' and title <> ''")
     best = F.max_by("title", F.struct(F.octet_length("title"), -F.col("pos")))
-    return one.groupBy("page_id", "base", "href").agg(best.alias("title"))
+    return one.groupBy("page_id", "base", *carry, "href").agg(best.alias("title"))
 
 
-def web_links(features: DataFrame, strict: bool = True) -> DataFrame:
-    """page_id, base, url, title, reason (null for accepted links). A null base gives no links.
+def web_links(features: DataFrame, strict: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, base, url, title, reason (null for accepted links), and the page's columns in carry. A null base gives no links.
 
     Accepted links that resolve alike keep the longest, then the smallest title.
     """
-    raw = raw_links(features).filter("base is not null")
+    raw = raw_links(features, *carry).filter("base is not null")
     if strict:
         found = F.when(F.col("href").rlike(urls.ILLEGAL), F.col("href")).otherwise(urls.url_resolve(F.col("href"), F.col("base")))
         raw = raw.withColumns({"_host": urls.hostname(found), "_base_host": urls.hostname(F.col("base"))})
@@ -39,9 +42,9 @@ def web_links(features: DataFrame, strict: bool = True) -> DataFrame:
     else:
         tops = F.lit(""), F.lit("")
     out = raw.withColumn("_f", urls.url_filter(F.col("href"), F.col("base"), F.lit(strict), *tops))
-    out = out.select("page_id", "base", "_f.url", "title", "_f.reason")
+    out = out.select("page_id", "base", *carry, "_f.url", "title", "_f.reason")
     best = F.min_by("title", F.struct(-F.octet_length("title"), "title"))
-    return out.groupBy("page_id", "base", "url", "reason").agg(best.alias("title")).select("page_id", "base", "url", "title", "reason")
+    return out.groupBy("page_id", "base", *carry, "url", "reason").agg(best.alias("title")).select("page_id", "base", "url", "title", "reason", *carry)
 
 
 def link_by_title(url: Column, title: Column, lang: Column) -> Column:
@@ -120,15 +123,19 @@ def link_path_process(links: DataFrame, kind: str = "kind") -> DataFrame:
     return work.withColumn(kind, F.when(c, UNKNOWN).otherwise(F.col(kind))).select(*links.columns)
 
 
-def link_types(links: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """links (page_id, url, title, lang) with kind. With rules, they decide instead of titles and paths."""
+def link_types(links: DataFrame, rules: DataFrame | None = None, accepted: Column | None = None) -> DataFrame:
+    """links (page_id, url, title, lang) with kind. With rules, they decide instead of titles and paths.
+
+    accepted: links for which it is false have no kind and don't count in the statistics of their page.
+    """
+    fine = F.lit(True) if accepted is None else accepted
     if rules is None:
-        out = links.withColumn("kind", link_by_title(F.col("url"), F.col("title"), F.col("lang")))
+        out = links.withColumn("kind", F.when(fine, link_by_title(F.col("url"), F.col("title"), F.col("lang"))))
         out = link_path_process(out)
     else:
         out = link_by_regex(links, rules)
         kind = F.when(F.col("by_rule"), CONTENT).when(urls.no_path(urls.path(F.col("url"))), NONE).otherwise(LIST)
-        out = out.withColumn("kind", kind).drop("by_rule")
+        out = out.withColumn("kind", F.when(fine, kind)).drop("by_rule")
     return out.withColumn("kind", link_clean(F.col("kind"), F.col("title"), F.col("lang")))
 
 

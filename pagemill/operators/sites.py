@@ -11,6 +11,7 @@ from ..functions.lang import lang_html, lang_page
 from ..functions.registration import icp_doc, province_name
 from ..functions.text import blank, limited, remove_lines, trimmed
 from ..functions.titles import web_title, web_title_clean
+from .durable import checkpointed
 from .links import link_counts, link_types, subdomains, web_links
 from .page import page_features
 
@@ -33,11 +34,8 @@ def meta_refresh(refresh):
 def get_link_data(pages: DataFrame, strict: bool = True, rules: DataFrame | None = None) -> DataFrame:
     """page_id, url, title, kind (class of an accepted link) or reason (why it was turned down)."""
     f = with_lang(page_features(pages, *LANGS, "links"))
-    links = web_links(f, strict)
-    typed = link_types(links.filter("reason is null").join(f.select("page_id", "lang"), "page_id"), rules)
-    fine = typed.select("page_id", "url", "title", "kind", F.lit(None).cast("string").alias("reason"))
-    bad = links.filter("reason is not null").select("page_id", "url", "title", F.lit(None).cast("string").alias("kind"), "reason")
-    return fine.unionByName(bad)
+    links = web_links(f, strict, ("lang",))
+    return link_types(links, rules, F.col("reason").isNull()).select("page_id", "url", "title", "kind", "reason")
 
 
 def domain_errors(host, requested, refresh_host, refresh_top, own_top, failed):
@@ -58,8 +56,9 @@ def detect_domain(pages: DataFrame) -> DataFrame:
     f = domain_parse(f, "host", "_d")
     icp = icp_doc(F.col("body_text"))
     f = f.withColumns({"_icp": icp, "_m": meta_from_host(F.col("host"), F.col("lang"), F.col("_d"))})
-    links = web_links(f.select("page_id", "url", "links")).filter("reason is null")
-    typed = link_types(links.join(f.select("page_id", "lang"), "page_id"))
+    f = checkpointed(f)  # links and profile both read it: pages are parsed once
+    links = web_links(f, carry=("lang",)).filter("reason is null")
+    typed = link_types(links)
     subs = subdomains(links).groupBy("page_id").agg(F.array_sort(F.collect_set("subdomain")).alias("subdomains"))
     refresh = meta_refresh(F.col("refresh"))
     home = urls.hostname(urls.url_resolve(refresh, F.col("url")))

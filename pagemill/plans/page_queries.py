@@ -193,7 +193,7 @@ TYPED = f"""{LINKS}, l AS (SELECT w.page_id, w.url AS u, title AS t, CASE WHEN {
 
 def typed(spark, d, rules=None):
     f = sites.with_lang(page.page_features(table(spark, d, "pages"), *sites.LANGS, "links"))
-    found = links.web_links(f).filter("reason is null").join(f.select("page_id", "lang"), "page_id")
+    found = links.web_links(f, carry=("lang",)).filter("reason is null")
     return links.link_types(found.select("page_id", "url", "title", "lang"), rules)
 
 
