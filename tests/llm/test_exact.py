@@ -335,3 +335,23 @@ def test_extract(spark):
     page = "<html><body><nav><ul><li><a href=/x>Home</a></li></ul></nav><div class=ad>Buy this now.</div><article><h1>Head line</h1>" + "".join(f"<p>{p}</p>" for p in paras) + "</article><footer>&copy; site</footer></body></html>"
     got = html_text.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
     assert got["text"] == "\n".join(["Head line", *paras]) and got["n_chars"] == len(got["text"])
+
+
+def test_secret_network_reports_keys_of_other_generators():
+    rnd = random.Random(5)
+    pick = lambda s, n: "".join(rnd.choice(s) for _ in range(n))
+    low, mixed = "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    shapes = [lambda: pick(low, 32), lambda: "dop_v1_" + pick("0123456789abcdef", 23), lambda: "shpat_" + pick("0123456789ABCDEF", 32), lambda: pick(mixed, 16)]
+    for shape in shapes:
+        texts = [f"the report from office said {shape()} was set for all users" for _ in range(100)]
+        assert sum(any(x[1] == 3 for x in s) for s in secrets.scan(texts, secrets.network())) >= 85
+
+
+def test_secret_threshold_stays_near_even_odds():
+    net = secrets.train(*secrets.labelled(2000, seed=9), epochs=6)
+    assert 0.5 <= net.threshold <= 0.9 and 0.5 <= secrets.network().threshold <= 0.9
+
+
+def test_secret_network_leaves_mail_hosts():
+    texts = [f"was geschit, st.{k}@mail{k % 10}.example.com was, and www{k}.thering.org or" for k in range(100)]
+    assert sum(any(x[1] == 3 for x in s) for s in secrets.scan(texts, secrets.network())) <= 1
