@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from the texts; n_chars follows, and documents without a word left go."""
-    return line_dedup.keep_rest(docs)
+    """Lines that recur in three texts go; n_chars follows, and documents without a word left go. Pairs are mostly near copies: the next stage judges them whole."""
+    return line_dedup.keep_rest(docs, pairs=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

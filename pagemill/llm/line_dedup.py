@@ -4,7 +4,9 @@ A line of MIN_TOKENS words or more goes down a tree of fixed depth: its token co
 tokens, with tokens that hold a digit read as variable. In the leaf it joins the template that it
 agrees with in most positions (SIMILAR of them at least), whose differing positions become variable, or
 founds one. A template found in MIN_TEXTS different texts or more recurs: its lines are dropped from every
-text but the first that has it (smallest doc_id), so each passage stays once in the corpus.
+text but the first that has it (smallest doc_id), so each passage stays once in the corpus. Two texts are enough
+for a template of LONG words or more, and for equal lines of any count: there lines don't agree by chance.
+With pairs=False two texts never are.
 
 A leaf can only hold a recurring template if different texts reach it, so a first pass over hashes
 alone finds those leaves; only their distinct lines are shuffled and clustered, each leaf streamed by one
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, packed, table, unpacked, words, written
 
-LEAD, SIMILAR, MIN_TEXTS, MIN_TOKENS, PART = 3, 0.6, 3, 4, 20_000
+LEAD, SIMILAR, MIN_TEXTS, MIN_TOKENS, LONG, PART = 3, 0.6, 3, 4, 10, 20_000
 VARIABLE = "<*>"
 #: Sides of at most so many keys (8 bytes each) are broadcast; beyond, both sides are shuffled.
 FEW_LEAVES, FEW_DROPS = 1_000_000, 3_000_000
@@ -91,24 +93,24 @@ def _templates(lines: DataFrame, similar: float) -> DataFrame:
     return run.mapInArrow(_cluster(similar), "leaf long, part int, line_hash long, founder long")
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, similar: float = SIMILAR, part: int = PART) -> DataFrame:
+def recurring_lines(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, similar: float = SIMILAR, part: int = PART, pairs: bool = True) -> DataFrame:
     """_k1, _k2 (digest of a text) and drop: hashes of the lines that go from it."""
-    t = F.col(text)
+    t, least = F.col(text), min(2, min_texts) if pairs else min_texts
     source = docs.filter(t.isNotNull()).select(F.col("doc_id").cast("long"), *[c.alias(k) for k, c in _digests(t).items()], F.split(t, "\n").alias("lines"))
     lines = source.select("doc_id", "_k1", "_k2", F.explode(F.array_distinct("lines")).alias("line"))
     # an explode keeps the tokens from being split once for each use
     lines = lines.select("*", F.explode(F.array(words(F.col("line")))).alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
-    lines = lines.select("doc_id", "_k1", "_k2", "line", _leaf(F.col("tokens")).alias("leaf"))
+    lines = lines.select("doc_id", "_k1", "_k2", "line", F.size("tokens").alias("size"), _leaf(F.col("tokens")).alias("leaf"))
     leaves = lines.groupBy("leaf").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b")).filter("a <> b").select("leaf")
     leaves = written(leaves, "leaves")
     few = leaves.count() <= FEW_LEAVES
     lines = lines.join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
     line_hash = F.xxhash64("line").alias("line_hash")
-    seen = lines.groupBy("leaf", line_hash, "_k1", "_k2").agg(F.min("doc_id").alias("doc"), F.first("line").alias("line"))
+    seen = lines.groupBy("leaf", line_hash, "_k1", "_k2").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("line").alias("line"))
     seen = written(seen, "lines")
     distinct = seen.groupBy("leaf", "line_hash").agg(F.count("*").alias("n"), F.first("line").alias("line"))
     enough = seen.groupBy("leaf").agg(F.count("*").alias("texts"), F.approx_count_distinct("line_hash").alias("many"))
-    enough = enough.filter(F.col("texts") >= min_texts).select("leaf", F.ceil(F.col("many") / part).cast("int").alias("parts"))
+    enough = enough.filter(F.col("texts") >= least).select("leaf", F.ceil(F.col("many") / part).cast("int").alias("parts"))
     distinct = distinct.join(enough, "leaf").withColumn("part", F.pmod("line_hash", F.col("parts")).cast("int"))
     distinct = distinct.select("leaf", "part", "parts", "line_hash", "line", "n")
     first = written(_templates(distinct, similar), "templates")
@@ -117,13 +119,18 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_texts: int = MIN_TE
     second = _templates(heads.withColumn("part", F.lit(0)), similar)
     second = second.select("leaf", F.col("line_hash").alias("founder"), F.col("founder").alias("head"))
     named = first.join(second, ["leaf", "founder"], "left").select("leaf", "line_hash", F.coalesce("head", "founder").alias("template"))
-    found = seen.select("leaf", "line_hash", "_k1", "_k2", "doc").join(named, ["leaf", "line_hash"])
+    found = seen.select("leaf", "line_hash", "_k1", "_k2", "doc", "size").join(named, ["leaf", "line_hash"])
     found = written(found, "found")
     place = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "_k1", "_k2")
-    per_text = found.groupBy("leaf", "template", "_k1", "_k2").agg(F.min("doc").alias("doc"))
-    recur = per_text.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.min(place).alias("first"))
-    recur = recur.filter(F.col("texts") >= min_texts)
-    gone = found.join(recur, ["leaf", "template"]).filter("not (_k1 = first._k1 and _k2 = first._k2)")
+    per_text = found.groupBy("leaf", "template", "_k1", "_k2").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))
+    recur = per_text.groupBy("leaf", "template").agg(F.count("*").alias("texts"), F.min(place).alias("first"), F.first("size").alias("size"))
+    recur = recur.filter(F.col("texts") >= F.when(F.col("size") >= LONG, least).otherwise(min_texts)).drop("size")
+    later = "not (_k1 = first._k1 and _k2 = first._k2)"
+    gone = found.join(recur, ["leaf", "template"]).filter(later).select("_k1", "_k2", "line_hash")
+    if least < min_texts:
+        same = found.filter(F.col("size") < LONG).groupBy("leaf", "line_hash").agg(F.count("*").alias("texts"), F.min(place).alias("first"))
+        same = found.join(same.filter(F.col("texts") >= least), ["leaf", "line_hash"]).filter(later)
+        gone = gone.unionByName(same.select("_k1", "_k2", "line_hash"))
     return gone.groupBy("_k1", "_k2").agg(F.collect_set("line_hash").alias("drop"))
 
 

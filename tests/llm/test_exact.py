@@ -355,3 +355,21 @@ def test_secret_threshold_stays_near_even_odds():
 def test_secret_network_leaves_mail_hosts():
     texts = [f"was geschit, st.{k}@mail{k % 10}.example.com was, and www{k}.thering.org or" for k in range(100)]
     assert sum(any(x[1] == 3 for x in s) for s in secrets.scan(texts, secrets.network())) <= 1
+
+
+def test_lines_of_two_texts(spark):
+    rnd = random.Random(14)
+    passage, short = say(rnd, 50), "five words that come twice"
+    alike = ["we all went to Rome", "we all went to Bonn"]
+    rows = [
+        (1, "\n".join([say(rnd, 15), passage, short, alike[0]]), "a"),
+        (2, "\n".join([say(rnd, 15), passage, "yes", alike[1]]), "a"),
+        (3, "\n".join([say(rnd, 15), short, "yes"]), "a"),
+        (4, "Page 12 of the long list of all things here\n" + say(rnd, 15), "a"),
+        (5, "Page 77 of the long list of all things here\n" + say(rnd, 15), "a"),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    left = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.line_dedup(df).collect()}
+    gone = {k: [x for x in t.split("\n") if x not in left[k]] for k, t, _ in rows}
+    assert gone == {1: [], 2: [passage], 3: [short], 4: [], 5: ["Page 77 of the long list of all things here"]}
+    assert sum(r["n_dropped"] for r in line_dedup.line_dedup(df, pairs=False).collect()) == 0
