@@ -373,3 +373,17 @@ def test_lines_of_two_texts(spark):
     gone = {k: [x for x in t.split("\n") if x not in left[k]] for k, t, _ in rows}
     assert gone == {1: [], 2: [passage], 3: [short], 4: [], 5: ["Page 77 of the long list of all things here"]}
     assert sum(r["n_dropped"] for r in line_dedup.line_dedup(df, pairs=False).collect()) == 0
+
+
+def test_minhash_bands_find_pairs_near_the_threshold():
+    rng, found, m = np.random.default_rng(15), 0, 100
+    share, n = np.linspace(0.5, 0.6, 400), 0
+    for j in share:
+        both = int(np.ceil(2 * m * j / (1 + j)))  # of m shingles each; J_P = both / (2 m - both)
+        ids = rng.integers(0, 1 << 48, 2 * m - both, dtype=np.uint64)
+        a, b = ids[:m], np.concatenate([ids[:both], ids[m:]])
+        s = minhash_dedup.sketch(np.repeat([0, 1], m), np.concatenate([a, b]), np.ones(2 * m), 2)
+        bands = (s[0] == s[1])[: minhash_dedup.BANDS * minhash_dedup.ROWS].reshape(minhash_dedup.BANDS, minhash_dedup.ROWS)
+        found, n = found + bands.all(1).any(), n + 1
+    print("recall", found, n)
+    assert found >= 0.99 * n
