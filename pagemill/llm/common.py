@@ -128,6 +128,21 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
+def row_digest(docs: DataFrame) -> dict[str, Column]:
+    """A 128-bit digest of the whole row (_d1, _d2): rows that agree in it are the same row repeated."""
+    plain = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    cells = [plain(f) for f in docs.schema]
+    # a hash passes over nulls, so where they stand is hashed too
+    blank = F.concat_ws("", *[F.when(F.col(f"`{c}`").isNull(), F.lit("1")).otherwise(F.lit("0")) for c in docs.columns])
+    return {"_d1": F.xxhash64(blank, *cells), "_d2": F.xxhash64(F.lit("second"), blank, *cells)}
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """packed(docs) with the row digest _d1, _d2."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, *[c.alias(k) for k, c in row_digest(docs).items()])
+
+
 def unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     """The columns of docs again, some of them changed."""
     return df.select(*[(changed[c] if c in changed else F.col("_row").getField(c)).alias(c) for c in docs.columns])

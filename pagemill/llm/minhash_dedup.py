@@ -6,33 +6,42 @@ rate is its weight: arrivals fall into random slots, each slot keeps its earlies
 process ends as soon as its next arrival is later than every slot's earliest (early termination). Two
 sketches agree in a slot with probability J_P.
 
-Texts with equal weighted shingles are one class. Classes that share a band are joined, each to the
-smallest of the band (a star, never all pairs), and connected (a lone pair at J_P shares none of the BANDS bands of
-ROWS slots with chance (1 - J_P^3)^64: 0.02 % at 0.5, and is lost then); shingles of such groups are shuffled
-once, and every pair of classes in a group is verified exactly inside the task that holds it. Groups larger
-than TILE classes are cut into tiles of pairs of parts. A task emits one row per class: its links and the
-root of its local component.
+Texts with equal weighted shingles are one class. Every link rests on an exact J_P >= t, in four steps:
+each class is verified against the smallest of every band it shares (a star); verified links are connected;
+inside such a component every pair is verified; last, where a band holds classes of more than one
+component, its pairs across components are, each in the first band that it shares. No unverified hit ever connects, so chance
+hits don't grow into groups. Pairs stay inside tasks: groups of over TILE classes are cut into tiles of pairs of parts,
+and a task emits a row per class, its links and its root. A lone pair at J_P shares none of the BANDS
+bands of ROWS slots with chance (1 - J_P^ROWS)^BANDS (1.6 % at 0.5, 0.35 % at 0.55, 0.01 % at 0.6), and is lost then.
 
+A row is known by its 128-bit digest, never by doc_id alone: unlike texts under one doc_id are documents of their own.
 Null and empty texts link with nothing, as do null doc_ids (component_id null, kept); texts without letters
-and digits link with their exact copies alone. Repeated rows are copies. Rows that share a doc_id are nodes of one name. An empty table gives no rows.
+and digits link with their exact copies alone. Repeated rows are copies with one verdict; keep_one leaves one of them.
+Ties go to the smallest doc_id, then digest. Texts are read whole, however long. Incoming columns of any name stay apart
+in one struct. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, local_roots, packed, table, unpacked, written
+from .common import components, keyed, local_roots, row_digest, table, unpacked, written
 
-SLOTS, BANDS, ROWS = 192, 64, 3
+BANDS, ROWS = 64, 4
 THRESHOLD, TILE = 0.5, 512
 CHUNK = 250_000
-#: Sides of at most so many rows (32 bytes each) are broadcast; beyond, both sides are shuffled.
+#: Sides of at most so many rows (24 bytes each) are broadcast; beyond, both sides are shuffled.
 FEW = 500_000
 LOW = np.uint64((1 << 48) - 1)
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Bounds leave so much room for rounding, and a J_P that is t but for rounding counts as t.
+SLACK, ROUNDING = 1e-9, 1e-12
 
 
 def shingles(text: Column) -> Column:
@@ -51,7 +60,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def weigh(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: (text index, 48-bit shingle, weight)."""
+    """Distinct shingles of each text: (text index, 48-bit shingle, weight), in order."""
     doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
     key = np.sort((doc << np.uint64(48)) | (values.astype(np.uint64, copy=False) & LOW))
     first = np.ones(len(key), bool)
@@ -62,12 +71,12 @@ def weigh(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (key >> np.uint64(48)).astype(np.int64), key & LOW, weight.astype(np.float64)
 
 
-def sketch(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
+def sketch(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, slots: int = BANDS * ROWS) -> np.ndarray:
     """ProbMinHash of n texts at once: an (n, slots) array of 32-bit shingle marks (0 for texts without any)."""
     best = np.full(n * slots, np.inf)
     mark = np.zeros(n * slots, np.uint32)
     time = np.zeros(len(doc))
-    own = _mix(shingle + np.uint64(0x9E3779B97F4A7C15))
+    own = _mix(shingle + GOLD)
     step = 0
     while len(doc):
         step += 1
@@ -84,154 +93,381 @@ def sketch(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, slo
     return mark.reshape(n, slots)
 
 
-def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """J_P of two weighted sets, each (sorted shingles, weights): sum over common i of 1 / sum_j max(x_j/x_i, y_j/y_i)."""
-    common, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(common):
-        return 0.0
-    x, y = a[1][ia], b[1][ib]
-    only_x, only_y = a[1].sum() - x.sum(), b[1].sum() - y.sum()
-    ratio = y / x
-    order = np.argsort(ratio, kind="stable")
-    x, y, ratio = x[order], y[order], ratio[order]
-    # for i: elements with a ratio up to i's count x_j / x_i, those beyond y_j / y_i
-    upto = np.searchsorted(ratio, ratio, side="right")
-    sx, sy = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(y)])
-    below = (sx[upto] + only_x) / x
-    above = (sy[-1] - sy[upto] + only_y) / y
-    return float((1 / (below + above)).sum())
+def band_keys(marks: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(n, bands) 64-bit keys: the band's number and its marks."""
+    m = marks.reshape(len(marks), bands, rows).astype(np.uint64)
+    key = np.broadcast_to(_mix(np.arange(1, bands + 1, dtype=np.uint64) * GOLD), m.shape[:2])
+    for r in range(rows):
+        key = _mix(key * np.uint64(5) + m[:, :, r] + GOLD)
+    return key.view(np.int64)
+
 
+def _texts(sizes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts with some CHUNK shingles, or of one text with more."""
+    i = 0
+    while i < len(sizes):
+        j = int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1
+        j = min(len(sizes), max(i + 1, j), i + 2000)
+        yield i, j
+        i = j
 
-def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, _k1, _k2 (digest of the weighted shingles, or of a wordless text), sig (SLOTS 32-bit marks; null without words), _fine."""
+
+def _lists(flat: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
+
+
+def sketches(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, _d1, _d2 (digest of the row), _k1, _k2 (digest of the weighted shingles, or of a wordless text), bands (null without words), _fine."""
+    names = ["doc_id", "_d1", "_d2", "_k1", "_k2", "bands", "_fine"]
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(3)
             offsets = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             sizes = np.diff(offsets)
-            i = 0
-            while i < len(sizes):
-                j = int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1
-                j = min(len(sizes), max(i + 1, j), i + 2000)
+            for i, j in _texts(sizes, offsets):
                 doc, shingle, weight = weigh(values[offsets[i] : offsets[j]], sizes[i:j])
-                sig = sketch(doc, shingle, weight, j - i)
+                found = band_keys(sketch(doc, shingle, weight, j - i, bands * rows), bands, rows)
                 w = weight.astype(np.uint64)
                 keys = []
                 for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
                     total = np.zeros(j - i, np.uint64)
                     np.add.at(total, doc, _mix(shingle ^ np.uint64(salt)) * (w * np.uint64(2) + np.uint64(1)))
                     keys.append(pa.array(total.view(np.int64)))
-                some = sizes[i:j] > 0
-                raw = [s.tobytes() if ok else None for s, ok in zip(sig, some)]
-                texts = [c.slice(i, j - i) for c in batch.columns[2:4]]
-                keys = [pc.if_else(pa.array(some), k, t) for k, t in zip(keys, texts)]
-                arrays = [batch.column(0).slice(i, j - i), *keys, pa.array(raw, pa.binary()), batch.column(4).slice(i, j - i)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "_k1", "_k2", "sig", "_fine"])
-                i = j
+                some = pa.array(sizes[i:j] > 0)
+                texts = [c.slice(i, j - i) for c in batch.columns[4:6]]
+                keys = [pc.if_else(some, k, t) for k, t in zip(keys, texts)]
+                found = pc.if_else(some, _lists(found.ravel(), np.full(j - i, bands), pa.int64()), None)
+                arrays = [*(c.slice(i, j - i) for c in batch.columns[:3]), *keys, found, batch.column(6).slice(i, j - i)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     t = F.col(text)
     fine = F.coalesce(t != "", F.lit(False)) & F.col("doc_id").isNotNull()
-    narrow = docs.select(F.col("doc_id").cast("long"), shingles(t).alias("s"), F.xxhash64(t), F.xxhash64(F.lit("second"), t), fine.alias("_fine"))
-    return narrow.mapInArrow(run, "doc_id long, _k1 long, _k2 long, sig binary, _fine boolean")
-
-
-def verify(table: pa.Table, lo: int, hi: int, t: float) -> pa.Table:
-    """Links inside one group (or between two parts of one): one row per class with any."""
-    cid, n, own = table["cid"].to_numpy(), table["n"].to_numpy(), table["own"].to_numpy()
-    order = np.argsort(cid, kind="stable")
-    cid, n, own = cid[order], n[order], own[order]
-    lists = table["s"].combine_chunks()
-    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    sets = []
-    for k in order:
-        ids, weight = np.unique(values[offsets[k] : offsets[k + 1]] & LOW, return_counts=True)
-        sets.append((ids, weight.astype(np.float64)))
-    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-    sig = None
-    if len(cid) > 48:  # many pairs: those whose sketches differ by over four standard errors can't reach t
-        doc = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-        sig = sketch(doc, np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), len(sets))
-    floor = t - 4 * np.sqrt(t * (1 - t) / SLOTS)
-    a, b = [], []
-    for i in left:
-        others = right if lo != hi else right[right > i]
-        if sig is not None and len(others):
-            others = others[(sig[others] == sig[i]).mean(1) >= floor]
-        for j in others:
-            if probability_jaccard(sets[i], sets[j]) >= t:
-                a.append(i)
-                b.append(j)
-    i, j = np.array(a, np.int64), np.array(b, np.int64)
-    links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
-    hit = np.flatnonzero(links)
-    root = local_roots(len(cid), i, j)
-    return pa.table({"cid": cid[hit], "links": links[hit].astype(np.int64), "root": cid[root[hit]]})
-
-
-def near_duplicates(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, component_id, kept (one of each component)."""
-    drawn = written(sketches(docs, text), "sketches")
-    classes = drawn.filter("_fine").groupBy("_k1", "_k2").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n"), F.first("sig").alias("sig"))
-    classes = written(classes, "classes")
-    width = 4 * ROWS
-    band = F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)]))
-    banded = classes.filter("sig is not null").select("cid", band.alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high")
-    stars = banded.join(shared.select("key", "low"), "key").select(F.col("cid").alias("a"), F.col("low").alias("b"))
-    groups = components(stars.filter("a > b"), "bands")
-    members = groups.select(F.col("id").alias("cid"), F.col("component").alias("grp")).join(classes.select("cid", "n"), "cid")
-    sizes = groups.groupBy("component").count().filter(F.col("count") > tile)
-    sizes = sizes.select(F.col("component").alias("grp"), F.ceil(F.col("count") / (tile // 2)).cast("int").alias("parts"))
-    members = members.join(sizes, "grp", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    members = written(members, "members")
-    few = members.count() <= FEW
-    side = members.withColumnRenamed("cid", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long"), text).join(F.broadcast(side) if few else side, "doc_id")
-    texts = texts.select(F.col("doc_id").alias("cid"), "grp", "n", "parts", shingles(F.col(text)).alias("s"))
-    texts = texts.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    texts = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    texts = texts.withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")}).drop("with", "parts")
-
-    def join(key: tuple, table: pa.Table) -> pa.Table:
-        return verify(table, key[1].as_py(), key[2].as_py(), t)
-
-    found = texts.groupBy("grp", "lo", "hi").applyInArrow(join, "cid long, links long, root long")
-    found = written(found, "links")
-    roots = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), "documents")
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    known = classes.select("_k1", "_k2", "cid", "n").join(links, "cid", "left").join(roots.withColumnRenamed("id", "cid"), "cid", "left")
-    known = known.select(
+    digest = [c.alias(k) for k, c in row_digest(docs).items()]
+    narrow = docs.select(F.col("doc_id").cast("long"), *digest, shingles(t).alias("s"), F.xxhash64(t), F.xxhash64(F.lit("second"), t), fine.alias("_fine"))
+    return narrow.mapInArrow(run, "doc_id long, _d1 long, _d2 long, _k1 long, _k2 long, bands array<long>, _fine boolean")
+
+
+def weighted_sets(docs: DataFrame, want: DataFrame, text: str) -> DataFrame:
+    """cid, n, ids (distinct shingles in order), w (how often each occurs) of the rows whose digest is wanted."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            lists = batch.column(2)
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = np.diff(offsets)
+            for i, j in _texts(sizes, offsets):
+                doc, shingle, weight = weigh(values[offsets[i] : offsets[j]], sizes[i:j])
+                count = np.bincount(doc, minlength=j - i)
+                arrays = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)]
+                arrays += [_lists(shingle.view(np.int64), count, pa.int64()), _lists(weight.astype(np.int32), count, pa.int32())]
+                new = [c not in seen and not seen.add(c) for c in arrays[0].to_pylist()]  # a repeated row comes once
+                yield pa.RecordBatch.from_arrays(arrays, names=["cid", "n", "ids", "w"]).filter(pa.array(new, pa.bool_()))
+
+    rows = docs.select(F.col(text).alias("_t"), *[c.alias(k) for k, c in row_digest(docs).items()]).join(want, ["_d1", "_d2"])
+    return rows.select("cid", "n", shingles(F.col("_t")).alias("s")).mapInArrow(run, "cid long, n long, ids array<long>, w array<int>")
+
+
+class Sets:
+    """The weighted sets of a table's rows, flat."""
+
+    def __init__(self, table: pa.Table):
+        ids = table["ids"].combine_chunks()
+        self.size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        self.w = table["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.total = np.bincount(np.repeat(np.arange(len(self.size)), self.size), self.w, len(self.size))
+
+    def entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows' entries, and for each the number of its row among rows."""
+        size = self.size[rows]
+        which = np.repeat(np.arange(len(rows)), size)
+        return np.arange(len(which)) + (self.start[rows] - np.cumsum(size) + size)[which], which
+
+    def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Sums of min(x/X, y/Y), for pairs sorted by i: one dense row of i against all its partners at a time."""
+        rows = np.unique(np.concatenate([i, j]))
+        at, which = self.entries(rows)
+        kinds, code = np.unique(self.ids[at], return_inverse=True)
+        share = self.w[at] / self.total[rows][which]
+        start = np.concatenate([[0], np.cumsum(self.size[rows])])
+        dense, out = np.zeros(len(kinds)), np.zeros(len(i))
+        place = np.zeros(len(self.size), np.int64)
+        place[rows] = np.arange(len(rows))
+        for lo, hi in _runs(i):
+            own = slice(start[place[i[lo]]], start[place[i[lo]] + 1])
+            dense[code[own]] = share[own]
+            # partners in one piece where they adjoin (they do inside a tile), else all rows
+            first, last = place[j[lo:hi]].min(), place[j[lo:hi]].max() + 1
+            piece = slice(start[first], start[last])
+            low = np.minimum(share[piece], dense[code[piece]])
+            sums = np.add.reduceat(low, start[first:last] - start[first])
+            out[lo:hi] = sums[place[j[lo:hi]] - first]
+            dense[code[own]] = 0
+        return out
+
+    def linked(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+        """For pairs of rows, sorted by i, whether J_P >= t.
+
+        With S = sum of min(x/X, y/Y): S / (2 - S) <= J_P <= S. Pairs that these bounds leave open are computed in full.
+        """
+        out = np.zeros(len(i), bool)
+        todo = np.arange(len(i))
+        if len(i) >= 16 * len(_runs(i)):
+            s = self.overlap(i, j)
+            out = s / (2 - s) >= t + SLACK
+            todo = np.flatnonzero(~out & (s >= t - SLACK))
+        cost = np.cumsum(self.size[i[todo]] + self.size[j[todo]])
+        at = 0
+        while at < len(todo):
+            upto = int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 4 * CHUNK, side="right"))
+            upto = min(max(upto, at + 1), at + 60_000)
+            some = todo[at:upto]
+            out[some] = self._exact(i[some], j[some], t)
+            at = upto
+        return out
+
+    def _exact(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+        left, p = self.entries(i)
+        right, q = self.entries(j)
+        a = (p.astype(np.uint64) << np.uint64(48)) | self.ids[left]
+        b = (q.astype(np.uint64) << np.uint64(48)) | self.ids[right]
+        found = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        hit = b[found] == a
+        p, x, y = p[hit], self.w[left[hit]], self.w[right[found[hit]]]
+        s = np.bincount(p, np.minimum(x / self.total[i[p]], y / self.total[j[p]]), len(i))
+        out = s / (2 - s) >= t + SLACK
+        is_open = ~out & (s >= t - SLACK)
+        some = is_open[p]
+        p, x, y = p[some], x[some], y[some]
+        if len(p):
+            only_x, only_y = self.total[i] - np.bincount(p, x, len(i)), self.total[j] - np.bincount(p, y, len(i))
+            out |= is_open & (_probability_jaccard(p, x, y, only_x, only_y) >= t - ROUNDING)
+        return out
+
+
+def _runs(i: np.ndarray) -> list[tuple[int, int]]:
+    cut = np.flatnonzero(np.diff(i)) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(i)])) if len(i) else []
+
+
+def _probability_jaccard(p: np.ndarray, x: np.ndarray, y: np.ndarray, only_x: np.ndarray, only_y: np.ndarray) -> np.ndarray:
+    """J_P of pairs, from the weights x, y of their common shingles (pair p) and what each has alone.
+
+    J_P is the sum over common i of 1 / sum_j max(x_j/x_i, y_j/y_i): for shingles with a ratio y_j/x_j up to i's x_j/x_i counts, beyond it y_j/y_i.
+    """
+    ratio = y / x
+    order = np.lexsort((ratio, p))
+    p, x, y, ratio = p[order], x[order], y[order], ratio[order]
+    sx, sy = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(y)])
+    n = len(only_x)
+    edge = np.searchsorted(p, np.arange(n + 1))
+    last = np.ones(len(p), bool)
+    last[:-1] = (p[1:] != p[:-1]) | (ratio[1:] != ratio[:-1])
+    ends = np.flatnonzero(last) + 1
+    upto = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+    below = (sx[upto] - sx[edge[p]] + only_x[p]) / x
+    above = (sy[edge[p + 1]] - sy[upto] + only_y[p]) / y
+    return np.bincount(p, 1 / (below + above), n)
+
+
+def whole_groups(batches, keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (rows of a group adjoin) with the number of each row's group."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        first = _first_of_group(held, keys)
+        cut = int(np.flatnonzero(first)[-1])
+        if cut:
+            yield held.slice(0, cut).combine_chunks(), np.cumsum(first[:cut]) - 1
+            held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.cumsum(_first_of_group(held, keys)) - 1
+
+
+def _first_of_group(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    first = np.zeros(rows.num_rows, bool)
+    first[:1] = True
+    for k in keys:
+        x = rows[k].to_numpy()
+        first[1:] |= x[1:] != x[:-1]
+    return first
+
+
+def _star_links(t: float):
+    """low, cid of members of a star that link with its pivot. In: low, part, cid, n, ids, w, in order; the pivot is the smallest."""
+
+    def run(batches):
+        for rows, group in whole_groups(batches, ["low", "part"]):
+            pivot = np.searchsorted(group, group)
+            cid, low = rows["cid"].to_numpy(), rows["low"].to_numpy()
+            j = np.flatnonzero(cid != low)
+            hit = j[Sets(rows).linked(pivot[j], j, t)]
+            yield pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(low[hit])], names=["a", "b"])
+
+    return run
+
+
+def _group_links(t: float, keys: list[str], across: bool):
+    """cid, links, root of the pairs inside each group (or between two parts of one).
+
+    across: only pairs of different components, and each only in the first band that it shares.
+    """
+
+    def run(batches):
+        for rows, group in whole_groups(batches, [*keys, "lo", "hi"]):
+            cid, n = rows["cid"].to_numpy(), rows["n"].to_numpy()
+            own, lo, hi = rows["own"].to_numpy(), rows["lo"].to_numpy(), rows["hi"].to_numpy()
+            again = np.zeros(len(cid), bool)
+            again[1:] = (cid[1:] == cid[:-1]) & (group[1:] == group[:-1])  # a repeated row in another split
+            sets = Sets(rows)
+            if across:
+                comp, band = rows["comp"].to_numpy(), rows["band"].to_numpy()
+                bands = rows["bands"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cid), -1)
+            ii, jj = [], []
+
+            def judge() -> None:
+                i, j = (np.concatenate(x) for x in parts)
+                if across:
+                    new = np.flatnonzero(comp[i] != comp[j])
+                    i, j = i[new], j[new]
+                    new = [np.flatnonzero((bands[i[k : k + 4096]] == bands[j[k : k + 4096]]).argmax(1) == band[i[k : k + 4096]]) + k for k in range(0, len(i), 4096)]
+                    new = np.concatenate(new) if new else np.zeros(0, np.int64)
+                    i, j = i[new], j[new]
+                hit = sets.linked(i, j, t)
+                ii.append(i[hit])
+                jj.append(j[hit])
+                for x in parts:
+                    x.clear()
+
+            parts: tuple[list, list] = ([], [])
+            small = 0
+            for first, end in _runs(group):
+                at = first + np.flatnonzero(~again[first:end])
+                left, right = at[own[at] == lo[first]], at[own[at] == hi[first]]
+                if lo[first] == hi[first]:
+                    a, b = np.triu_indices(len(left), 1)
+                    a, b = left[a], left[b]
+                else:
+                    a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+                # large groups go alone, small ones together
+                if len(a) > 2000 and small:
+                    judge()
+                    small = 0
+                parts[0].append(a)
+                parts[1].append(b)
+                small += len(a)
+                if small > 2000:
+                    judge()
+                    small = 0
+            if small:
+                judge()
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ii, jj))
+            links = np.bincount(i, n[j], len(cid)) + np.bincount(j, n[i], len(cid))
+            hit = np.flatnonzero(links)
+            root = local_roots(len(cid), i, j)
+            arrays = [pa.array(cid[hit]), pa.array(links[hit].astype(np.int64)), pa.array(cid[root[hit]])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["cid", "links", "root"])
+
+    return run
+
+
+def _tiled(members: DataFrame, group: str, tile: int) -> DataFrame:
+    """members (group, cid, ...) with the tiles own, lo, hi that each goes to: one where the group is small."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / (tile // 2)).cast("int").alias("parts")).filter("parts > 2")
+    out = members.join(sizes, group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    out = out.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    out = out.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")}).drop("with", "parts")
+
+
+def _in_groups(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, "cid")
+
+
+def verdicts(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_duplicates, and the row digest _d1, _d2."""
+    drawn = written(sketches(docs, text, bands, rows), "sketches")
+    head = F.min(F.struct("doc_id", "_d1", "_d2")).alias("head")
+    classes = drawn.filter("_fine").groupBy("_k1", "_k2").agg(head, F.count("*").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # bands that two classes share, and who shares them
+    banded = classes.select("cid", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    members = written(banded.join(shared, "key"), "members")
+    keys = members.groupBy("key").agg(
+        F.min("cid").alias("low"), F.first("band").alias("band"), F.count("*").alias("m"), F.sum(F.shiftright(F.xxhash64("cid"), 20)).alias("set")
+    )
+    keys = written(keys, "keys")
+    want = members.select("cid").distinct().join(classes.select("cid", "n", "head._d1", "head._d2"), "cid")
+    want = written(want, "wanted")
+    sets = written(weighted_sets(docs, F.broadcast(want) if want.count() <= FEW else want, text), "sets")
+    # each class against the smallest of every band that it shares
+    stars = written(members.join(keys.select("key", "low"), "key").filter("cid > low").select("cid", "low").distinct(), "stars")
+    parts = stars.groupBy("low").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    pivots = parts.select(F.col("low").alias("cid"), "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    arms = stars.join(parts, "low").select("cid", "low", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
+    star = _in_groups(sets.join(pivots.unionByName(arms), "cid"), ["low", "part"])
+    edges = written(star.select("low", "part", "cid", "n", "ids", "w").mapInArrow(_star_links(t), "a long, b long").distinct(), "edges")
+    groups = written(components(edges, "stars").select(F.col("id").alias("cid"), F.col("component").alias("comp")), "groups")
+    # every pair inside a component
+    inside = _in_groups(sets.join(_tiled(groups, "comp", tile), "cid"), ["comp", "lo", "hi"])
+    inside = inside.select("comp", "lo", "hi", "own", "cid", "n", "ids", "w").mapInArrow(_group_links(t, ["comp"], False), "cid long, links long, root long")
+    # pairs across components, in bands that hold several; of bands with the same classes the first stands for all
+    placed = members.join(groups, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key")
+    mixed = keys.join(mixed, "key").groupBy("m", "set", "low").agg(F.min(F.struct("band", "key")).alias("one")).select("one.key")
+    placed = _tiled(placed.join(mixed, "key"), "key", tile).join(classes.select("cid", "bands"), "cid")
+    across = _in_groups(sets.join(placed, "cid"), ["key", "lo", "hi"])
+    across = across.select("key", "lo", "hi", "own", "cid", "n", "comp", "band", "bands", "ids", "w")
+    across = written(across.mapInArrow(_group_links(t, ["key"], True), "cid long, links long, root long"), "across")
+    roots = components(edges.union(across.select("cid", "root")), "documents").withColumnRenamed("id", "cid")
+    links = inside.unionByName(across).groupBy("cid").agg(F.sum("links").alias("links"))
+    known = classes.select("_k1", "_k2", "cid", "n", "head").join(links, "cid", "left").join(roots, "cid", "left")
+    known = written(known.withColumn("component", F.coalesce("component", "cid")), "known")
+    heads = known.filter("links > 0").groupBy("component").agg(F.min("head").alias("first"))
+    known = known.join(heads, "component", "left").select(
         "_k1",
         "_k2",
         F.lit(True).alias("_fine"),
-        F.col("cid").alias("class_id"),
+        F.col("head.doc_id").alias("class_id"),
         (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "cid").alias("component_id"),
+        F.coalesce("first", "head").alias("first"),
     )
-    out = drawn.select("doc_id", "_k1", "_k2", "_fine").join(known, ["_k1", "_k2", "_fine"], "left")
-    component = F.coalesce("component_id", "doc_id")
+    out = drawn.select("doc_id", "_d1", "_d2", "_k1", "_k2", "_fine").join(known, ["_k1", "_k2", "_fine"], "left")
     return out.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce("first.doc_id", "doc_id").alias("component_id"),
+        F.coalesce(F.struct("doc_id", "_d1", "_d2") == F.col("first"), F.lit(True)).alias("kept"),
+        "_d1",
+        "_d2",
     )
 
 
+def near_duplicates(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str = "text", **how) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, component_id, kept (one of each component)."""
+    return verdicts(docs, t, tile, text, **how).drop("_d1", "_d2")
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """docs with one row of each component; rows without doc_id stay."""
-    marks = near_duplicates(docs, text=text, **how).filter("doc_id is not null")
-    marks = marks.groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("rows"))
-    marks = written(marks.filter("not kept or rows > 1"), "gone")
+    marks = verdicts(docs, text=text, **how).filter("doc_id is not null").groupBy("_d1", "_d2")
+    marks = marks.agg(F.min("kept").alias("kept"), (F.count("*") > 1).alias("again"), F.min("n_links").alias("links"))
+    # rows of null or empty texts link with nothing, so they stay however often they are repeated
+    marks = written(marks.filter("not kept or (again and links > 0)").select("_d1", "_d2", "kept"), "gone")
     few = marks.count() <= FEW
-    joined = packed(docs).withColumn("doc_id", F.col("_row.doc_id").cast("long")).join(F.broadcast(marks) if few else marks, "doc_id", "left")
-    once = joined.filter("rows is null").select("_row")
-    repeated = joined.filter("kept").groupBy("doc_id").agg(F.first("_row").alias("_row")).select("_row")
+    joined = keyed(docs).join(F.broadcast(marks) if few else marks, ["_d1", "_d2"], "left")
+    once = joined.filter("kept is null").select("_row")
+    repeated = joined.filter("kept").groupBy("_d1", "_d2").agg(F.first("_row").alias("_row")).select("_row")
     return unpacked(once.unionByName(repeated), docs)

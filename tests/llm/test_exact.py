@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import embedding_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, token_counts
@@ -98,20 +99,53 @@ def test_components(spark):
     assert got == {int(k): int(root[k]) for k in {*i.tolist(), *j.tolist()}}
 
 
+def brute_jaccard(a, b):
+    """J_P of two weighted sets given as dicts."""
+    total = 0.0
+    both = {s: (a.get(s, 0.0), b.get(s, 0.0)) for s in {*a, *b}}
+    for v, w in both.values():
+        if v and w:
+            total += 1 / sum(max(p / v, q / w) for p, q in both.values())
+    return total
+
+
+def as_sets(bags):
+    """minhash_dedup.Sets of dicts."""
+    names = {s: i for i, s in enumerate(sorted({s for b in bags for s in b}))}
+    lists = [sorted((names[s], w) for s, w in b.items()) for b in bags]
+    return minhash_dedup.Sets(pa.table({"ids": pa.array([[s for s, _ in x] for x in lists], pa.list_(pa.int64())), "w": pa.array([[int(w) for _, w in x] for x in lists], pa.list_(pa.int32()))}))
+
+
+def weighted(rnd, kind=300):
+    return {rnd.randrange(kind): float(rnd.choice([1, 1, 1, 2, 5])) for _ in range(rnd.randint(1, 60))}
+
+
+def test_linked_equals_brute_force():
+    rnd = random.Random(2)
+    bags = [weighted(rnd) for _ in range(6)]
+    for k in range(40):
+        b = dict(bags[k % 6])
+        for s in rnd.sample(sorted(b), rnd.randint(0, len(b) // 2)):
+            del b[s]
+        bags.append((b or {1: 1.0}) | {rnd.randrange(300, 400): 1.0 for _ in range(rnd.randint(0, 12))})
+    sets = as_sets(bags)
+    i, j = np.triu_indices(len(bags), 1)
+    for t in (0.3, 0.5, 0.6):
+        want = np.array([brute_jaccard(bags[a], bags[b]) >= t - 1e-12 for a, b in zip(i, j)])
+        assert 10 < want.sum() < len(want) - 10
+        assert (sets.linked(i, j, t) == want).all()  # many partners each: by bounds first
+        assert (np.concatenate([sets.linked(i[k : k + 1], j[k : k + 1], t) for k in range(len(i))]) == want).all()
+    assert sets.linked(i[:0], j[:0], 0.5).tolist() == []
+
+
 def test_sketch_estimates_probability_jaccard():
-    rng = np.random.default_rng(2)
-    a = np.unique(rng.integers(0, 2**48, 200, dtype=np.uint64))
-    b = np.unique(np.concatenate([a[:120], rng.integers(0, 2**48, 60, dtype=np.uint64)]))
-    x, y = rng.integers(1, 6, len(a)).astype(float), rng.integers(1, 6, len(b)).astype(float)
-    both = collections.defaultdict(lambda: [0.0, 0.0])
-    for s, w in zip(a, x):
-        both[s][0] = w
-    for s, w in zip(b, y):
-        both[s][1] = w
-    brute = sum(1 / sum(max(p / v, q / w) for p, q in both.values()) for v, w in both.values() if v and w)
-    assert abs(minhash_dedup.probability_jaccard((a, x), (b, y)) - brute) < 1e-9
-    s = minhash_dedup.sketch(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), np.concatenate([x, y]), 2, 4096)
-    assert abs((s[0] == s[1]).mean() - brute) < 0.04
+    rnd = random.Random(3)
+    a = {s: float(rnd.randint(1, 5)) for s in range(200)}
+    b = {s: float(rnd.randint(1, 5)) for s in range(80, 260)}
+    flat = sorted((k, s, w) for k, x in enumerate((a, b)) for s, w in x.items())
+    doc, shingle, weight = (np.array(x) for x in zip(*flat))
+    s = minhash_dedup.sketch(doc, shingle.astype(np.uint64) * np.uint64(0x9E3779B1), weight, 2, 4096)
+    assert abs((s[0] == s[1]).mean() - brute_jaccard(a, b)) < 0.04
 
 
 @pytest.mark.parametrize("tile", [512, 4])
@@ -125,8 +159,8 @@ def test_minhash(docs, rows, tile, monkeypatch):
         c = sorted(collections.Counter(zip(w, w[1:])).items())
         bags[k] = c
     names = {s: i for i, s in enumerate(sorted({s for c in bags.values() for s, _ in c}))}
-    sets = {k: (np.array([names[s] for s, _ in c]), np.array([n for _, n in c], float)) for k, c in bags.items()}
-    link = {(a, b) for a in sets for b in sets if a != b and minhash_dedup.probability_jaccard(sets[a], sets[b]) >= 0.5}
+    sets = {k: {names[s]: float(n) for s, n in c} for k, c in bags.items()}
+    link = {(a, b) for a in sets for b in sets if a != b and brute_jaccard(sets[a], sets[b]) >= 0.5 - 1e-12}
     for k in sets:
         assert got[k]["n_links"] == sum((k, b) in link for b in sets), k
     i, j = np.array(sorted(link)).T
@@ -142,6 +176,41 @@ def test_wordless_copies(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
 
 
+def test_unlike_rows_of_one_doc_id(spark):
+    rnd = random.Random(21)
+    a, b, c, d = (say(rnd, 80) for _ in range(4))
+    near = a.replace(" ", "  ", 1)
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (1, near, "y"), (1, a, "x"), (1, a, "z"), (None, d, "x"), (None, d, "x"), (3, a, None), (4, None, "x"), (4, None, "x"), (4, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in minhash_dedup.keep_one(df).collect())
+    assert got[:4] == [(0, d), (0, d), *sorted([(1, b)] + [x for x in got if x in [(1, a), (1, near)]])]
+    assert got[4:] == [(2, c), (4, ""), (4, ""), (4, "")]
+    marks = minhash_dedup.near_duplicates(df).collect()
+    assert len(marks) == len(rows)
+    assert sorted((r["n_links"], r["component_id"]) for r in marks if r["n_links"]) == [(4, 1)] * 5
+
+
+def test_pairs_across_components(spark):
+    """Classes that don't link with the smallest of their band, but with each other."""
+    rnd = random.Random(22)
+    rows, k = [], 0
+    for _ in range(25):
+        head = say(rnd, 45)
+        for _ in range(2):
+            body = say(rnd, 75)
+            for _ in range(2):
+                w = (head + " " + body).split(" ")
+                w[rnd.randrange(len(w))] = "changed"
+                rows.append((k, " ".join(w), None))
+                k += 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    for tile in (512, 4):
+        got = minhash_dedup.near_duplicates(df, tile=tile, t=0.5).collect()
+        bags = [dict(collections.Counter(zip(w, w[1:]))) for _, t, _ in rows for w in [t.split(" ")]]
+        link = [[a != b and brute_jaccard(bags[a], bags[b]) >= 0.5 - 1e-12 for b in range(len(rows))] for a in range(len(rows))]
+        assert {r["doc_id"]: r["n_links"] for r in got} == {a: sum(x) for a, x in enumerate(link)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 12345])
 def test_feistel_is_a_permutation(n):
     p = sharding.feistel(np.arange(n), n)
