@@ -10,8 +10,12 @@ train() fits all weights on TRAIN_PAGES generated pages (article bodies of many
 headers, sidebars, notices, adverts, forms, comments and footers); weights/blocks.npz holds the result.
 
 Scripts, styles, head, comments and markup never become blocks. White space in a block becomes one
-space; character references are decoded. A null or empty page gives an empty text; repeated rows
-repeat; pages are read whole, however long. Cut-off markup ends the page.
+space; character references are decoded. A quoted value ends at its next quote; where there is none, at the next space or ">".
+An unclosed script or style ends the page, other elements without text of their own are then read as any.
+
+A null or empty page gives an empty text, an empty table no rows; repeated rows repeat, so there are no ties; incoming columns but page_id, url
+and html are not read. Pages are read whole, however long: they go through the network in batches of at most BATCH padded blocks
+(or one page), so memory follows the longest page, and of a path deeper than DEPTH its inner elements count.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +39,16 @@ from .common import table
 WEIGHTS = Path(__file__).with_name("weights") / "blocks.npz"
 PATHS, WORDS, PATH_DIM, WORD_DIM, MEASURES, STATE = 1024, 1024, 16, 8, 8, 16
 TRAIN_PAGES = 6000
+BATCH, DEPTH, PAGES, PAGE_CHARS = 16_384, 64, 256, 4_000_000
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
+    r"((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]++)?+)?+|=)*+)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "svg", "template", "math", "object", "canvas", "noframes", "xmp"}
+RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "svg", "template", "canvas", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -69,21 +80,26 @@ def parse(page: str) -> list[Block]:
     blocks: list[Block] = []
     stack: list[tuple[str, tuple]] = []
     parts: list[str] = []
+    open_: Counter[str] = Counter()
+    unclosed: set[str] = set()
     linked, in_link, at = 0, False, 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(n == "head" for n, _ in stack):
-                blocks.append(Block(text, tuple(stack), linked))
+            if text and not open_["head"]:
+                blocks.append(Block(text, tuple(stack[-DEPTH:]), linked))
             parts.clear()
         linked = 0
 
     def pop(names: set[str], stop: set[str]) -> None:
+        if not any(open_[n] for n in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
                 flush()
+                open_.subtract(n for n, _ in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in stop:
@@ -115,12 +131,16 @@ def parse(page: str) -> list[Block]:
                 flush()
                 pop({name}, {"table"} if name not in ("table", "html", "body") and name not in SCOPE else set())
             continue
-        if name in RAW:
-            end = re.compile(f"</{re.escape(name)}(?=[\\s/>]|\\Z)", re.I).search(page, at)
-            if end is None:
+        if name in RAW and name not in unclosed:
+            if name == "svg" and m.group(3).endswith("/"):
+                continue
+            end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(page, at)
+            if end is not None:
+                at = end.start()
+                continue
+            if name in ("script", "style"):
                 break
-            at = end.start()
-            continue
+            unclosed.add(name)
         if name == "a":
             in_link = True
         elif name == "br":
@@ -140,6 +160,7 @@ def parse(page: str) -> list[Block]:
                 found += NAME.findall((a.group(1) or a.group(2) or a.group(3) or "").lower())
             if not (m.group(3) or "").rstrip().endswith("/") or name not in VOID:
                 stack.append((name, tuple(found)))
+                open_[name] += 1
     flush()
     return blocks
 
@@ -277,8 +298,12 @@ class Labeller:
         """For each page (inputs()), which of its blocks are article."""
         out: list = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i][0])), key=lambda i: len(pages[i][0]))
-        for k in range(0, len(order), 64):
-            some = order[k : k + 64]
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < min(len(order), at + 64) and (end + 1 - at) * len(pages[order[end]][0]) <= BATCH:
+                end += 1
+            some, at = order[at:end], end
             logits, _, _ = self.forward([pages[i] for i in some])
             for c, i in enumerate(some):
                 out[i] = logits[: len(pages[i][0]), c] > 0
@@ -472,8 +497,12 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         net = labeller()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            size = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).cumsum()
+            k = 0
+            while k < batch.num_rows:
+                upto = int(np.searchsorted(size, (size[k - 1] if k else 0) + PAGE_CHARS, side="right"))
+                part = batch.slice(k, min(PAGES, max(1, upto - k)))
+                k += part.num_rows
                 out = texts([h or "" for h in part.column(2).to_pylist()], net)
                 arrays = [part.column(0), part.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "text", "n_chars"])

@@ -9,60 +9,68 @@ for a template of LONG words or more, and for equal lines of any count: there li
 With pairs=False two texts never are.
 
 A leaf can only hold a recurring template if different texts reach it, so a first pass over hashes
-alone finds those leaves; only their distinct lines are shuffled and clustered, each leaf streamed by one
-task that keeps templates, not lines; leaves of more than PART distinct lines are clustered in parts, and
-then their founders. Texts are counted once however many copies there are, and take the same
+alone finds those leaves; only their distinct lines are shuffled, counted with digits masked (lines that differ in such
+tokens alone are one), and clustered, the commonest first. A leaf is streamed by one task that keeps templates, not lines, and finds those
+that a line can join by an index of tokens and positions. Texts are counted once however many copies there are, and take the same
 decision: drops are joined by the text's 128-bit digest, never by row.
 
+Words are split by one rule (space and \\t to \\r) and digits are 0 to 9, in the tree and in the templates.
 Null and empty texts have no lines and stay as they are; a null doc_id counts as the last; repeated
-rows are copies. An empty table gives no rows. Blank and short lines always stay, and so does the order.
+rows are copies; ties of templates go to the earlier. Texts are read whole, however long and with however many lines. Incoming columns of
+any name stay apart in one struct. An empty table gives no rows. Blank and short lines always stay, and so does the order.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, packed, table, unpacked, words, written
 
-LEAD, SIMILAR, MIN_TEXTS, MIN_TOKENS, LONG, PART = 3, 0.6, 3, 4, 10, 20_000
+LEAD, SIMILAR, MIN_TEXTS, MIN_TOKENS, LONG = 3, 0.6, 3, 4, 10
 VARIABLE = "<*>"
-#: Sides of at most so many keys (8 bytes each) are broadcast; beyond, both sides are shuffled.
-FEW_LEAVES, FEW_DROPS = 1_000_000, 3_000_000
+#: Sides of at most so many keys (8 bytes, in a hash table 24) are broadcast: 12 and 24 MB; beyond, both sides are shuffled.
+FEW_LEAVES, FEW_DROPS = 500_000, 1_000_000
 
 
 class Leaf:
-    """Templates of one leaf."""
+    """Templates of one leaf, with an index of what stands where in them."""
 
     def __init__(self, similar: float = SIMILAR):
         self.similar, self.templates, self.founders = similar, [], []
-        self.exact: dict[tuple, int] = {}
-
-    def add(self, tokens: list[str], founder: int) -> int:
-        """The founder of the template that the tokens join."""
-        masked = [VARIABLE if any(c.isdigit() for c in t) else t for t in tokens]
-        same = tuple(masked)
-        if same in self.exact:
-            return self.founders[self.exact[same]]
-        best, most = -1, -1
-        for k, template in enumerate(self.templates):
-            n = sum(a == b for a, b in zip(template, masked))
+        self.index: dict[tuple[int, str], set[int]] = {}
+
+    def add(self, masked: list[str], founder: int) -> int:
+        """The founder of the template that the line (its digit-bearing tokens masked) joins: the one it agrees with most, the first of equals."""
+        need = ceil(self.similar * len(masked) - 1e-9)
+        # of any len - need + 1 positions a template within reach agrees in one: those with the fewest templates tell
+        places = sorted((self.index.get(x, ()) for x in enumerate(masked)), key=len)
+        near = set().union(*places[: len(masked) - need + 1])
+        best, most = -1, need - 1
+        for k in sorted(near):
+            n = sum(map(str.__eq__, self.templates[k], masked))
             if n > most:
                 best, most = k, n
-        if best >= 0 and most >= self.similar * len(masked):
-            self.templates[best] = [a if a == b else VARIABLE for a, b in zip(self.templates[best], masked)]
-        else:
-            best = len(self.templates)
-            self.templates.append(masked)
+        if best < 0:
+            self.templates.append(list(masked))
             self.founders.append(founder)
-        self.exact[same] = best
+            for x in enumerate(masked):
+                self.index.setdefault(x, set()).add(len(self.templates) - 1)
+            return founder
+        template = self.templates[best]
+        for at, (a, b) in enumerate(zip(template, masked)):
+            if a != b and a != VARIABLE:
+                self.index[at, a].discard(best)
+                self.index.setdefault((at, VARIABLE), set()).add(best)
+                template[at] = VARIABLE
         return self.founders[best]
 
 
-def _leaf(tokens: Column) -> Column:
-    lead = F.transform(F.slice(tokens, 1, LEAD), lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
-    return F.xxhash64(F.size(tokens), lead)
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
 
 
 def _digests(text: Column) -> dict[str, Column]:
@@ -73,53 +81,39 @@ def _cluster(similar: float):
     def run(batches):
         at, leaf = None, None
         for batch in batches:
-            keys, parts, hashes, lines = (batch.column(i).to_pylist() for i in range(4))
+            keys, hashes, lines = (batch.column(i).to_pylist() for i in range(3))
             out = []
-            for key, part, h, line in zip(keys, parts, hashes, lines):
-                if at != (key, part):
-                    at, leaf = (key, part), Leaf(similar)
-                out.append(leaf.add(line.split(), h))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], names=["leaf", "part", "line_hash", "founder"]
-            )
+            for key, h, line in zip(keys, hashes, lines):
+                if at != key:
+                    at, leaf = key, Leaf(similar)
+                out.append(leaf.add(line.split(" "), h))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.int64())], names=["leaf", "masked_hash", "template"])
 
     return run
 
 
-def _templates(lines: DataFrame, similar: float) -> DataFrame:
-    """leaf, line_hash, founder. lines: leaf, part, line_hash, line, n."""
-    order = ["leaf", "part", F.col("n").desc(), "line_hash"]
-    run = lines.repartition("leaf", "part").sortWithinPartitions(*order).select("leaf", "part", "line_hash", "line")
-    return run.mapInArrow(_cluster(similar), "leaf long, part int, line_hash long, founder long")
-
-
-def recurring_lines(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, similar: float = SIMILAR, part: int = PART, pairs: bool = True) -> DataFrame:
+def recurring_lines(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, similar: float = SIMILAR, pairs: bool = True) -> DataFrame:
     """_k1, _k2 (digest of a text) and drop: hashes of the lines that go from it."""
     t, least = F.col(text), min(2, min_texts) if pairs else min_texts
     source = docs.filter(t.isNotNull()).select(F.col("doc_id").cast("long"), *[c.alias(k) for k, c in _digests(t).items()], F.split(t, "\n").alias("lines"))
     lines = source.select("doc_id", "_k1", "_k2", F.explode(F.array_distinct("lines")).alias("line"))
     # an explode keeps the tokens from being split once for each use
     lines = lines.select("*", F.explode(F.array(words(F.col("line")))).alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
-    lines = lines.select("doc_id", "_k1", "_k2", "line", F.size("tokens").alias("size"), _leaf(F.col("tokens")).alias("leaf"))
+    leaf = F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, LEAD))).alias("leaf")
+    lines = lines.select("doc_id", "_k1", "_k2", "line", "tokens", leaf)
     leaves = lines.groupBy("leaf").agg(F.min("_k1").alias("a"), F.max("_k1").alias("b")).filter("a <> b").select("leaf")
     leaves = written(leaves, "leaves")
     few = leaves.count() <= FEW_LEAVES
     lines = lines.join(F.broadcast(leaves) if few else leaves, "leaf", "left_semi")
-    line_hash = F.xxhash64("line").alias("line_hash")
-    seen = lines.groupBy("leaf", line_hash, "_k1", "_k2").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("line").alias("line"))
-    seen = written(seen, "lines")
-    distinct = seen.groupBy("leaf", "line_hash").agg(F.count("*").alias("n"), F.first("line").alias("line"))
-    enough = seen.groupBy("leaf").agg(F.count("*").alias("texts"), F.approx_count_distinct("line_hash").alias("many"))
-    enough = enough.filter(F.col("texts") >= least).select("leaf", F.ceil(F.col("many") / part).cast("int").alias("parts"))
-    distinct = distinct.join(enough, "leaf").withColumn("part", F.pmod("line_hash", F.col("parts")).cast("int"))
-    distinct = distinct.select("leaf", "part", "parts", "line_hash", "line", "n")
-    first = written(_templates(distinct, similar), "templates")
-    # the founders of a leaf's parts meet in one more round
-    heads = distinct.filter("parts > 1").join(first.filter("line_hash = founder").select("leaf", "line_hash"), ["leaf", "line_hash"])
-    second = _templates(heads.withColumn("part", F.lit(0)), similar)
-    second = second.select("leaf", F.col("line_hash").alias("founder"), F.col("founder").alias("head"))
-    named = first.join(second, ["leaf", "founder"], "left").select("leaf", "line_hash", F.coalesce("head", "founder").alias("template"))
-    found = seen.select("leaf", "line_hash", "_k1", "_k2", "doc", "size").join(named, ["leaf", "line_hash"])
+    masked = F.array_join(_masked(F.col("tokens")), " ").alias("masked")
+    lines = lines.select("leaf", F.xxhash64("line").alias("line_hash"), "_k1", "_k2", "doc_id", F.size("tokens").alias("size"), masked)
+    seen = lines.groupBy("leaf", "line_hash", "_k1", "_k2").agg(F.min("doc_id").alias("doc"), F.first("size").alias("size"), F.first("masked").alias("masked"))
+    seen = written(seen.withColumn("masked_hash", F.xxhash64("masked")), "lines")
+    distinct = seen.groupBy("leaf", "masked_hash").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
+    enough = seen.groupBy("leaf").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least).select("leaf")
+    run = distinct.join(enough, "leaf").repartition("leaf").sortWithinPartitions("leaf", F.col("n").desc(), "masked_hash")
+    named = run.select("leaf", "masked_hash", "masked").mapInArrow(_cluster(similar), "leaf long, masked_hash long, template long")
+    found = seen.drop("masked").join(named, ["leaf", "masked_hash"])
     found = written(found, "found")
     place = F.struct(F.coalesce("doc", F.lit((1 << 63) - 1)).alias("doc"), "_k1", "_k2")
     per_text = found.groupBy("leaf", "template", "_k1", "_k2").agg(F.min("doc").alias("doc"), F.first("size").alias("size"))

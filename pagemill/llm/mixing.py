@@ -2,28 +2,36 @@
 
 Documents are counted by (source, exact size in words); each source's target words are filled by whole
 documents: the largest number of complete copies of the source, then the rest of the budget by a
-bounded-knapsack dynamic program over the size counts (bitset of reachable sums), then seeded
-documents are selected by the count the program chose for each size.
+bounded-knapsack dynamic program over the size counts (reachable sums), then seeded documents are selected by the
+count the program chose for each size.
 
-The program sees only the histogram of a source: as many rows as distinct sizes, not documents. Ranks
-of documents inside a size are taken within salted parts, so that one size holding most rows (empty
-texts, copies) is ranked by many tasks.
+The program sees only the histogram of a source: as many rows as distinct sizes, not documents. The choice
+inside a size is a cut in the order of seeded row hashes: the part of the hash range that holds it is found from counts, and only
+rows of that part are ranked. So a document's copies are read from its own row and the cut of its (source, size); no text is shuffled.
 
-Nulls: a null text has size 0 and takes 0; null sources form one source, last in order. Repeated rows
-are documents of their own. A source whose sizes are all 0 has target 0. An empty table gives no rows.
+A row is known by its 128-bit digest. Rows that agree in it are one row repeated: counted before they are shuffled, and
+interchangeable. Nulls: a null text has size 0 and takes 0; null sources form one source, last in order; a null doc_id is
+a value. Texts are read whole, however long. Ties of the hash go by digest. Incoming columns of any name stay apart in one
+struct. A source whose sizes are all 0 has target 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from math import gcd
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, packed, table, unpacked, written
+from .common import WORD, keyed, row_digest, table, unpacked, written
 
 WEIGHTS = (5, 2, 1)
-FINISH = 1 << 17
+#: Words that the program fits at first, and at most.
+FINISH, MOST = 1 << 17, 1 << 22
 SALT_BITS = 12
+#: Tables of at most so many rows (one a source and size, 60 bytes) are broadcast; beyond, both sides are shuffled.
+FEW = 300_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[tuple]:
@@ -46,47 +54,68 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return [(s, n, got[i]) for i, (s, n) in enumerate(order)]
 
 
-def fit(counts: dict[int, int], budget: int, finish: int = FINISH) -> dict[int, int]:
+def fit(counts: dict[int, int], budget: int, finish: int = FINISH, most: int = MOST) -> dict[int, int]:
     """How many documents of each size to take, at most counts[size], for the largest sum <= budget.
 
-    Proportional quotas leave about `finish` words, or so much that sizes up to the longest fit into
-    what is left; the bounded-knapsack program then finds the best reachable sum of the rest.
+    Proportional quotas leave about `finish` words, or so much that several documents of the longest size fit; the bounded-knapsack program
+    fits what is left, and may take back from the quotas. Where it can't reach the budget (the last multiple of the
+    sizes' common divisor), it starts anew with eight times as many words. So the sum is the largest there is up to a budget of
+    `most` words, and beyond unless no choice within `most` words of the quotas reaches the budget.
     """
     counts = {s: c for s, c in sorted(counts.items()) if s > 0 and c > 0}
-    total = sum(s * c for s, c in counts.items())
-    if budget >= total:
+    if budget >= sum(s * c for s, c in counts.items()):
         return dict(counts)
     if budget <= 0:
         return {}
-    keep = min(budget, max(finish, 4 * max(counts)))
+    goal = budget - budget % gcd(*counts)
+    best, keep = {}, finish
+    while True:
+        keep = min(budget, max(keep, 4 * max(counts)))
+        got = _fit_near(counts, budget, keep, budget - goal)
+        best = max(best, got, key=lambda x: sum(s * n for s, n in x.items()))
+        if sum(s * n for s, n in best.items()) == goal or keep >= min(budget, most):
+            return best
+        keep *= 8
+
+
+def _fit_near(counts: dict[int, int], budget: int, keep: int, off: int) -> dict[int, int]:
+    """fit() by quotas that leave about `keep` words, and a program over at most 2 keep; a sum `off` below the budget ends it."""
+    total = sum(s * c for s, c in counts.items())
     f = (budget - keep) / total
     take = {s: int(c * f) for s, c in counts.items()}
     rest = budget - sum(s * n for s, n in take.items())
-    free = {s: c - take[s] for s, c in counts.items()}
     # whole documents, longest first, until the rest is what the program handles
-    for s in sorted(free, reverse=True):
+    for s in sorted(counts, reverse=True):
         if rest > keep:
-            n = min(free[s], (rest - keep) // s)
+            n = min(counts[s] - take[s], (rest - keep) // s)
             take[s] += n
-            free[s] -= n
             rest -= n * s
-    mask, reach = (1 << (rest + 1)) - 1, 1
-    steps: list[tuple[int, int, int]] = []  # (size, pieces, reachable before)
-    for s in sorted(free):
-        left, piece = min(free[s], rest // s), 1
-        while left > 0:
+    # what the program may take back: of each size up to half of the room that is left, the shortest first
+    room = keep
+    for s in sorted(counts):
+        back = min(take[s], (room + 1) // 2 // s)
+        take[s] -= back
+        rest += back * s
+        room -= back * s
+    reach, step = np.zeros(rest + 1, bool), np.full(rest + 1, -1, np.int32)
+    reach[0] = True
+    pieces: list[tuple[int, int]] = []
+    for s in counts:
+        left, piece = min(counts[s] - take[s], rest // s), 1
+        while left > 0 and not reach[rest - off]:
             n = min(piece, left)
-            steps.append((s, n, reach))
-            reach |= (reach << (s * n)) & mask
+            new = np.flatnonzero(reach[: rest + 1 - s * n] & ~reach[s * n :]) + s * n
+            step[new] = len(pieces)
+            reach[new] = True
+            pieces.append((s, n))
             left -= n
             piece *= 2
-        if reach >> rest & 1:
-            break
-    at = reach.bit_length() - 1
-    for s, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[s] += n
-            at -= s * n
+    # a sum was first reached by one piece from a sum that earlier pieces reach, so no piece comes twice
+    at = int(np.flatnonzero(reach)[-1])
+    while at:
+        s, n = pieces[step[at]]
+        take[s] += n
+        at -= s * n
     return {s: n for s, n in take.items() if n}
 
 
@@ -102,20 +131,18 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def choose(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, text: str = "text") -> DataFrame:
-    """One narrow row per document: doc_id, source, size, check, source_size, target, copies (0 to most)."""
-    spark = docs.sparkSession
-    t = F.coalesce(F.col(text), F.lit(""))
-    narrow = docs.select(
-        "doc_id",
-        "source",
-        F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"),
-        F.crc32(F.encode(t, "UTF-8")).alias("check"),
-    )
-    h = F.xxhash64(F.lit(seed), "doc_id", "check")
-    narrow = narrow.withColumns({"_k": _key(F.col("source")), "_h": h, "_salt": F.shiftrightunsigned(h, 64 - SALT_BITS)})
-    narrow = written(narrow, "mix")
-    parts = written(narrow.groupBy("_k", "source", "size", "_salt").agg(F.count("*").alias("n")), "mix-counts")
+def _measures(row: DataFrame, source: Column, text: Column, seed: int) -> DataFrame:
+    """Adds _k (source), size and _h (seeded place in the order of rows, from _d1, _d2)."""
+    size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    return row.withColumns({"_k": _key(source), "size": size, "_h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_d1", "_d2"), 1)})
+
+
+def _cuts(narrow: DataFrame, weights, share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """Per source: source_size, target. Per (source, size): _whole times every row; once more all rows before the cut
+    (_ch, _c1, _c2), and of the _same rows at the cut _left."""
+    spark = narrow.sparkSession
+    salt = F.shiftright("_h", 63 - SALT_BITS).alias("_salt")
+    parts = written(narrow.groupBy("_k", "source", "size", salt).agg(F.count("*").alias("n")), "mix-counts")
     per = parts.groupBy("_k", "source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).collect()
     # one row a source reaches the driver, as the target weights are given by source
     goals = targets([(r["source"], int(r["size"])) for r in per], weights, share, most)
@@ -128,36 +155,62 @@ def choose(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = 1.5,
         return pd.DataFrame(got, columns=["size", "_whole", "_more"]).assign(_k=key[0])
 
     hist = parts.groupBy("_k", "size").agg(F.sum("n").alias("n")).join(goal, "_k")
-    quota = hist.groupBy("_k").applyInPandas(one, "_k string, size long, _whole long, _more long")
-    before = Window.partitionBy("_k", "size").orderBy(F.col("_salt").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(quota, ["_k", "size"])
-    starts = starts.select("_k", "size", "_salt", "_base", "_whole", "_more")
-    # only parts that the limit of their size crosses need ranks
-    out = narrow.join(starts, ["_k", "size", "_salt"], "left").join(goal, "_k", "left")
-    rank = F.row_number().over(Window.partitionBy("_k", "size", "_salt").orderBy("_h", "doc_id", "check"))
-    more = (F.col("_base") + rank <= F.col("_more")).cast("long")
-    return out.withColumn("copies", F.coalesce(F.col("_whole") + more, F.lit(0).cast("long"))).select(
-        "doc_id", "source", "size", "check", "source_size", "target", "copies"
-    )
+    quota = written(hist.groupBy("_k").applyInPandas(one, "_k string, size long, _whole long, _more long"), "mix-quota")
+    before = Window.partitionBy("_k", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.join(quota.filter("_more > 0").drop("_whole"), ["_k", "size"])
+    starts = starts.withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.filter("_base < _more and _more <= _base + n").select("_k", "size", "_salt", (F.col("_more") - F.col("_base")).alias("_want"))
+    ranked = narrow.select("_k", "size", "_h", "_d1", "_d2", salt).join(_sided(starts), ["_k", "size", "_salt"])
+    ranked = ranked.groupBy("_k", "size", "_want", "_h", "_d1", "_d2").agg(F.count("*").alias("_same"))
+    upto = Window.partitionBy("_k", "size").orderBy("_h", "_d1", "_d2").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("_left", F.col("_want") - F.sum("_same").over(upto) + F.col("_same")).filter("_left > 0 and _left <= _same")
+    cut = ranked.select("_k", "size", F.col("_h").alias("_ch"), F.col("_d1").alias("_c1"), F.col("_d2").alias("_c2"), "_same", "_left")
+    return goal, written(quota.select("_k", "size", "_whole").join(cut, ["_k", "size"], "left"), "mix-cuts")
 
 
-def mix(docs: DataFrame, seed: int = 0, text: str = "text", **how) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken.
+def _sided(small: DataFrame) -> DataFrame:
+    small = written(small, "mix-side")
+    return F.broadcast(small) if small.count() <= FEW else small
 
-    Rows that agree in doc_id, source and text are taken as one row repeated.
-    """
-    same = ["doc_id", "source", "check"]
-    picked = choose(docs, seed, text=text, **how).groupBy(*same).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
-    picked = picked.filter("_n > 0")
+
+def _taken(rows: DataFrame, cuts: DataFrame, same: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """rows with their copies; and once for each row repeated, of whose repeats only some are taken once more, its columns with _whole, _same, _left."""
+    out = rows.join(F.broadcast(cuts) if cuts.count() <= FEW else cuts, ["_k", "size"], "left")
+    here = F.struct("_h", "_d1", "_d2")
+    cut = F.struct("_ch", "_c1", "_c2")
+    out = out.withColumn("copies", F.coalesce(F.col("_whole") + F.when(here <= cut, 1).otherwise(0), F.lit(0)).cast("long"))
+    split = F.coalesce((F.col("_left") < F.col("_same")) & (here == cut), F.lit(False))
+    some = out.filter(split).groupBy("_k", "size", "_d1", "_d2").agg(*[F.first(c).alias(c) for c in same], *[F.first(c).alias(c) for c in ("_whole", "_same", "_left")])
+    return out.filter(~split), some
+
+
+def _repeat(df: DataFrame, times: Column) -> DataFrame:
+    """Each row `times` times, with its number _i from 1."""
+    blocks = df.withColumn("_times", times).filter("_times > 0").withColumn("_block", F.explode(F.expr("sequence(0L, (_times - 1) div 4096)")))
+    return blocks.withColumn("_i", F.explode(F.expr("sequence(_block * 4096 + 1, least(_times, (_block + 1) * 4096))"))).drop("_block", "_times")
+
+
+def choose(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, text: str = "text") -> DataFrame:
+    """One narrow row per document: doc_id, source, size, source_size, target, copies (0 to most)."""
+    digest = [c.alias(k) for k, c in row_digest(docs).items()]
+    rows = docs.select("doc_id", "source", F.col(text).alias("_t"), *digest)
+    narrow = written(_measures(rows, F.col("source"), F.col("_t"), seed).drop("_t"), "mix")
+    goal, cuts = _cuts(narrow, weights, share, most)
+    out, some = _taken(narrow, cuts, ["doc_id", "source"])
+    some = _repeat(some, F.col("_same")).withColumn("copies", F.col("_whole") + F.when(F.col("_i") <= F.col("_left"), 1).otherwise(0))
+    names = ["doc_id", "source", "size", "_k", "copies"]
+    out = out.select(*names).unionByName(some.select(*names)).join(goal, "_k", "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, text: str = "text") -> DataFrame:
+    """The mix itself: rows of docs, each as often as it is taken."""
     row = F.col("_row")
-    mark = F.crc32(F.encode(F.coalesce(row.getField(text), F.lit("")), "UTF-8"))
-    keyed = packed(docs).select("_row", row.getField("doc_id").alias("id"), row.getField("source").alias("src"), mark.alias("mark"))
-    on = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("src").eqNullSafe(F.col("source")) & (F.col("mark") == F.col("check"))
-    joined = keyed.join(picked, on)
-    single = joined.filter("_rows = 1").select("_row", "_n")
-    several = joined.filter("_rows > 1").groupBy("id", "src", "mark").agg(F.first("_row").alias("_row"), F.first("_n").alias("_n")).select("_row", "_n")
-    copies = single.unionByName(several).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return unpacked(copies, docs)
+    rows = _measures(keyed(docs), row.getField("source"), row.getField(text), seed)
+    _, cuts = _cuts(written(rows.withColumn("source", row.getField("source")).drop("_row"), "mix"), weights, share, most)
+    out, some = _taken(rows, cuts, ["_row"])
+    times = F.col("_whole") * F.col("_same") + F.col("_left")
+    return unpacked(_repeat(out, F.col("copies")).select("_row").unionByName(_repeat(some, times).select("_row")), docs)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

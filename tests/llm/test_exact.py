@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from pagemill.llm import embedding_dedup, html_text, line_dedup, minhash_dedup, mixing, packing, quality, secrets, sharding, token_counts
 from pagemill.llm.common import components
@@ -249,6 +252,31 @@ def test_fit_is_best():
     assert sum(s * n for s, n in mixing.fit(big, 1_000_003, finish=2000).items()) == 1_000_003
 
 
+@pytest.mark.parametrize(
+    "counts,budget,want",
+    [
+        ({1000: 1000, 1: 999}, 900_000, 900_000),
+        ({1000: 100_000, 1: 999}, 90_000_000, 90_000_000),  # above MOST: the ones come back from the quotas
+        ({1000: 100_000, 7: 400}, 90_000_001, 90_000_001),
+        ({6: 900_000, 10: 900_000}, 9_000_001, 9_000_000),
+        ({400: 5000, 401: 5000, 20_000: 30}, 1_999_999, 1_999_999),
+    ],
+)
+def test_fit_above_the_first_finish(counts, budget, want):
+    got = mixing.fit(counts, budget)
+    assert all(0 < n <= counts[s] for s, n in got.items())
+    assert sum(s * n for s, n in got.items()) == want
+
+
+def test_fit_agrees_for_any_finish():
+    rnd = random.Random(8)
+    for _ in range(40):
+        counts = {rnd.randint(1, 60): rnd.randint(1, 30) for _ in range(rnd.randint(1, 4))}
+        budget = rnd.randint(0, 2500)
+        sums = {sum(s * n for s, n in mixing.fit(counts, budget, finish=f).items()) for f in (1, 50, 10**6)}
+        assert len(sums) == 1
+
+
 def test_mixing(spark):
     assert mixing.targets([("b", 100), (None, 10), ("a", 1000)]) == [("a", 1000, 1445.0), ("b", 100, 200.0), (None, 10, 20.0)]
     rnd = random.Random(6)
@@ -268,6 +296,41 @@ def test_mixing(spark):
     assert collections.Counter(r["doc_id"] for r in mixing.mix(df).collect()) == +taken
 
 
+def same_crc(text):
+    """Two texts of one CRC32 and one count of words."""
+    seen = {}
+    for k in itertools.count():
+        other = f"{text} other {k:x}"
+        crc = zlib.crc32(other.encode())
+        if crc in seen:
+            return seen[crc], other
+        seen[crc] = other
+
+
+def test_mix_keeps_unlike_rows_apart(spark):
+    one, two = same_crc("words of a text")
+    assert one != two and zlib.crc32(one.encode()) == zlib.crc32(two.encode())
+    schema = "doc_id long, text string, source string, _k string, size string"
+    rows = [(None, one, "a", "x", None), (None, two, "a", "x", None), (1, one, "a", "x", None), (1, one, "a", "y", None), (1, one, "a", None, "y")]
+    assert collections.Counter(tuple(r) for r in mixing.mix(spark.createDataFrame(rows, schema), share=2.0).collect()) == {r: 2 for r in rows}
+    got = mixing.mix(spark.createDataFrame(rows, schema), share=1.0).collect()
+    assert collections.Counter(tuple(r) for r in got) == {r: 1 for r in rows}
+
+
+def test_mix_takes_some_of_repeated_rows(spark):
+    rows = [(None, "one two three four", "a")] * 9000 + [(1, "five six seven eight", "a"), (2, "five six", "a")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for share in (0.4, 1.3):
+        want = round(share * (4 * 9001 + 2))
+        chosen = mixing.choose(df, share=share).collect()
+        assert len(chosen) == len(rows) and sum(r["size"] * r["copies"] for r in chosen) == want // 2 * 2
+        counts = lambda x: collections.Counter(tuple(r) for r in x)
+        got = counts(mixing.mix(df, share=share).collect())
+        assert got == counts(mixing.mix(df.repartition(3), share=share).collect())
+        assert sum(n * len(r[1].split()) for r, n in got.items()) == want // 2 * 2
+        assert got[rows[0]] == sum(r["copies"] for r in chosen if r["doc_id"] is None)
+
+
 def naive_best_fit(lengths, size):
     bins = []
     for n in sorted(lengths, reverse=True):
@@ -354,7 +417,7 @@ def test_lines(spark, few, monkeypatch):
             own.append(f"Posted on page {k} by user {k * 7} in the forum")
         rows.append((k, "\n".join(own), "a"))
     rows.append((50, rows[0][1], "a"))
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA), part=20_000 if few else 1).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     for k, text, _ in rows:
         lines = text.split("\n")
         if k not in (0, 50):
@@ -426,6 +489,61 @@ def test_secret_network_leaves_mail_hosts():
     assert sum(any(x[1] == 3 for x in s) for s in secrets.scan(texts, secrets.network())) <= 1
 
 
+def brute_lines(texts):
+    """Texts (doc_id: text, all unlike) without recurring lines: every line against every template of its leaf."""
+    lines = {k: {x: re.split(r"[\x20\x09-\x0D]+", x.strip(" \t\v\f\r")) for x in t.split("\n")} for k, t in texts.items()}
+    lines = {k: {x: [re.sub(".*[0-9].*", "<*>", w) for w in ws] for x, ws in own.items() if len(ws) >= 4} for k, own in lines.items()}
+    leaves, who = collections.defaultdict(list), collections.defaultdict(set)
+    for k, own in lines.items():
+        for x, ws in own.items():
+            leaves[len(ws), tuple(ws[:3])].append((k, x, " ".join(ws)))
+            who[x].add(k)
+    gone = collections.defaultdict(set)
+    for (size, _), found in leaves.items():
+        count = collections.Counter(m for _, _, m in found)
+        templates, joined = [], {}
+        for m in sorted(count, key=lambda m: (-count[m], np.uint64(xxhash.xxh64_intdigest(m, 42)).astype(np.int64))):
+            ws = m.split(" ")
+            agree = [sum(a == b for a, b in zip(t, ws)) for t in templates]
+            if agree and max(agree) >= 0.6 * size:
+                k = agree.index(max(agree))
+                templates[k] = [a if a == b else "<*>" for a, b in zip(templates[k], ws)]
+            else:
+                k = len(templates)
+                templates.append(ws)
+            joined[m] = k
+        for k in range(len(templates)):
+            own = {d for d, _, m in found if joined[m] == k}
+            if len(own) >= (2 if size >= 10 else 3):
+                for d, x, m in found:
+                    if joined[m] == k and d != min(own):
+                        gone[d].add(x)
+        for d, x, _ in found:
+            if size < 10 and len(who[x]) > 1 and d != min(who[x]):
+                gone[d].add(x)
+    return {k: "\n".join(x for x in t.split("\n") if x not in gone[k]) for k, t in texts.items()}
+
+
+def test_lines_equal_brute_force(spark):
+    rnd = random.Random(31)
+    kinds = ["we saw the {} of {} and then {} went to {} again", "error {} in the {} of {} at line {}", "a b c {}", "a b c {} {} {}\u00a0{}", "\u0661 \t read {} more of {} here {}"]
+    line = lambda: rnd.choice(kinds).format(*[rnd.choice(["7", "x1", "red", "blue", "town", "sea", "it", "\u0662"]) for _ in range(4)]) + rnd.choice(["", " ", " end", " 5"])
+    texts = {k: "\n".join([f"{k} own"] + [line() for _ in range(rnd.randint(1, 9))]) for k in range(60)}
+    df = spark.createDataFrame([(k, t, "a") for k, t in texts.items()], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()}
+    want = brute_lines(texts)
+    assert sum(want[k] != texts[k] for k in texts) > 30 and got == want
+
+
+def test_a_leaf_of_many_lines():
+    rnd, leaf = random.Random(32), line_dedup.Leaf()
+    names = [f"w{k}" for k in range(3000)]
+    start = time.time()
+    found = [leaf.add(["on", "the", "day", *[rnd.choice(names) for _ in range(9)]], k) for k in range(50_000)]
+    assert time.time() - start < 40
+    assert len(set(found)) > 40_000
+
+
 def test_lines_of_two_texts(spark):
     rnd = random.Random(14)
     passage, short = say(rnd, 50), "five words that come twice"
