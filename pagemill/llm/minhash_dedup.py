@@ -7,8 +7,8 @@ process ends as soon as its next arrival is later than every slot's earliest (ea
 sketches agree in a slot with probability J_P.
 
 Texts with equal weighted shingles are one class. Every link rests on an exact J_P >= t, in four steps:
-each class is verified against the smallest of every band it shares (a star); verified links are connected;
-inside such a component every pair is verified; last, where a band holds classes of more than one
+each class is verified against the smallest of the bands it shares, that which it meets most often (a star); verified links are
+connected; inside such a component every pair is verified; last, where a band holds classes of more than one
 component, its pairs across components are, each in the first band that it shares. No unverified hit ever connects, so chance
 hits don't grow into groups. Pairs stay inside tasks: groups of over TILE classes are cut into tiles of pairs of parts,
 and a task emits a row per class, its links and its root. A lone pair at J_P shares none of the BANDS
@@ -407,17 +407,23 @@ def verdicts(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str
     want = members.select("cid").distinct().join(classes.select("cid", "n", "head._d1", "head._d2"), "cid")
     want = written(want, "wanted")
     sets = written(weighted_sets(docs, F.broadcast(want) if want.count() <= FEW else want, text), "sets")
-    # each class against the smallest of every band that it shares
-    stars = written(members.join(keys.select("key", "low"), "key").filter("cid > low").select("cid", "low").distinct(), "stars")
+    # each class against the smallest of its bands that it meets most often: a first guess at who belongs together
+    hits = members.join(keys.select("key", "low"), "key").filter("cid > low").groupBy("cid", "low").agg(F.count("*").alias("hits"))
+    stars = hits.filter("hits > 1").groupBy("cid").agg(F.max_by("low", F.struct("hits", -F.col("low"))).alias("low"))
+    stars = written(stars, "stars")
     parts = stars.groupBy("low").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     pivots = parts.select(F.col("low").alias("cid"), "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     arms = stars.join(parts, "low").select("cid", "low", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
     star = _in_groups(sets.join(pivots.unionByName(arms), "cid"), ["low", "part"])
     edges = written(star.select("low", "part", "cid", "n", "ids", "w").mapInArrow(_star_links(t), "a long, b long").distinct(), "edges")
     groups = written(components(edges, "stars").select(F.col("id").alias("cid"), F.col("component").alias("comp")), "groups")
-    # every pair inside a component
-    inside = _in_groups(sets.join(_tiled(groups, "comp", tile), "cid"), ["comp", "lo", "hi"])
+    # every pair inside a component; where that is one link, it is known
+    lone = groups.groupBy("comp").agg(F.count("*").alias("size")).filter("size = 2").select("comp")
+    inside = _in_groups(sets.join(_tiled(groups.join(lone, "comp", "left_anti"), "comp", tile), "cid"), ["comp", "lo", "hi"])
     inside = inside.select("comp", "lo", "hi", "own", "cid", "n", "ids", "w").mapInArrow(_group_links(t, ["comp"], False), "cid long, links long, root long")
+    pairs = edges.join(lone, F.col("b") == F.col("comp"))
+    pairs = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
+    pairs = pairs.join(want.select(F.col("cid").alias("b"), "n"), "b").select(F.col("a").alias("cid"), F.col("n").alias("links"))
     # pairs across components, in bands that hold several; of bands with the same classes the first stands for all
     placed = members.join(groups, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key")
@@ -427,7 +433,7 @@ def verdicts(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str
     across = across.select("key", "lo", "hi", "own", "cid", "n", "comp", "band", "bands", "ids", "w")
     across = written(across.mapInArrow(_group_links(t, ["key"], True), "cid long, links long, root long"), "across")
     roots = components(edges.union(across.select("cid", "root")), "documents").withColumnRenamed("id", "cid")
-    links = inside.unionByName(across).groupBy("cid").agg(F.sum("links").alias("links"))
+    links = inside.unionByName(across).drop("root").unionByName(pairs).groupBy("cid").agg(F.sum("links").alias("links"))
     known = classes.select("_k1", "_k2", "cid", "n", "head").join(links, "cid", "left").join(roots, "cid", "left")
     known = written(known.withColumn("component", F.coalesce("component", "cid")), "known")
     heads = known.filter("links > 0").groupBy("component").agg(F.min("head").alias("first"))
