@@ -36,7 +36,7 @@ from .common import components, keyed, local_roots, row_digest, table, unpacked,
 BANDS, ROWS = 64, 4
 THRESHOLD, TILE = 0.5, 512
 CHUNK = 250_000
-#: Sides of at most so many rows (24 bytes each) are broadcast; beyond, both sides are shuffled.
+#: Sides of at most so many rows (48 bytes each: 24 MB) are broadcast; beyond, both sides are shuffled.
 FEW = 500_000
 LOW = np.uint64((1 << 48) - 1)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -149,8 +149,8 @@ def sketches(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int
     return narrow.mapInArrow(run, "doc_id long, _d1 long, _d2 long, _k1 long, _k2 long, bands array<long>, _fine boolean")
 
 
-def weighted_sets(docs: DataFrame, want: DataFrame, text: str) -> DataFrame:
-    """cid, n, ids (distinct shingles in order), w (how often each occurs) of the rows whose digest is wanted."""
+def weighted_sets(docs: DataFrame, want: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
+    """cid, n, ids (distinct shingles in order), w (how often each occurs), bands of the rows whose digest is wanted."""
 
     def run(batches):
         seen: set[int] = set()
@@ -164,11 +164,13 @@ def weighted_sets(docs: DataFrame, want: DataFrame, text: str) -> DataFrame:
                 count = np.bincount(doc, minlength=j - i)
                 arrays = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)]
                 arrays += [_lists(shingle.view(np.int64), count, pa.int64()), _lists(weight.astype(np.int32), count, pa.int32())]
+                found = band_keys(sketch(doc, shingle, weight, j - i, bands * rows), bands, rows)
+                arrays.append(_lists(found.ravel(), np.full(j - i, bands), pa.int64()))
                 new = [c not in seen and not seen.add(c) for c in arrays[0].to_pylist()]  # a repeated row comes once
-                yield pa.RecordBatch.from_arrays(arrays, names=["cid", "n", "ids", "w"]).filter(pa.array(new, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(arrays, names=["cid", "n", "ids", "w", "bands"]).filter(pa.array(new, pa.bool_()))
 
-    rows = docs.select(F.col(text).alias("_t"), *[c.alias(k) for k, c in row_digest(docs).items()]).join(want, ["_d1", "_d2"])
-    return rows.select("cid", "n", shingles(F.col("_t")).alias("s")).mapInArrow(run, "cid long, n long, ids array<long>, w array<int>")
+    chosen = docs.select(F.col(text).alias("_t"), *[c.alias(k) for k, c in row_digest(docs).items()]).join(want, ["_d1", "_d2"])
+    return chosen.select("cid", "n", shingles(F.col("_t")).alias("s")).mapInArrow(run, "cid long, n long, ids array<long>, w array<int>, bands array<long>")
 
 
 class Sets:
@@ -386,8 +388,14 @@ def _tiled(members: DataFrame, group: str, tile: int) -> DataFrame:
     return out.withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with")}).drop("with", "parts")
 
 
-def _in_groups(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, "cid")
+def _in_groups(sets: DataFrame, who: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The sets of who (cid, keys), each group in one partition, in order of cid."""
+    return sets.join(_sided(who, name), "cid").repartition(*keys).sortWithinPartitions(*keys, "cid")
+
+
+def _sided(df: DataFrame, name: str) -> DataFrame:
+    small = written(df, name)
+    return F.broadcast(small) if small.count() <= FEW else small
 
 
 def verdicts(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -405,8 +413,8 @@ def verdicts(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str
     )
     keys = written(keys, "keys")
     want = members.select("cid").distinct().join(classes.select("cid", "n", "head._d1", "head._d2"), "cid")
-    want = written(want, "wanted")
-    sets = written(weighted_sets(docs, F.broadcast(want) if want.count() <= FEW else want, text), "sets")
+    want = _sided(want, "wanted")
+    sets = written(weighted_sets(docs, want, text, bands, rows), "sets")
     # each class against the smallest of its bands that it meets most often: a first guess at who belongs together
     hits = members.join(keys.select("key", "low"), "key").filter("cid > low").groupBy("cid", "low").agg(F.count("*").alias("hits"))
     stars = hits.filter("hits > 1").groupBy("cid").agg(F.max_by("low", F.struct("hits", -F.col("low"))).alias("low"))
@@ -414,12 +422,12 @@ def verdicts(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str
     parts = stars.groupBy("low").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     pivots = parts.select(F.col("low").alias("cid"), "low", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     arms = stars.join(parts, "low").select("cid", "low", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
-    star = _in_groups(sets.join(pivots.unionByName(arms), "cid"), ["low", "part"])
+    star = _in_groups(sets, pivots.unionByName(arms), ["low", "part"], "arms")
     edges = written(star.select("low", "part", "cid", "n", "ids", "w").mapInArrow(_star_links(t), "a long, b long").distinct(), "edges")
     groups = written(components(edges, "stars").select(F.col("id").alias("cid"), F.col("component").alias("comp")), "groups")
     # every pair inside a component; where that is one link, it is known
     lone = groups.groupBy("comp").agg(F.count("*").alias("size")).filter("size = 2").select("comp")
-    inside = _in_groups(sets.join(_tiled(groups.join(lone, "comp", "left_anti"), "comp", tile), "cid"), ["comp", "lo", "hi"])
+    inside = _in_groups(sets, _tiled(groups.join(lone, "comp", "left_anti"), "comp", tile), ["comp", "lo", "hi"], "tiles")
     inside = inside.select("comp", "lo", "hi", "own", "cid", "n", "ids", "w").mapInArrow(_group_links(t, ["comp"], False), "cid long, links long, root long")
     pairs = edges.join(lone, F.col("b") == F.col("comp"))
     pairs = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*")
@@ -428,8 +436,7 @@ def verdicts(docs: DataFrame, t: float = THRESHOLD, tile: int = TILE, text: str
     placed = members.join(groups, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key")
     mixed = keys.join(mixed, "key").groupBy("m", "set", "low").agg(F.min(F.struct("band", "key")).alias("one")).select("one.key")
-    placed = _tiled(placed.join(mixed, "key"), "key", tile).join(classes.select("cid", "bands"), "cid")
-    across = _in_groups(sets.join(placed, "cid"), ["key", "lo", "hi"])
+    across = _in_groups(sets, _tiled(placed.join(mixed, "key"), "key", tile), ["key", "lo", "hi"], "mixed")
     across = across.select("key", "lo", "hi", "own", "cid", "n", "comp", "band", "bands", "ids", "w")
     across = written(across.mapInArrow(_group_links(t, ["key"], True), "cid long, links long, root long"), "across")
     roots = components(edges.union(across.select("cid", "root")), "documents").withColumnRenamed("id", "cid")
