@@ -1,15 +1,19 @@
 """Secret scans: pattern findings, plus a character convolutional network over every other candidate.
 
-Patterns (kinds assign, access, hex) always stay. A candidate is a run of `[A-Za-z0-9+/_.=-]` with a
-digit and 12 characters or more that no pattern finding overlaps; the network reads the whole run and 24
-characters on either side. It is one convolution of width 5 (table lookups, as inputs are characters),
-ReLU, maximum and mean over the run's positions, and a small dense head. train() fits it on a
-bounded number of labelled findings (TRAIN_ROWS), scales its logits on a held-out part (temperature) and sets the
-threshold to even odds, or higher where the held-out findings that are none need it (share of false alarms <=
-FALSE_ALARMS). Recall plays no part in it: left_out() measures it on shapes that training has not seen. Weights
-lie in weights/secrets.npz.
-
-Offsets are code points, ends exclusive. A null text is empty; repeated rows repeat; texts are read whole.
+Patterns (kinds assign, access, hex) always stay. A candidate is what is left of a run of printable ASCII characters
+(quotes, brackets, commas, semicolons and bars end it; so do pattern findings), without signs around it, that
+holds a digit and 12 characters or more; or a digit, a letter and a sign of `!@#$%^&*~?` and 8 characters; or no digit, but a capital after a
+small letter and 16 characters; or that has 6 characters and follows a word such as password, key, token or login within
+GAP characters of its line (there the first CUED runs). Every candidate is judged: the network reads it whole and CONTEXT
+characters on either side. It is one convolution of width 5 (table lookups, as inputs are characters), ReLU, maximum and
+mean over the candidate's positions and over its context's, and a small dense head. train() fits it on a bounded number of labelled
+findings (TRAIN_ROWS) and scales its logits on a held-out part (temperature). The threshold is the highest that reports
+RECALL of the held-out secrets, but where that lies beyond even odds, even odds: so neither bound is given up where both can be kept.
+Weights lie in weights/secrets.npz.
+
+Offsets are code points, ends exclusive. A null text is empty and has no spans; repeated rows repeat; texts are read
+whole, however long; candidates that overlap are one, from the first start to the last end. Columns but doc_id and the text are not read. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +34,17 @@ from .common import table
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-DIGIT = re.compile(r"[0-9]")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+CHARS = r"!#-&*+\-./0-9:=?@A-Z\\^_a-z~"
+#: Runs with more than letters, long runs of letters, any run.
+ODD = re.compile(rf"[A-Za-z]*[!#-&*+\-./0-9:=?@\\^_~][{CHARS}]*")
+MIXED = re.compile(r"(?<![A-Za-z])[A-Za-z]*[a-z][A-Z][A-Za-z]*")
+RUN = re.compile(rf"[{CHARS}]{{6,}}")
+CUE = re.compile(r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|authorization|bearer|basic|login|key|keys|pin)(?![A-Za-z])", re.I | re.A)
+DIGIT, LETTER, SIGN, CAPITAL = (re.compile(x) for x in ("[0-9]", "[A-Za-z]", r"[!@#$%^&*~?]", "[a-z][A-Z]"))
+GAP, CUED = 24, 2
 KINDS = ("assign", "access", "hex", "cnn")
-CONTEXT, WIDTH, FILTERS, HIDDEN, CODES = 24, 5, 24, 16, 202
-FALSE_ALARMS, TRAIN_ROWS, SHAPES = 0.002, 12_000, 17
+CONTEXT, WIDTH, FILTERS, HIDDEN, CODES = 32, 5, 24, 24, 202
+RECALL, TRAIN_ROWS, SHAPES = 0.98, 30_000, 24
 WEIGHTS = Path(__file__).with_name("weights") / "secrets.npz"
 
 
@@ -50,14 +60,50 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that the network judges; those that a pattern finding overlaps are left out."""
-    if DIGIT.search(text) is None:
-        return []
-    out = []
-    for m in RUN.finditer(text):
-        run = m.group()
-        start, end = m.start() + len(run) - len(run.lstrip(".=-")), m.end() - (len(run) - len(run.rstrip(".-")))
-        if end - start >= 12 and DIGIT.search(text, start, end) and all(e <= start or s >= end for s, _, e in taken):
+    """What the network judges, in order."""
+    found: list[tuple[int, int]] = []
+
+    def add(start: int, end: int, least: int) -> None:
+        """The pieces of a run that pattern findings leave, if they are candidates of `least` characters (0: by what they hold)."""
+        for s, _, e in taken:
+            if s < end and e > start:
+                if s > start:
+                    add(start, s, least)
+                start = max(start, e)
+        run = text[start:end]
+        start, end = end - len(run.lstrip(":=.,?*-")), start + len(run.rstrip(".:,?*-"))
+        n = end - start
+        if n < (least or 8):
+            return
+        if not least:
+            digit = DIGIT.search(text, start, end) is not None
+            if not (
+                n >= 12 and digit
+                or digit and SIGN.search(text, start, end) and LETTER.search(text, start, end)
+                or n >= 16 and not digit and CAPITAL.search(text, start, end)
+            ):
+                return
+        found.append((start, end))
+
+    for m in ODD.finditer(text):
+        if m.end() - m.start() >= 8:
+            add(m.start(), m.end(), 0)
+    for m in MIXED.finditer(text):
+        if m.end() - m.start() >= 16:
+            add(m.start(), m.end(), 0)
+    for m in CUE.finditer(text):
+        at, line = m.end(), text.find("\n", m.end())
+        for _ in range(CUED):
+            run = RUN.search(text, at, line if line >= 0 else len(text))
+            if run is None or run.start() > m.end() + GAP:
+                break
+            add(run.start(), run.end(), 6)
+            at = run.end()
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(set(found)):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
             out.append((start, end))
     return out
 
@@ -97,14 +143,23 @@ class Network:
             src = np.clip(np.arange(len(flat)) + shift, 0, len(flat) - 1)
             conv += w["table"][k][flat[src]]
         act = np.maximum(conv, 0)
-        n = ends - starts
-        index = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)])
-        inside = act[index]
-        cut = np.concatenate([[0], np.cumsum(n)[:-1]])
-        high, mean = np.maximum.reduceat(inside, cut), np.add.reduceat(inside, cut) / n[:, None]
-        pooled = np.concatenate([high, mean], axis=1)
+        # the run's own positions (their codes are 100 and up) and those of its context
+        size = ends - starts
+        whole = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)])
+        own, seg = flat[whole] >= 100, np.repeat(np.arange(len(size)), size)
+        parts = []
+        for index, seg_ in ((whole[own], seg[own]), (whole[~own], seg[~own])):
+            n = np.bincount(seg_, minlength=len(size))
+            here = np.flatnonzero(n)
+            cut = np.concatenate([[0], np.cumsum(n)])[here]
+            high, mean = np.zeros((len(size), FILTERS)), np.zeros((len(size), FILTERS))
+            if len(here):
+                high[here] = np.maximum.reduceat(act[index], cut)
+                mean[here] = np.add.reduceat(act[index], cut) / n[here, None]
+            parts.append((index, seg_, n, high, mean))
+        pooled = np.concatenate([x for p in parts for x in p[3:]], axis=1)
         hidden = np.maximum(pooled @ w["w1"] + w["b1"], 0)
-        return hidden @ w["w2"] + w["b2"], (act, index, cut, n, high, pooled, hidden)
+        return hidden @ w["w2"] + w["b2"], (act, parts, pooled, hidden)
 
     def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
         out = []
@@ -125,15 +180,15 @@ def join(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), at + WIDTH // 2, at + sizes - WIDTH // 2
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0, epochs: int = 14) -> Network:
-    """Adam on the logistic loss; the last fifth of the (shuffled) rows calibrates and sets the threshold."""
+def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0, epochs: int = 12) -> Network:
+    """Adam on the logistic loss; a fifth of the (shuffled) rows calibrates and sets the threshold."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))[:TRAIN_ROWS]
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     w = {
         "table": rng.normal(0, 0.15, (WIDTH, CODES, FILTERS)),
         "bias": np.zeros(FILTERS),
-        "w1": rng.normal(0, 0.2, (2 * FILTERS, HIDDEN)),
+        "w1": rng.normal(0, 0.2, (4 * FILTERS, HIDDEN)),
         "b1": np.zeros(HIDDEN),
         "w2": rng.normal(0, 0.3, HIDDEN),
         "b2": np.zeros(()),
@@ -147,20 +202,23 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0, epochs: int
         for i in range(0, len(fit), 64):
             batch = fit[i : i + 64]
             flat, starts, ends = join([rows[j] for j in batch])
-            z, (act, index, cut, n, high, pooled, hidden) = net.forward(flat, starts, ends)
+            z, (act, parts, pooled, hidden) = net.forward(flat, starts, ends)
             dz = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels[batch]) / len(batch)
             g = {"w2": hidden.T @ dz, "b2": dz.sum()}
             dh = np.outer(dz, w["w2"]) * (hidden > 0)
             g |= {"w1": pooled.T @ dh, "b1": dh.sum(0)}
             dp = dh @ w["w1"].T
-            inside, seg = act[index], np.repeat(np.arange(len(n)), n)
-            top = (inside == high[seg]) & (inside > 0)
-            ties = np.maximum(np.add.reduceat(top.astype(float), cut), 1)
-            di = top * (dp[:, :FILTERS] / ties)[seg] + (inside > 0) * (dp[:, FILTERS:] / n[:, None])[seg]
-            g["bias"] = di.sum(0)
-            g["table"] = np.zeros_like(w["table"])
-            for k in range(WIDTH):
-                np.add.at(g["table"][k], flat[index + k - WIDTH // 2], di)
+            g["bias"], g["table"] = np.zeros(FILTERS), np.zeros_like(w["table"])
+            for k, (index, seg, n, high, _) in enumerate(parts):
+                d_high, d_mean = dp[:, 2 * k * FILTERS : (2 * k + 1) * FILTERS], dp[:, (2 * k + 1) * FILTERS : (2 * k + 2) * FILTERS]
+                inside = act[index]
+                top = (inside == high[seg]) & (inside > 0)
+                ties = np.zeros_like(high)
+                np.add.at(ties, seg, top)
+                di = top * (d_high / np.maximum(ties, 1))[seg] + (inside > 0) * (d_mean / np.maximum(n, 1)[:, None])[seg]
+                g["bias"] += di.sum(0)
+                for c in range(WIDTH):
+                    np.add.at(g["table"][c], flat[index + c - WIDTH // 2], di)
             step += 1
             for k in learned:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -168,87 +226,132 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 0, epochs: int
                 w[k] = w[k] - 0.004 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     flat, starts, ends = join([rows[j] for j in held])
     z, y = net.forward(flat, starts, ends)[0], labels[held]
-    scales = np.geomspace(0.02, 50, 120)
+    scales = np.geomspace(0.01, 100, 240)
     loss = [np.mean(np.logaddexp(0, -(2 * y - 1) * z / t)) for t in scales]
     w["temperature"] = np.array(scales[int(np.argmin(loss))])
-    p = np.sort(net.probabilities([rows[j] for j in held])[y == 0])
-    # even odds, unless that gives more false alarms than asked for
-    w["threshold"] = np.array(max(0.5, np.nextafter(p[-1 - int(FALSE_ALARMS * len(p))], 1)))
+    p = np.sort(net.probabilities([rows[j] for j in held])[y == 1])
+    w["threshold"] = np.array(min(0.5, p[int((1 - RECALL) * len(p))]))
     return net
 
 
 def labelled(n: int, seed: int = 0, shapes: tuple[int, ...] = tuple(range(SHAPES))) -> tuple[list[np.ndarray], np.ndarray]:
-    """Synthetic labelled findings: credentials of the given shapes, and digit-bearing runs that are none."""
+    """Synthetic labelled findings: credentials of the given shapes in context, and candidates that are none.
+
+    Of shapes that only their context tells from something harmless (UUIDs, short hex, plain words) both kinds occur.
+    """
     rnd = random.Random(seed)
     alnum, b64, hexa = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef"
+    low, up, num = string.ascii_lowercase, string.ascii_uppercase, string.digits
     pick = lambda s, a, b: "".join(rnd.choice(s) for _ in range(rnd.randint(a, b)))
-    syll = "the er on an re he in ed nd ha en ou ti es or th sh ea ing tion ble st nt wh ly é è ge ver sch heit ción mente que aux".split()
-    word = lambda: "".join(rnd.choice(syll) for _ in range(rnd.randint(1, 4)))
+    d = lambda a, b: pick(num, a, b)
+    one = rnd.choice
+    syll = "the er on an re he in ed nd ha en ou ti es or th sh ea ing tion ble st nt wh ly é è ge ver sch heit ción mente que aux ro la ma de com pro".split()
+    word = lambda: "".join(one(syll) for _ in range(rnd.randint(1, 4)))
+    plainword = lambda: "".join(one([x for x in syll if x.isascii()]) for _ in range(rnd.randint(2, 4)))
+    uuid = lambda: "-".join(pick(hexa, k, k) for k in (8, 4, 4, 4, 12))
+    signs = "!@#$%^&*-_+=?~"
+    leet = str.maketrans({"a": "@", "e": "3", "i": "1", "o": "0", "s": "$"})
+    names = ["client_secret", "client secret", "api_key", "api key", "apikey", "access_key", "access key", "secret key", "deploy key", "deploy_key", "private key", "auth token", "auth_token", "bearer", "password", "passwd", "pwd", "pass", "passphrase", "secret", "token", "credentials", "login", "signing key", "webhook secret", "db_password", "SECRET_KEY", "API_TOKEN", "PGPASSWORD", "passcode"]
+    cue = lambda: one(names) + one([": ", "=", " = ", " is ", " ", ":", ' "', "='", " -> ", ": '", " was "])
+    free = lambda: one(["key ", "credential: ", "auth = ", "Bearer ", "Authorization: Basic ", "access_key_id=", "pwd ", "client ", "", "", "", "", "login with ", "use ", "export X=", "header ", cue()])
+
+    def password(a: int, b: int) -> str:
+        while True:
+            p = pick(alnum + signs, a, b)
+            if sum(c in signs for c in p) >= 1 and p[0] not in ":=.,?*-" and p[-1] not in ".:,?*-":
+                return p
 
     def secret() -> tuple[str, str]:
-        k = rnd.choice(shapes)
+        k = one(shapes)
         body = (
-            lambda: "ghp_" + pick(alnum, 36, 36),
-            lambda: rnd.choice(["sk_live_", "sk_test_", "pk_live_", "rk_live_"]) + pick(alnum, 24, 40),
-            lambda: "xox" + rnd.choice("bpas") + "-" + pick(string.digits, 10, 12) + "-" + pick(alnum, 20, 28),
+            lambda: one(["ghp_", "gho_", "ghs_"]) + pick(alnum, 36, 36),
+            lambda: one(["sk_live_", "sk_test_", "pk_live_", "rk_live_", "sk-", "sk-proj-"]) + pick(alnum, 24, 48),
+            lambda: "xox" + one("bpas") + "-" + d(10, 12) + "-" + pick(alnum, 20, 28),
             lambda: "eyJ" + pick(alnum + "_-", 16, 40) + "." + pick(alnum + "_-", 20, 60) + "." + pick(alnum + "_-", 30, 43),
             lambda: "AIza" + pick(alnum + "_-", 35, 35),
-            lambda: pick(b64, 32, 64) + rnd.choice(["", "=", "=="]),
+            lambda: pick(b64, 32, 64) + one(["", "=", "=="]),
             lambda: pick(alnum, 20, 44),
             lambda: pick(hexa.upper(), 32, 64),
-            lambda: "ASIA" + pick(string.ascii_uppercase + string.digits, 16, 16),
+            lambda: "ASIA" + pick(up + num, 16, 16),
             lambda: "glpat-" + pick(alnum + "_-", 20, 20),
             lambda: "SG." + pick(alnum + "_-", 22, 22) + "." + pick(alnum + "_-", 43, 43),
             lambda: pick(alnum, 12, 20),
-            lambda: pick(string.ascii_lowercase + string.digits, 20, 44),
-            lambda: pick(string.ascii_lowercase, 2, 6) + rnd.choice(["_", "-", "_v1_"]) + pick(hexa, 16, 23),
-            lambda: pick(string.ascii_lowercase, 3, 6) + rnd.choice(["_", "-"]) + pick(hexa.upper(), 24, 40),
-            lambda: pick(string.ascii_lowercase, 2, 6) + rnd.choice(["_", "-", "."]) + pick(alnum, 20, 40),
-            lambda: pick(string.ascii_uppercase + string.digits, 20, 40),
+            lambda: pick(low + num, 20, 44),
+            lambda: pick(low, 2, 6) + one(["_", "-", "_v1_"]) + pick(hexa, 16, 23),
+            lambda: pick(low, 3, 6) + one(["_", "-"]) + pick(hexa.upper(), 24, 40),
+            lambda: pick(low, 2, 6) + one(["_", "-", "."]) + pick(alnum, 20, 40),
+            lambda: pick(up + num, 20, 40),
+            uuid,
+            lambda: pick(hexa, 12, 23),
+            lambda: password(8, 15),
+            lambda: password(16, 28),
+            lambda: pick(string.ascii_letters, 10, 24),
+            lambda: one(["postgres", "mysql", "mongodb+srv", "redis", "amqp", "https", "ftp"]) + "://" + plainword() + ":" + one([password(8, 16).replace("@", "x").replace("#", "y"), pick(alnum, 8, 20)]) + "@" + one([plainword() + ".com", "localhost:5432", "10.0.0." + d(1, 2), "db." + plainword() + ".net:3306"]) + one(["", "/" + plainword(), "/" + plainword() + "?x=1"]),
+            lambda: one([plainword().capitalize().translate(leet), plainword().capitalize(), plainword()]) + one([d(2, 4), d(1, 3) + one("!?#$@*"), one("!#$@") + d(1, 4), one("!#") + one("!#$")]),
         )[k]()
-        lead = rnd.choice(["key ", "credential: ", "auth = ", "Bearer ", "Authorization: Basic ", "access_key_id=", "pwd ", "private key ", "client ", "", "", "login with "])
-        if k == 11:
-            lead = rnd.choice(["pwd: ", "pwd=", "passphrase ", "credentials: ", "pass: ", "auth="])
-        return lead, body
+        return (cue() if k in (11, 17, 18, 19, 21, 23) else "" if k == 22 and rnd.random() < 0.5 else free()), body
 
     def plain() -> tuple[str, str]:
-        k = rnd.randrange(19)
-        d = lambda a, b: pick(string.digits, a, b)
+        k = rnd.randrange(36)
+        lead = one(["", "", "", "", "the number ", "at ", "see ", "page ", "on ", "id ", "call ", "version "])
+        harmless = one(["request id ", "commit ", "trace ", "uuid ", "order ", "sha ", "revision ", "checksum: ", "session_id=", "object ", "build ", "id=", "in ", ""])
         body = (
             lambda: d(12, 19),
             lambda: f"{d(4, 4)}-{d(4, 4)}-{d(4, 4)}-{d(4, 4)}",
-            lambda: f"{rnd.randint(1990, 2035)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}T{d(2, 2)}",
+            lambda: f"{rnd.randint(1990, 2035)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}T{d(2, 2)}" + one(["", f":{d(2, 2)}:{d(2, 2)}Z", f":{d(2, 2)}:{d(2, 2)}+00:00"]),
             lambda: f"{word()}.{word()}{d(1, 3)}",
             lambda: f"www.{word()}.com/{word()}/{d(1, 6)}",
             lambda: f"v{d(1, 2)}.{d(1, 2)}.{d(1, 3)}-{word()}",
-            lambda: f"{word()}_{word()}_{d(1, 4)}.{rnd.choice(['txt', 'html', 'png', 'py', 'json'])}",
+            lambda: f"{word()}_{word()}_{d(1, 4)}.{one(['txt', 'html', 'png', 'py', 'json'])}",
             lambda: f"+1-{d(3, 3)}-{d(3, 3)}-{d(4, 4)}",
-            lambda: "-".join([pick(hexa, 8, 8), pick(hexa, 4, 4), pick(hexa, 4, 4), pick(hexa, 4, 4), pick(hexa, 12, 12)]),
-            lambda: f"{d(1, 3)}.{d(1, 3)}.{d(1, 3)}.{d(1, 3)}/{d(1, 2)}",
+            uuid,
+            lambda: f"{d(1, 3)}.{d(1, 3)}.{d(1, 3)}.{d(1, 3)}" + one(["", "/" + d(1, 2), ":" + d(2, 4)]),
             lambda: word() + word() + d(1, 4),
             lambda: word().capitalize() + word().capitalize() + d(1, 2) + word(),
             lambda: "DE" + d(20, 20),
             lambda: f"{d(1, 3)}.{d(3, 3)}.{d(3, 3)}.{d(3, 3)}",
             lambda: f"978-{d(1, 1)}-{d(4, 5)}-{d(3, 4)}-{d(1, 1)}",
             lambda: f"{word()}-{word()}-{word()}-{d(1, 4)}",
-            lambda: f"{word()}.{d(1, 3)}@{rnd.choice(['mail', 'mx', 'smtp', word()])}{d(1, 2)}.{word()}.{rnd.choice(['com', 'org', 'net', 'de', 'fr'])}",
-            lambda: f"{word()}.{word()}{d(1, 4)}@{word()}.{rnd.choice(['com', 'org', 'net', 'es'])}",
-            lambda: f"{rnd.choice(['www', 'mail', 'cdn', word()])}{d(1, 3)}.{word()}.{rnd.choice(['com', 'org', 'net', 'io'])}",
+            lambda: f"{word()}.{d(1, 3)}@{one(['mail', 'mx', 'smtp', word()])}{d(1, 2)}.{word()}.{one(['com', 'org', 'net', 'de', 'fr'])}",
+            lambda: f"{word()}.{word()}{d(1, 4)}@{word()}.{one(['com', 'org', 'net', 'es'])}",
+            lambda: f"{one(['www', 'mail', 'cdn', word()])}{d(1, 3)}.{word()}.{one(['com', 'org', 'net', 'io'])}",
+            lambda: pick(hexa, 12, 23),
+            lambda: d(8, 19) + one(["%%%", "###", "$$$", "&&&", "***", "!!", "!!!", "%%"]),
+            lambda: one(["+1 (", "("])[:1] + d(3, 3) + one([") ", "-"])[1:] + d(3, 4) + "-" + d(4, 4) + one(["", "%%%", "###", "***", "&&&"]),
+            lambda: f"{d(1, 3)}.{d(1, 3)}.{d(1, 3)}.{d(1, 3)}" + one(["###", "%%%", "***", "$$$", "&&&"]),
+            lambda: f"http{one(['', 's'])}://{one(['www.', '', 'api.'])}{word()}.{one(['com', 'org', 'io'])}/{word()}/{word()}{one(['', d(1, 4)])}" + one(["", f"?{word()}={d(1, 5)}", f"?{word()}={word()}&{word()}={d(1, 3)}", f"#{word()}"]),
+            lambda: one(["$", "€", "£"])[:1] + d(1, 3) + "," + d(3, 3) + "." + d(2, 2) + one(["", "/day", "/month"]),
+            lambda: "#" + plainword() + d(2, 4) + one(["", "!"]),
+            lambda: "@" + plainword() + d(2, 4),
+            lambda: plainword() + "".join(plainword().capitalize() for _ in range(rnd.randint(1, 3))) + one(["", "()", "2", ".js"]),
+            lambda: "".join(plainword().capitalize() for _ in range(rnd.randint(2, 4))),
+            lambda: f"{pick(low, 1, 2)}^{d(1, 1)}+{pick(low, 1, 2)}^{d(1, 1)}={d(1, 3)}" + one(["", "*x"]),
+            lambda: f"{plainword()}={d(1, 5)}&{plainword()}={plainword()}",
+            lambda: one(["C:", "D:", "", "~"]) + "/".join(["", plainword(), plainword(), plainword() + d(1, 2) + "." + one(["txt", "py", "csv"])]),
+            lambda: f"{plainword()}{one(['!!!', '???', '***', '%%%', '&&&', '###', '$$$'])}",
+            lambda: plainword(),
+            lambda: one(["management", "protection", "required", "reset", "policy", "garden", "economy", "findings", "success", "question", "question!", "strength", "changed", "forgotten", "expired", "manager", "exchange", "authentication", "service", "invalid", "between", "holder", "whatever"]),
+            lambda: f"{plainword()}-{plainword()}" + one(["", "!", "?"]),
         )[k]()
-        lead = rnd.choice(["", "", "", "the number ", "at ", "see ", "page ", "on ", "id ", "call ", "version "])
+        if k in (8, 19):
+            lead = harmless
+        elif k in (33, 34, 35):
+            lead = one(names) + one([" ", " ", " and ", " of ", " to ", " for ", ": ", " is ", ", "])
+        elif k in (0, 2, 9, 10, 23) and rnd.random() < 0.1:
+            lead = one(["key ", "login ", "token ", "password changed on "])
         return lead, body
 
     rows, labels = [], []
     while len(rows) < n:
-        y = rnd.random() < 0.4
+        y = rnd.random() < 0.45
         lead, body = secret() if y else plain()
         before = " ".join(word() for _ in range(rnd.randint(0, 6)))
         after = " ".join(word() for _ in range(rnd.randint(0, 6)))
-        quote = rnd.choice(["", "", "", '"', "'"])
-        head = before + rnd.choice([" ", "\n"]) + lead + quote
-        text = head + body + quote + rnd.choice([" ", ". ", ", ", "\n"]) + after
+        quote = one(["", "", "", '"', "'"])
+        head = before + one([" ", "\n", ". "]) + lead + quote
+        text = head + body + quote + one([" ", ". ", ", ", "\n"]) + after
         for s, e in candidates(text, base_spans(text)):
-            if s >= len(head) - 1 and e <= len(head) + len(body) + 1:
+            if e > len(head) and s < len(head) + len(body):
                 rows.append(codes(text, s, e))
                 labels.append(float(y))
     return rows, np.array(labels)
