@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,8 +11,12 @@ from .text import blank, let
 NAMED = "(?i)" + "charset=" + "\\s*([a-z][\\w-]*)"
 META4 = "(?is)<meta([^>]*http-equiv=[\"']?content-type[^>]*)>"
 META5 = "(?is)<meta[^>]*\\scharset=[\"']?\\s*([a-z][\\w-]*)"
-#: Spark's name for each charset that decode_body knows.
-CODECS = ("GBK", "Big5", "SHIFT_JIS", "EUC-JP", "EUC-KR", "KOI8-R", "ISO-8859-1", "WINDOWS-1251", "WINDOWS-1252")
+#: Python's codec for each charset that decode_body knows besides UTF-8 (supersets where pages are often mislabelled).
+CODECS = {
+    "GBK": "gb18030", "GB18030": "gb18030", "BIG5": "cp950", "SHIFT_JIS": "cp932", "EUC-JP": "euc_jp", "ISO-2022-JP": "iso2022_jp", "EUC-KR": "cp949", "ISO-2022-KR": "iso2022_kr",
+    "KOI8-R": "koi8_r", "KOI8-U": "koi8_u", "US-ASCII": "ascii", "UTF-16": "utf_16", "UTF-16LE": "utf_16_le", "UTF-16BE": "utf_16_be", "TIS-620": "tis_620",
+    **{f"ISO-8859-{k}": f"iso8859_{k}" for k in range(1, 17) if k != 12}, **{f"WINDOWS-{k}": f"cp{k}" for k in (874, *range(1250, 1259))},
+}
 
 
 def charset_normalize(name: Column) -> Column:
@@ -93,9 +98,13 @@ def charset_detect(body: Column, content_type: Column) -> Column:
 
 
 def decode_body(body: Column, charset: Column) -> Column:
-    """Text of a body; needs spark.sql.legacy.javaCharsets for the sets beyond Latin-1. Unknown sets read as UTF-8."""
+    """Text of a body. UTF-8 and unknown sets are read as UTF-8 in place (null where that is invalid); only bodies of other sets
+    go to Python, in Arrow batches. Bytes that a set doesn't know become U+FFFD."""
+
+    @F.pandas_udf("string")
+    def read(bodies: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else bytes(b).decode(CODECS[n], "replace") for b, n in zip(bodies, names)], dtype=object)
+
     name = F.upper(blank(charset))
-    out = F.try_validate_utf8(body)
-    for codec in CODECS:
-        out = F.when(name == codec.upper(), F.decode(body, codec)).otherwise(out)
-    return F.when(name == "GB18030", F.decode(body, "GBK")).otherwise(out)
+    other = name.isin(*CODECS)
+    return F.when(other, read(F.when(other, body), name)).otherwise(F.try_validate_utf8(body))

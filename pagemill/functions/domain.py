@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 from functools import lru_cache
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,9 +50,14 @@ def rules() -> pa.Table:
     return pa.table({"key": pa.array(list(found)), "entries": pa.array(list(found.values()), pa.list_(entry))})
 
 
+TABLES: WeakKeyDictionary[SparkSession, DataFrame] = WeakKeyDictionary()
+
+
 def suffix_table(spark: SparkSession) -> DataFrame:
-    """The rules as a local table of fixed size (some 10,000 rules), small enough to broadcast."""
-    return spark.createDataFrame(rules())
+    """The rules as a local table of fixed size (some 10,000 rules), small enough to broadcast; made once a session."""
+    if spark not in TABLES:
+        TABLES[spark] = spark.createDataFrame(rules())
+    return TABLES[spark]
 
 
 def domain_parse(df: DataFrame, host: str, out: str = "domain") -> DataFrame:

@@ -69,7 +69,7 @@ def lang_text(text: Column, latin: Column | None = None) -> Column:
             F.when(n < LEAST, "")
             .when(share(t, HAN, n) >= 0.3, F.when(kana > 0.1, "ja").otherwise("zh"))
             .when(share(t, "[a-zA-Z]", n) > 0.618, F.when(F.regexp_count(t, F.lit("[\\x{80}-\\x{ff}]")) > 5, latin_).otherwise("en"))
-            .when(other["n"] > 0, other["k"])
+            .when(other["n"] * 10 > n * 3, other["k"])
             .otherwise("")
         )
         model = (share(t, HAN, n) < 0.3) & (

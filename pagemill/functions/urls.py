@@ -84,28 +84,29 @@ def url_resolve(link: Column, base: Column) -> Column:
     )
 
 
+def url_reason(link: Column, url: Column, base: Column, strict: Column, top: Column, base_top: Column) -> Column:
+    """Why a link is turned down; null for an accepted one. url: what it resolves to."""
+    suffix = F.lower(F.regexp_extract(path(url), "\\.([^./]*)\\z", 1))
+    return (
+        F.when(link.rlike(ILLEGAL), REASONS["illegal"])
+        .when((part(base, 1) == "") & ~F.lower(link).startswith("http"), REASONS["base"])
+        .when(url.rlike("[\\x00-\\x20\\x7F]") | url.rlike("%(?![0-9A-Fa-f]{2})"), REASONS["parse"])
+        .when(~url.rlike(SCHEME), REASONS["relative"])
+        .when(port(url) != "", REASONS["port"])
+        .when(hostname(url).rlike(IPV4), REASONS["ip"])
+        .when(suffix.isin(*SUFFIXES), REASONS["suffix"])
+        .when(strict & (blank(top) != blank(base_top)), REASONS["strict"])
+    )
+
+
 def url_filter(link: Column, base: Column, strict: Column, top: Column, base_top: Column) -> Column:
     """struct(url, reason): reason is null for an accepted link.
 
     top and base_top: registrable domains of the resolved link's and the base's host (see domain.py).
     """
-    bad = blank(link).rlike(ILLEGAL)
-    url = F.when(bad, blank(link)).otherwise(url_resolve(blank(link), blank(base)))
-
-    def reason(u: Column) -> Column:
-        suffix = F.lower(F.regexp_extract(path(u), "\\.([^./]*)\\z", 1))
-        return (
-            F.when(bad, REASONS["illegal"])
-            .when((part(base, 1) == "") & ~F.lower(blank(link)).startswith("http"), REASONS["base"])
-            .when(u.rlike("[\\x00-\\x20\\x7F]") | u.rlike("%(?![0-9A-Fa-f]{2})"), REASONS["parse"])
-            .when(~u.rlike(SCHEME), REASONS["relative"])
-            .when(port(u) != "", REASONS["port"])
-            .when(hostname(u).rlike(IPV4), REASONS["ip"])
-            .when(suffix.isin(*SUFFIXES), REASONS["suffix"])
-            .when(strict & (blank(top) != blank(base_top)), REASONS["strict"])
-        )
-
-    return let(url, lambda u: F.struct(u.alias("url"), reason(u).alias("reason")))
+    given = blank(link)
+    url = F.when(given.rlike(ILLEGAL), given).otherwise(url_resolve(given, blank(base)))
+    return let(url, lambda u: F.struct(u.alias("url"), url_reason(given, u, base, strict, top, base_top).alias("reason")))
 
 
 def path_dir(p: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..functions.domain import domain_parse, domain_top
 from ..functions.lang import HAN, WORD_LANGS
-from ..functions.text import blank, normalise_space, remove_lines, trimmed
+from ..functions.text import blank, let, normalise_space, remove_lines, trimmed
 
 CONTENT, LIST, UNKNOWN, NONE = "CONTENT", "LIST", "UNKNOWN", "NONE"
 ZH_SHORT = ("5g", "ai", "cba", "ipo", "it", "nba")
@@ -16,35 +16,44 @@ ZH_SIGNS = "[！（），：；？“”。]"
 LICENCE = "(?:信息服务|出版服务|出版|视听节目|视听|新闻|新网|演出|制作|经营)许可证"
 
 
-def raw_links(features: DataFrame, *carry: str) -> DataFrame:
-    """page_id, base, href, title: each href of a page once, with its longest title (in bytes; ties: first).
+def page_links(links: Column, base: Column) -> Column:
+    """array<struct(href, url, title)> of a page's links, each target once, made inside the row.
 
-    carry: columns of the page that go along, so that no join has to fetch them later.
+    Of links with one href the longest title counts (in bytes; of equals the first), then of hrefs that resolve alike the longest, then the smallest.
     """
-    one = features.select("page_id", F.col("url").alias("base"), *carry, F.explode("links").alias("l"))
-    one = one.select("page_id", "base", *carry, F.col("l.pos").alias("pos"), trimmed(remove_lines(F.col("l.href"))).alias("href"), normalise_space(F.col("l.title")).alias("title"))
-    one = one.filter("href <> '' and title <> ''")
-    best = F.max_by("title", F.struct(F.octet_length("title"), -F.col("pos")))
-    return one.groupBy("page_id", "base", *carry, "href").agg(best.alias("title"))
+    first = lambda a, same: let(F.array_sort(a), lambda x: F.filter(x, lambda e, i: (i == 0) | ~same(e, F.get(x, i - 1))))
+    read = F.transform(links, lambda l: F.struct(trimmed(remove_lines(l["href"])).alias("href"), l["pos"].alias("pos"), normalise_space(l["title"]).alias("title")))
+    read = F.filter(read, lambda e: (e["href"] != "") & (e["title"] != ""))
+    read = F.transform(read, lambda e: F.struct(e["href"].alias("href"), (-F.octet_length(e["title"])).alias("n"), e["pos"].alias("pos"), e["title"].alias("title")))
+    once = first(read, lambda a, b: a["href"] == b["href"])
 
+    def resolved(e: Column) -> Column:
+        bad = e["href"].rlike(urls.ILLEGAL)
+        url = F.when(bad, e["href"]).otherwise(urls.url_resolve(e["href"], base))
+        return F.struct(url.alias("url"), bad.alias("bad"), e["n"].alias("n"), e["title"].alias("title"), e["href"].alias("href"))
 
-def web_links(features: DataFrame, strict: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
-    """page_id, base, url, title, reason (null for accepted links), and the page's columns in carry. A null base gives no links.
+    return first(F.transform(once, resolved), lambda a, b: (a["url"] == b["url"]) & (a["bad"] == b["bad"]))
 
-    Accepted links that resolve alike keep the longest, then the smallest title.
+
+def web_links(features: DataFrame, strict: bool = True, carry: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
+    """page_id, base, url, title, reason (null for accepted links), and the page's columns in carry. No shuffle.
+
+    A null base gives no links. outer: a page without links has one row, with a null url.
     """
-    raw = raw_links(features, *carry).filter("base is not null")
+    pages = features.select("page_id", F.col("url").alias("base"), *carry, "links")
+    if strict:
+        pages = domain_parse(pages.withColumn("_base_host", urls.hostname(F.col("base"))), "_base_host", "_b").withColumn("_base_top", domain_top(F.col("_b")))
+    else:
+        pages = pages.withColumn("_base_top", F.lit(""))
+    found = F.when(F.col("base").isNotNull(), page_links(F.col("links"), F.col("base")))
+    out = pages.select("page_id", "base", *carry, "_base_top", (F.explode_outer if outer else F.explode)(found).alias("l"))
+    out = out.select("page_id", "base", *carry, "_base_top", "l.url", "l.title", "l.href")
     if strict:
-        found = F.when(F.col("href").rlike(urls.ILLEGAL), F.col("href")).otherwise(urls.url_resolve(F.col("href"), F.col("base")))
-        raw = raw.withColumns({"_host": urls.hostname(found), "_base_host": urls.hostname(F.col("base"))})
-        raw = domain_parse(domain_parse(raw, "_host", "_d"), "_base_host", "_b")
-        tops = domain_top(F.col("_d")), domain_top(F.col("_b"))
+        out = domain_parse(out.withColumn("_host", urls.hostname(F.col("url"))), "_host", "_d").withColumn("_top", domain_top(F.col("_d")))
     else:
-        tops = F.lit(""), F.lit("")
-    out = raw.withColumn("_f", urls.url_filter(F.col("href"), F.col("base"), F.lit(strict), *tops))
-    out = out.select("page_id", "base", *carry, "_f.url", "title", "_f.reason")
-    best = F.min_by("title", F.struct(-F.octet_length("title"), "title"))
-    return out.groupBy("page_id", "base", *carry, "url", "reason").agg(best.alias("title")).select("page_id", "base", "url", "title", "reason", *carry)
+        out = out.withColumn("_top", F.lit(""))
+    reason = urls.url_reason(F.col("href"), F.col("url"), F.col("base"), F.lit(strict), F.col("_top"), F.col("_base_top"))
+    return out.select("page_id", "base", "url", "title", reason.alias("reason"), *carry)
 
 
 def link_by_title(url: Column, title: Column, lang: Column) -> Column:

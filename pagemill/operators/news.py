@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import times
+from ..functions import times, urls
+from ..functions.domain import domain_parse, domain_top
 from ..functions.lang import WORD_LANGS, lang_html, lang_page
 from ..functions.text import blank, let, similarity, trimmed
 from ..functions.titles import content_title_clean, web_title
+from .durable import checkpointed
 from .page import page_features
 
+REFRESH = "(?i)http-equiv\\s*=\\s*[\"']?\\s*refresh"
 QUOTED = "(?i)\"title\"[\\t ]{0,4}:[\\t ]{0,4}\"(.*)\""
 
 
@@ -100,23 +103,25 @@ def news_time(url: Column, lang: Column, title: Column, title_pos: Column, as_of
     return F.coalesce(*[F.when(c != "", pair(c, pos, en)) for c, pos, en in tries], pair(F.lit(""), "", no))
 
 
-def extract_news(pages: DataFrame, origin: str | None = None, as_of: Column | None = None) -> DataFrame:
+def extract_news(pages: DataFrame, origin: str | None = None, as_of: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One news record per page: title, time, content and language, with where each was found.
 
-    pages: page_id, url, html, and a column of anchor texts if `origin` names one. One pass, no shuffle.
+    pages: page_id, url, html, a column of anchor texts if `origin` names one, charset if it isn't UTF-8, and those in carry. One pass, no shuffle.
     """
     f = page_features(
         pages, "title", "html_lang", "xml_lang", "content_language", "meta_lang", "metas", "scripts", "para_text", "headings", "titled", "datetime",
         "news_text", "content", "content_tag", "content_pre", "content_html",
     )
     attribute = lang_html(F.col("html_lang"), F.col("xml_lang"), F.col("content_language"), F.col("meta_lang"))
-    f = f.withColumn("_l", lang_page(F.lit("UTF-8"), web_title(F.col("title")), F.col("para_text"), attribute))
+    charset = F.col("charset") if "charset" in pages.columns else F.lit("UTF-8")
+    f = f.withColumn("_l", lang_page(charset, web_title(F.col("title")), F.col("para_text"), attribute))
     f = f.withColumns({"lang": F.col("_l.lang"), "_t": news_title(F.col(origin) if origin else F.lit(""), F.col("title"), F.col("_l.lang"))})
     f = f.withColumn("_d", news_time(F.col("url"), F.col("lang"), F.col("_t.title"), F.col("_t.title_pos"), as_of))
     f = f.withColumn("time", times.format_time(F.col("_d.time"), F.col("_d.english")))
     return f.select(
         "page_id",
         "url",
+        *carry,
         "_t.title",
         "_t.title_pos",
         times.parse_time(F.col("time")).alias("time_local"),
@@ -128,3 +133,38 @@ def extract_news(pages: DataFrame, origin: str | None = None, as_of: Column | No
     )
 
 
+#: The addresses of at most so many pages that refresh (some 200 bytes each) are broadcast.
+FEW_JUMPS = 100_000
+
+
+def followed(pages: DataFrame, site: DataFrame | None = None) -> DataFrame:
+    """pages with asked (their own url), and url, html and error of the page one refresh further on, where it leads to the same registrable domain.
+
+    site: url, html of pages that can be fetched (all pages, if not given). A target that isn't among them gives ErrorRequest.
+    Refreshes to other domains, IP addresses and hosts without a domain are not followed. Only pages that may hold a refresh are parsed for it.
+    """
+    from .sites import meta_refresh
+
+    site = (pages if site is None else site).filter("url is not null and html is not null").select("url", "html")
+    start = pages.withColumn("asked", F.col("url"))
+    maybe = page_features(start.filter(F.col("html").rlike(REFRESH)), "refresh").withColumn("_to", meta_refresh(F.col("refresh")))
+    maybe = maybe.filter("_to <> ''").select("page_id", "asked", "_to", urls.hostname(F.col("asked")).alias("_h"), urls.hostname(F.col("_to")).alias("_t"))
+    maybe = domain_parse(domain_parse(maybe, "_h", "_hd"), "_t", "_td")
+    same = (domain_top(F.col("_td")) != "") & (domain_top(F.col("_td")) == domain_top(F.col("_hd"))) & ~F.col("_t").rlike(urls.IPV4)
+    hops = checkpointed(maybe.filter(same).select("page_id", "asked", "_to").distinct())
+    few = hops.count() <= FEW_JUMPS
+    wanted = hops.select(F.col("_to").alias("url")).distinct()
+    # of pages that share an address, one answers
+    found = site.join(F.broadcast(wanted) if few else wanted, "url", "left_semi").groupBy("url").agg(F.min("html").alias("_html"))
+    own = [c for c in pages.columns if c not in ("url", "html")]
+    side = F.broadcast(hops) if few else hops
+    stay = start.join(side, ["page_id", "asked"], "left_anti")
+    stay = stay.select(*own, "asked", "url", "html", F.when(F.col("html").isNull(), "ErrorRequest").otherwise("").alias("error"))
+    move = start.drop("url", "html").join(side, ["page_id", "asked"]).withColumnRenamed("_to", "url").join(found, "url", "left")
+    move = move.select(*own, "asked", "url", F.col("_html").alias("html"), F.when(F.col("_html").isNull(), "ErrorRequest").otherwise("").alias("error"))
+    return stay.unionByName(move)
+
+
+def get_news(pages: DataFrame, site: DataFrame | None = None, origin: str | None = None, as_of: Column | None = None) -> DataFrame:
+    """News records of pages after at most one refresh within the registrable domain: asked, url (of the page read), the record, error."""
+    return extract_news(followed(pages, site), origin, as_of, ("asked", "error"))

@@ -1,54 +1,124 @@
 """Language by character trigrams: a model counted from labelled texts, and its verdicts.
 
-The model is a table (lang, gram, gain) of at most GRAMS rows a language, so its size is bounded and it is
-broadcast. A text's grams meet it where they are made; its rows lie in one partition, so sums are partial
-before the one shuffle.
+Texts are cut into trigrams where they are read (Arrow batches, numpy), so no row a character is ever made: training shuffles
+the counts of distinct grams, a verdict nothing. The model keeps every gram it counted. It is sent to all tasks
+while it has at most FEW_GRAMS rows; beyond, the distinct grams of each text are joined with it by shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lang import plain_text
-from ..functions.text import let, trimmed
+from ..functions.text import trimmed
 from .durable import checkpointed
 
-GRAMS = 2000
+#: Rows of a model that is sent to all tasks (some 100 bytes each).
+FEW_GRAMS = 500_000
+BITS = np.uint64(21)
 
 
-def trigrams(text: Column) -> Column:
-    """Trigrams of the whole text, lower-cased and without signs, in order, with repeats."""
-    chars = F.regexp_extract_all(F.lower(trimmed(plain_text(text))), F.lit("(?s)."), F.lit(0))
-    joined = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
-    return let(chars, joined)
+def _plain(text: Column) -> Column:
+    return F.lower(trimmed(plain_text(text)))
 
 
-def train(texts: DataFrame, text: str = "text", lang: str = "lang", most: int = GRAMS) -> DataFrame:
-    """lang, gram, gain: how much more likely (log) a gram is in a language than one it hasn't seen."""
-    grams = texts.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
-    counts = grams.groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    top = counts.withColumn("r", rank).filter(F.col("r") <= most)
-    total = top.groupBy("lang").agg(F.sum("n").alias("total"))
-    # ln((n + 1) / (total + most)) for each gram of a language
-    top = top.join(F.broadcast(total), "lang")
-    return top.select("lang", "gram", F.log((F.col("n") + 1) / (F.col("total") + most)).alias("gain"), F.log(1 / (F.col("total") + most)).alias("unseen"))
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Every trigram of each whole text, as the number of its text and a code of its three characters."""
+    sizes = np.array([len(t) if t else 0 for t in texts], np.int64)
+    chars = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(chars) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    code = (chars[:-2] << (BITS + BITS)) | (chars[1:-1] << BITS) | chars[2:]
+    whole = text[:-2] == text[2:]
+    return text[:-2][whole], code[whole]
 
 
-def lang_ngram(texts: DataFrame, model: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, lang: the language with the highest score; ties go to the first by name. Texts without known grams have no row.
+def _gram(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
 
-    The model becomes one broadcast row a gram with a gain for each language; a text's grams meet it in place.
-    """
-    model = checkpointed(model)
-    langs = {r["lang"]: r["unseen"] for r in model.groupBy("lang").agg(F.first("unseen").alias("unseen")).orderBy("lang").collect()}
+
+def _code(gram: str) -> int:
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
+
+
+def train(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, gram, gain, unseen: the log probability of a gram in a language, and of one that it hasn't seen (one is added to each)."""
+
+    def run(batches):
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            at, code = trigrams(batch.column(1).to_pylist())
+            names, which = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
+            for k, name in enumerate(names):
+                grams, n = np.unique(code[which[at] == k], return_counts=True)
+                rows = [[str(name)] * len(grams), [_gram(int(g)) for g in grams], n]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64())], names=["lang", "gram", "n"])
+
+    known = texts.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), _plain(F.col(text)))
+    counts = known.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = checkpointed(counts)
+    total = counts.groupBy("lang").agg((F.sum("n") + F.count("*")).alias("total"))  # one row a language
+    counts = counts.join(F.broadcast(total), "lang")
+    return counts.select("lang", "gram", F.log((F.col("n") + 1) / F.col("total")).alias("gain"), F.log(1 / F.col("total")).alias("unseen"))
+
+
+def lang_ngram(texts: DataFrame, model: DataFrame, key: str, text: str = "text", few: int = FEW_GRAMS) -> DataFrame:
+    """key, lang: the language with the highest score, one row a text; ties go to the first by name. '' for texts without a known gram."""
+    unseen = {r["lang"]: r["unseen"] for r in model.groupBy("lang").agg(F.first("unseen").alias("unseen")).orderBy("lang").collect()}  # one row a language
+    langs = list(unseen)
+    base = np.array([unseen[x] for x in langs])
+    plain = texts.select(key, _plain(F.col(text)).alias("_t"))
     if not langs:
-        return texts.select(key, F.lit("").alias("lang")).limit(0)
-    wide = model.groupBy("gram").pivot("lang", list(langs)).agg(F.first(F.col("gain") - F.col("unseen")))
+        return plain.select(key, F.lit("").alias("lang"))
+    kind = {f.name: f.dataType.simpleString() for f in texts.schema}[key]
+    rows = model.select("lang", "gram", (F.col("gain") - F.col("unseen")).alias("gain")).limit(few + 1).toArrow()
+    if rows.num_rows <= few:
+        gram = np.array([_code(g) for g in rows["gram"].to_pylist()], np.uint64)
+        codes, at = np.unique(gram, return_inverse=True)
+        gains = np.zeros((len(codes), len(langs)))
+        gains[at, [langs.index(x) for x in rows["lang"].to_pylist()]] = rows["gain"].to_numpy()
+        sent = texts.sparkSession.sparkContext.broadcast((codes, gains))
+
+        def run(batches):
+            codes, gains = sent.value
+            for batch in batches:
+                n = batch.num_rows
+                at, code = trigrams(batch.column(1).to_pylist())
+                found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                hit = codes[found] == code
+                score = np.bincount(at, minlength=n)[:, None] * base
+                for k in range(len(langs)):
+                    score[:, k] += np.bincount(at[hit], gains[found[hit], k], n)
+                best = np.round(score, 6).argmax(1)
+                some = np.bincount(at[hit], minlength=n) > 0
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([langs[b] if s else "" for b, s in zip(best, some)], pa.string())], names=[key, "lang"])
+
+        return plain.mapInArrow(run, f"`{key}` {kind}, lang string")
+
+    def cut(batches):
+        for batch in batches:
+            at, code = trigrams(batch.column(1).to_pylist())
+            order = np.lexsort((code, at))
+            at, code = at[order], code[order]
+            first = np.ones(len(at), bool)
+            first[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
+            start = np.flatnonzero(first)
+            n = np.diff(np.append(start, len(at)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[start])), pa.array([_gram(int(c)) for c in code[start]], pa.string()), pa.array(n, pa.int64())], names=["_id", "gram", "n"])
+
+    model = checkpointed(model)
+    wide = model.groupBy("gram").pivot("lang", langs).agg(F.first(F.col("gain") - F.col("unseen")))
     wide = wide.select("gram", F.array(*[F.coalesce(F.col(f"`{x}`"), F.lit(0.0)) for x in langs]).alias("gains"))
-    grams = texts.select(key, F.explode(trigrams(F.col(text))).alias("gram")).join(F.broadcast(wide), "gram", "left")
-    sums = [F.sum(F.coalesce(F.get("gains", k), F.lit(0.0))).alias(f"s{k}") for k in range(len(langs))]
-    score = grams.groupBy(key).agg(F.count("*").alias("n"), F.count("gains").alias("hits"), *sums).filter("hits > 0")
-    each = [F.struct(F.round(F.col(f"s{k}") + F.col("n") * F.lit(u), 6).alias("score"), F.lit(-k).alias("k"), F.lit(x).alias("lang")) for k, (x, u) in enumerate(langs.items())]
-    return score.select(key, F.array_max(F.array(*each))["lang"].alias("lang"))
+    # a text is known by a number of its own: keys may repeat or be null
+    numbered = checkpointed(plain.withColumn("_id", F.monotonically_increasing_id()))
+    grams = numbered.select("_id", "_t").mapInArrow(cut, "_id long, gram string, n long").join(wide, "gram", "left")
+    sums = [F.sum(F.coalesce(F.get("gains", k), F.lit(0.0)) * F.col("n")).alias(f"s{k}") for k in range(len(langs))]
+    score = grams.groupBy("_id").agg(F.sum("n").alias("n"), F.count("gains").alias("hits"), *sums).filter("hits > 0")
+    each = [F.struct(F.round(F.col(f"s{k}") + F.col("n") * F.lit(float(base[k])), 6).alias("score"), F.lit(-k).alias("k"), F.lit(x).alias("lang")) for k, x in enumerate(langs)]
+    best = score.select("_id", F.array_max(F.array(*each))["lang"].alias("lang"))
+    return numbered.select("_id", key).join(best, "_id", "left").select(key, F.coalesce("lang", F.lit("")).alias("lang"))

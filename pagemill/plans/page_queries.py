@@ -12,27 +12,23 @@ from ..functions.text import limited, normalise_space, remove_lines, trimmed
 from ..functions.titles import web_title
 from ..operators import cepf, crawl, dom, links, news, ngram, page, sites
 from ..operators.durable import shared_folder
+from ..sources.pages import decoded_pages
 from ..streaming import pages as streaming
+from . import tree_sql
 from .catalog import pick, query, sql_pick, sql_text, table
-from .text_queries import KIND_SQL, PATHS, edge, part, resolve, space, sql_dir, sql_path
+from .text_queries import KIND_SQL, LANG_SQL, OTHER_SQL, PATHS, edge, part, resolve, space, sql_dir, sql_path
+from .tree_sql import decoded
 
 AS_OF = "2026-01-15 12:00:00"
 
 
-def decoded(c: str) -> str:
-    """Character references that occur in the corpus."""
-    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;?", '"'), ("&amp;?", "&")):
-        c = f"regexp_replace({c}, '{name}', '{char}', 'g')"
-    return c
-
-
 TITLE = decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
 LANG = "regexp_extract(html, '<html lang=\"([^\"]*)\"', 1)"
 BODY = "regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<!--.*?-->|</body>|</html>', '', 'g')"
 ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1)"
 
 
-@query("html_parse")
+@query("html_parse", tree_sql.HTML_PARSE)
 def _(spark, d):
     n = dom.html_nodes(table(spark, d, "pages"))
     return n.select("page_id", "pre", "end", "parent", "depth", "tag", F.octet_length("text").alias("n_bytes"))
@@ -98,7 +94,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", "html").mapInArrow(run, "page_id long, text string")
 
 
-@query("sanitize_html")
+@query("sanitize_html", tree_sql.SANITIZE)
 def _(spark, d):
     return page.page_features(table(spark, d, "pages"), "content_html").select("page_id", "content_html")
 
@@ -132,6 +128,42 @@ def _(spark, d):
     return page.page_features(p, "refresh").select("page_id", sites.meta_refresh(F.col("refresh")).alias("target"))
 
 
+# bytes to pages
+
+#: Bytes that stand before the page, the header, and what they make of it: charset, where it comes from, title, language.
+SENT = [
+    ("", "text/html; charset=utf-8", "UTF-8", "valid", None, None),
+    ("", "text/html; charset=iso-8859-1", None, None, None, None),
+    ("3C6D65746120636861727365743D67626B3E3C7469746C653ED0C2CEC5D6D0D0C43C2F7469746C653E", "text/html", "GBK", "html", "新闻中心", "zh"),
+    ("3C7469746C653E836A8385815B83583C2F7469746C653E", "text/html; charset=Shift_JIS", "SHIFT_JIS", "header", "ニュース", "ja"),
+    ("3C7469746C653EEECFD7CFD3D4C93C2F7469746C653E", "text/html; charset=koi8-r", "KOI8-R", "header", "Новости", "ru"),
+    ("", "image/png", "", "", "", ""),
+]
+
+def sent(k: int, own: str) -> str:
+    """SQL that picks a value of SENT by page_id, or the page's own."""
+    return "CASE page_id % 6 " + " ".join(f"WHEN {i} THEN {own if x[k] is None else sql_text(x[k])}" for i, x in enumerate(SENT)) + " END"
+
+
+CLEAN_TITLE = "left(" + edge("regexp_replace(" + TITLE + ", '[\r\n]', '', 'g')") + ", 128)"
+LATIN = "regexp_matches(html, '[^\\x00-\\x7F]')"
+
+
+@query("pages_from_bytes", f"""SELECT page_id, {sent(2, f"CASE WHEN {LATIN} THEN 'ISO-8859-1' ELSE 'UTF-8' END")} AS charset, {sent(3, f"CASE WHEN {LATIN} THEN 'header' ELSE 'valid' END")} AS charset_pos,
+    {sent(4, CLEAN_TITLE)} AS title,
+    {sent(5, f"CASE WHEN {LANG} <> 'en' THEN {LANG} ELSE '' END")} AS lang,
+    CASE WHEN page_id % 6 = 5 THEN 'content type' ELSE '' END AS error FROM pages""")
+def _(spark, d):
+    """Bodies in several charsets, from bytes to title and language."""
+    k = F.col("page_id") % 6
+    plain = F.encode(F.regexp_replace("html", "(?s)<title>.*?</title>|<meta charset=.utf-8.>|[^\\x00-\\x7F]", ""), "UTF-8")
+    body = F.when(k == 0, F.encode("html", "UTF-8")).when(k == 1, F.encode(F.regexp_replace("html", "<meta charset=.utf-8.>", ""), "ISO-8859-1"))
+    body = body.otherwise(F.concat(F.unhex(pick("page_id", [x[0] for x in SENT])), plain))
+    p = table(spark, d, "pages").select("page_id", "url", body.alias("body"), pick("page_id", [x[1] for x in SENT]).alias("content_type"))
+    f = sites.with_lang(page.page_features(decoded_pages(p), *sites.LANGS))
+    return f.select("page_id", "charset", "charset_pos", web_title(F.col("title")).alias("title"), F.when(F.col("charset") != "", F.col("lang")).otherwise("").alias("lang"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 # languages of pages
 
 
@@ -146,17 +178,16 @@ def _(spark, d):
     return page.page_features(table(spark, d, "pages"), "list_text").select("page_id", F.col("list_text").alias("text"))
 
 
-GRAMS = f"""WITH t AS (SELECT doc_id, lang, lower(trim(regexp_replace(replace(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), chr(9), ''), '  ', ''), '[\\pP\\pS]', '', 'g'))) AS t FROM documents),
+GRAMS = """WITH t AS (SELECT doc_id, lang, lower(trim(regexp_replace(replace(replace(regexp_replace(text, '[\\r\\n]', '', 'g'), chr(9), ''), '  ', ''), '[\\pP\\pS]', '', 'g'))) AS t FROM documents),
     g AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram FROM t WHERE length(t) >= 3),
-    c0 AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
-    c AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c0),
-    m0 AS (SELECT lang, gram, n, sum(n) OVER (PARTITION BY lang) AS total FROM c WHERE r <= {ngram.GRAMS}),
-    m AS (SELECT lang, gram, ln((n + 1) / (total + {ngram.GRAMS})) AS gain, ln(1 / (total + {ngram.GRAMS})) AS unseen FROM m0),
-    b AS (SELECT lang, any_value(unseen) AS unseen FROM m GROUP BY lang),
+    c AS (SELECT lang, gram, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY lang, gram),
+    b AS (SELECT lang, sum(n) + count(*) AS total, ln(1 / (sum(n) + count(*))) AS unseen FROM c GROUP BY lang),
+    m AS (SELECT lang, gram, ln((n + 1) / total) - unseen AS gain FROM c JOIN b USING (lang)),
     dg AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), sz AS (SELECT doc_id, sum(n) AS alln FROM dg GROUP BY ALL),
-    h AS (SELECT doc_id, m.lang, sum(n * (gain - unseen)) AS s FROM dg JOIN m USING (gram) GROUP BY ALL),
-    sc AS (SELECT doc_id, h.lang, round(s + alln * unseen, 6) AS score FROM h JOIN sz USING (doc_id) JOIN b ON b.lang = h.lang)
-    SELECT doc_id, arg_max(lang, score) AS lang FROM sc GROUP BY doc_id"""
+    h AS (SELECT doc_id, m.lang, sum(n * gain) AS s FROM dg JOIN m USING (gram) GROUP BY ALL),
+    sc AS (SELECT doc_id, b.lang, round(coalesce(s, 0) + alln * unseen, 6) AS score, s FROM sz CROSS JOIN b LEFT JOIN h USING (doc_id, lang)),
+    w AS (SELECT doc_id, arg_max(lang, score) AS lang FROM sc GROUP BY doc_id HAVING max(s) > 0)
+    SELECT doc_id, coalesce(w.lang, '') AS lang FROM documents LEFT JOIN w USING (doc_id)"""
 
 
 @query("lang_ngram", GRAMS)
@@ -167,6 +198,7 @@ def _(spark, d):
 
 # links
 
+TOP = "regexp_extract({h}, '([^.]+\\.[^.]+)$', 1)"
 ANCHOR = """a AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS t,
     unnest(range(len(regexp_extract_all(html, '<a href=')))) AS pos FROM pages)"""
 LINKS = f"""WITH {ANCHOR}, b AS (SELECT page_id, base, pos, {edge(decoded('h'))} AS href, {space(decoded('t'))} AS title FROM a),
@@ -297,31 +329,61 @@ def _(spark, d):
     return page.page_features(p, "body_text").select("page_id", icp_doc(F.col("body_text")).alias("i")).select("page_id", "i.*")
 
 
+#: Refreshes, registrations and hosts asked for, planted into whole pages.
 DETECTED = f"""{TYPED}, n AS (SELECT page_id, count(*) FILTER (kind = 'CONTENT') AS content_count, count(*) FILTER (kind = 'LIST') AS list_count FROM k GROUP BY page_id),
-    s AS (SELECT page_id, list(DISTINCT {part('url', 2)}) AS subs FROM w WHERE reason IS NULL AND {part('url', 2)} <> regexp_extract({part('url', 2)}, '([^.]+\\.[^.]+)$', 1) GROUP BY page_id)
-    SELECT page_id, regexp_extract({part('url', 2)}, '([^.]+\\.[^.]+)$', 1) AS domain, {part('url', 2)} AS home_host, {part('url', 1)} AS scheme, CASE WHEN {LANG} <> 'en' THEN {LANG} ELSE '' END AS lang,
-    '' AS country, '' AS icp, coalesce(content_count, 0) AS content_count, coalesce(list_count, 0) AS list_count, coalesce(array_to_string(subs, ','), '') AS subdomains, '' AS error
-    FROM pages LEFT JOIN n USING (page_id) LEFT JOIN s USING (page_id)"""
+    hosts AS (SELECT page_id, array_to_string(list_sort(list(DISTINCT {part('url', 2)})), ',') AS subs FROM w WHERE reason IS NULL AND {part('url', 2)} <> {TOP.format(h=part('url', 2))} GROUP BY page_id),
+    own AS (SELECT page_id, {part('url', 2)} AS host, {TOP.format(h=part('url', 2))} AS top, {part('url', 1)} AS scheme, {LANG} AS l FROM pages),
+    asks AS (SELECT *, CASE WHEN page_id % 13 = 7 THEN 'elsewhere.co.uk' WHEN page_id % 13 = 8 THEN 'www.' || top ELSE host END AS asked FROM own),
+    judged AS (SELECT *, CASE WHEN page_id % 17 = 3 THEN 'ErrorDomainDetect' WHEN page_id % 13 = 7 THEN 'ErrorRedirect:' || top WHEN page_id % 17 = 4 THEN 'ErrorDocParse' WHEN page_id % 7 = 1 THEN 'ErrorMetaJump:other.org'
+      WHEN page_id % 7 IN (2, 3) THEN 'ErrorMetaJump' WHEN page_id % 7 IN (4, 5) THEN 'ErrorMetaJumpHost' ELSE '' END AS error FROM asks)
+    SELECT page_id, CASE WHEN page_id % 13 = 7 THEN 'elsewhere.co.uk' ELSE top END AS domain, host AS home_host, scheme, CASE WHEN error = '' AND l <> 'en' THEN l ELSE '' END AS lang,
+    CASE WHEN error = '' AND page_id % 4 = 2 THEN '中国' ELSE '' END AS country, CASE WHEN error = '' AND page_id % 4 = 2 THEN '广东' ELSE '' END AS province, CASE WHEN error = '' AND page_id % 4 = 2 THEN '粤ICP备' || page_id ELSE '' END AS icp,
+    CASE WHEN error = '' THEN coalesce(content_count, 0) ELSE 0 END AS content_count, CASE WHEN error = '' THEN coalesce(list_count, 0) ELSE 0 END AS list_count,
+    CASE WHEN error = '' THEN coalesce(subs, '') ELSE '' END AS subdomains, error FROM judged LEFT JOIN n USING (page_id) LEFT JOIN hosts USING (page_id)"""
+JUMPS = ["", "https://www.other.org/x", "/home", "https://x.{top}/y", "http://10.1.2.3/", "https://a.other.org:8080/z", ""]
+
+
+def probed(spark, d):
+    p = F.col("page_id")
+    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
+    top = F.regexp_extract(host, "([^.]+\\.[^.]+)$", 1)
+    to = F.replace(pick("page_id", JUMPS), F.lit("{top}"), top)
+    meta = F.when(to != "", F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), to, F.lit('">'))).otherwise("")
+    icp = F.when(p % 4 == 2, F.concat(F.lit("<p>粤ICP备"), p.cast("string"), F.lit("号</p>"))).otherwise("")
+    asked = F.when(p % 13 == 7, "elsewhere.co.uk").when(p % 13 == 8, F.concat(F.lit("www."), top)).otherwise(host)
+    html = F.when(p % 17 != 4, F.concat(meta, "html", icp))
+    return table(spark, d, "pages").select("page_id", "url", html.alias("html"), asked.alias("asked"), (p % 17 == 3).alias("failed"))
 
 
 @query("detect_domain", DETECTED)
 def _(spark, d):
-    x = sites.detect_domain(table(spark, d, "pages")).withColumn("subdomains", F.array_join("subdomains", ","))
-    return x.select("page_id", "domain", "home_host", "scheme", "lang", "country", "icp", "content_count", "list_count", "subdomains", "error")
+    x = sites.detect_domain(probed(spark, d)).withColumn("subdomains", F.array_join("subdomains", ","))
+    return x.select("page_id", "domain", "home_host", "scheme", "lang", "country", "province", "icp", "content_count", "list_count", "subdomains", "error")
+
+
+@query("detect_subdomain", f"""WITH y AS (SELECT page_id, {part('url', 2)} AS host, {TOP.format(h=part('url', 2))} AS top FROM pages), e AS (SELECT *, CASE WHEN page_id % 13 = 7 THEN 'elsewhere.co.uk' WHEN page_id % 13 = 8 THEN 'www.' || top ELSE host END AS asked FROM y)
+    SELECT page_id, asked AS domain, CASE WHEN page_id % 17 = 3 THEN 'ErrorDomainDetect' WHEN asked <> host AND top <> asked THEN 'ErrorRedirect:' || top WHEN page_id % 17 = 4 THEN 'ErrorDocParse' WHEN page_id % 7 = 1 THEN 'ErrorMetaJump:other.org'
+      WHEN page_id % 7 = 3 AND top <> asked THEN 'ErrorMetaJump:' || top WHEN page_id % 7 IN (2, 3) THEN 'ErrorMetaJump' WHEN page_id % 7 IN (4, 5) THEN 'ErrorMetaJumpHost' ELSE '' END AS error FROM e""")
+def _(spark, d):
+    return sites.detect_subdomain(probed(spark, d)).select("page_id", "domain", "error")
 
 
-HOSTED = ["a.example.com", "", "b.example.com"]
-JUMPS = ["", "x.example.org", "c.example.com"]
-ASKED = ["a.example.com", "b.example.com"]
+ANSWERED = ["www.a.com", "10.0.0.1", "x.b.org", "a.com", ""]
+REFRESHED = ["", "/x", "c.net", "www.a.com", "10.9.8.7"]
+PORTS = ["", "", "8080"]
 
 
-@query("domain_error_codes", f"""WITH x AS (SELECT page_id, {sql_pick('page_id', HOSTED)} AS h, {sql_pick('(page_id // 3)', JUMPS)} AS j, {sql_pick('(page_id // 9)', ASKED)} AS r, page_id % 11 = 5 AS f FROM pages)
-    SELECT page_id, CASE WHEN f THEN 'ErrorDomainDetect' WHEN h = '' THEN 'ErrorRedirectHost' WHEN r <> h THEN 'ErrorRedirect:' || h WHEN j <> '' AND regexp_extract(j, '([^.]+\\.[^.]+)$', 1) <> 'example.com' THEN 'ErrorMetaJump:' || regexp_extract(j, '([^.]+\\.[^.]+)$', 1) ELSE '' END AS error FROM x""")
+@query("domain_error_codes", f"""WITH x AS (SELECT page_id, {sql_pick('page_id', ANSWERED)} AS h, {sql_pick('(page_id // 5)', REFRESHED)} AS j, {sql_pick('(page_id // 25)', PORTS)} AS p, page_id % 11 = 5 AS f, page_id % 7 = 6 AS u FROM pages),
+    y AS (SELECT *, CASE WHEN h IN ('www.a.com', 'a.com') THEN 'a.com' WHEN h = 'x.b.org' THEN 'b.org' WHEN h = '' THEN '' ELSE '0.1' END AS t, CASE j WHEN 'c.net' THEN 'c.net' WHEN 'www.a.com' THEN 'a.com' WHEN '10.9.8.7' THEN '8.7' ELSE '' END AS jt FROM x)
+    SELECT page_id, CASE WHEN f THEN 'ErrorDomainDetect' WHEN t NOT IN ('', 'a.com') AND (h = '10.0.0.1' OR p <> '') THEN 'ErrorRedirectHost' WHEN t NOT IN ('', 'a.com') THEN 'ErrorRedirect:' || t WHEN u THEN 'ErrorDocParse'
+      WHEN jt NOT IN ('', 'a.com') AND (j = '10.9.8.7' OR p <> '') THEN 'ErrorMetaJumpHost' WHEN jt NOT IN ('', 'a.com') THEN 'ErrorMetaJump:' || jt WHEN j <> '' THEN 'ErrorMetaJump' ELSE '' END AS error FROM y""")
 def _(spark, d):
     nth = lambda n, vs: F.get(F.array(*[F.lit(v) for v in vs]), ((F.col("page_id") / n).cast("int") % len(vs)))
-    jump = nth(3, JUMPS)
-    top = F.regexp_extract(jump, "([^.]+\\.[^.]+)$", 1)
-    return table(spark, d, "pages").select("page_id", sites.domain_errors(pick("page_id", HOSTED), nth(9, ASKED), jump, top, F.lit("example.com"), F.col("page_id") % 11 == 5).alias("error"))
+    last = lambda c: F.regexp_extract(c, "([^.]+\\.[^.]+)$", 1)
+    host, jump, port = pick("page_id", ANSWERED), nth(5, REFRESHED), nth(25, PORTS)
+    away = F.when(jump == "/x", "").otherwise(jump)
+    error = sites.domain_errors(F.lit("a.com"), F.lit("www.a.com"), host, last(host), port, jump, away, last(away), port, F.col("page_id") % 11 == 5, F.col("page_id") % 7 == 6)
+    return table(spark, d, "pages").select("page_id", error.alias("error"))
 
 
 # content
@@ -332,7 +394,7 @@ def measured(spark, d):
     return n, cepf.node_stats(n)
 
 
-@query("node_stats")
+@query("node_stats", tree_sql.NODE_STATS)
 def _(spark, d):
     return measured(spark, d)[1].select("page_id", "pre", "tag", "text", "link_text", "tags", "link_tags", "p", F.round("density_sum", 6).alias("density_sum"), F.round("score", 6).alias("score"))
 
@@ -352,7 +414,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.round(cepf.node_score((p % 50).cast("double"), (p % 7).cast("double"), p % 300, p % 9), 6).alias("score"))
 
 
-@query("content_node")
+@query("content_node", tree_sql.CONTENT_NODE)
 def _(spark, d):
     n, s = measured(spark, d)
     return cepf.content_node(s, n).withColumn("score", F.round("score", 6))
@@ -363,19 +425,38 @@ def _(spark, d):
     return page.page_features(table(spark, d, "pages"), "html_lang").select("page_id", news.title_threshold(F.col("html_lang")).alias("least"))
 
 
-@query("extract_news")
+NEWS = tree_sql.news(OTHER_SQL, LANG_SQL)
+
+
+@query("extract_news", f"WITH {NEWS} SELECT * FROM news")
 def _(spark, d):
     return news.extract_news(table(spark, d, "pages"), as_of=F.lit(AS_OF).cast("timestamp"))
 
 
-@query("get_news")
+#: Refreshes planted into whole pages: to the next page, an address without a domain, a page that isn't there, a path, and none.
+HOPS = f"""o AS (SELECT a.page_id, b.page_id AS other, a.url, b.url AS next, {TOP.format(h=part('a.url', 2))} = {TOP.format(h=part('b.url', 2))} AS same FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1),
+    hop AS (SELECT page_id, url, CASE WHEN page_id % 6 IN (1, 2) AND same AND other IS NOT NULL THEN next WHEN page_id % 6 = 4 THEN 'https://gone.' || {TOP.format(h=part('url', 2))} || '/x' ELSE url END AS final,
+      CASE WHEN page_id % 6 IN (1, 2) AND same AND other IS NOT NULL THEN other WHEN page_id % 6 = 4 THEN NULL ELSE page_id END AS source FROM o)"""
+
+
+def refreshing(spark, d):
+    """Pages of which some refresh to the next page, and each of these addresses twice in the table."""
+    p = table(spark, d, "pages")
+    n = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("_next"))
+    top = F.regexp_extract(F.regexp_extract("url", "^https?://([^/]*)", 1), "([^.]+\\.[^.]+)$", 1)
+    k = F.col("page_id") % 6
+    to = F.when(k.isin(1, 2), F.col("_next")).when(k == 3, "http://10.1.2.3/x").when(k == 4, F.concat(F.lit("https://gone."), top, F.lit("/x"))).when(k == 5, "/x")
+    meta = F.when(k == 2, F.concat(F.lit("<META content='0;URL="), to, F.lit("' HTTP-EQUIV=Refresh>"))).otherwise(F.concat(F.lit('<meta http-equiv="refresh" content="5; url='), to, F.lit('">')))
+    return p.join(n, "page_id", "left").withColumn("html", F.concat(F.coalesce(meta, F.lit("")), "html")).drop("_next")
+
+
+@query("get_news", f"""WITH {NEWS}, {HOPS} SELECT h.page_id, h.url AS asked, h.final AS url, coalesce(n.title, '') AS title, coalesce(n.content, '') AS content, CASE WHEN source IS NULL THEN '' ELSE n.lang END AS lang,
+    CASE WHEN source IS NULL THEN 'ErrorRequest' ELSE '' END AS error FROM hop h LEFT JOIN news n ON n.page_id = h.source""")
 def _(spark, d):
     """News of every page after one hop along a refresh to a page of the same registrable domain."""
-    p = table(spark, d, "pages")
-    f = page.page_features(p, "refresh").withColumn("target", sites.meta_refresh(F.col("refresh")))
-    hop = f.filter("target <> ''").select("page_id", "target").join(p.select(F.col("url").alias("target"), F.col("html").alias("other")), "target")
-    p = p.join(hop.select("page_id", "other"), "page_id", "left").select("page_id", "url", F.coalesce("other", "html").alias("html"))
-    return news.extract_news(p, as_of=F.lit(AS_OF).cast("timestamp")).select("page_id", "url", "title", "time", "content", "lang")
+    p = refreshing(spark, d)
+    twice = p.unionByName(p)  # an address that stands twice answers once
+    return news.get_news(p, twice, as_of=F.lit(AS_OF).cast("timestamp")).select("page_id", "asked", "url", "title", "content", "lang", "error")
 
 
 # titles of pages: each case plants the piece that the step looks for, made of the page's own title
@@ -534,7 +615,39 @@ def _(spark, d):
 
 @query("crawl_content", f"{TREE}, c AS (SELECT p.url, min(depth) AS depth FROM t JOIN pages p ON p.page_id = 3 * t.id + 1 GROUP BY p.url) SELECT url, depth FROM c WHERE url NOT IN (SELECT url FROM t JOIN pages ON page_id = id WHERE t.depth > 0)")
 def _(spark, d):
-    return crawl.crawl_content(edges(spark, d), visited(spark, d))
+    return crawl.crawl_content(edges(spark, d), visited(spark, d)).select("url", "depth")
+
+
+#: Pages whose only links lead to other pages: two list links and a content link each.
+LONG_TITLE = "Seven plain words about what happened there"
+
+
+def linked_pages(spark, d):
+    at = lambda k: F.concat(F.lit("https://www.example.com/p/"), k.cast("string"), F.lit(".html"))
+    p = F.col("page_id")
+    link = lambda k, t: F.concat(F.lit("<a href='"), at(k), F.lit(f"'>{t}</a>"))
+    body = F.concat(F.regexp_replace("html", "(?s)<nav>.*?</nav>", ""), link(p * 2 + 1, "More"), link(p * 2 + 2, "Else"), link(p * 5 + 7, LONG_TITLE))
+    return table(spark, d, "pages").select("page_id", at(p).alias("url"), body.alias("html"))
+
+
+@query("crawl_news", f"""WITH RECURSIVE {NEWS}, t(id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT 2 * t.id + 1 + j, t.depth + 1 FROM t JOIN pages p ON p.page_id = t.id, (SELECT unnest([0, 1]) AS j) y WHERE t.depth < 3),
+    found AS (SELECT 5 * t.id + 7 AS id, min(depth) AS depth FROM t JOIN pages p ON p.page_id = t.id GROUP BY ALL)
+    SELECT 'https://www.example.com/p/' || c.id || '.html' AS asked, c.depth, coalesce(n.title, '') AS title, coalesce(n.lang, '') AS lang, CASE WHEN n.page_id IS NULL THEN 'ErrorRequest' ELSE '' END AS error
+    FROM found c LEFT JOIN news n ON n.page_id = c.id WHERE c.id NOT IN (SELECT id FROM t WHERE depth > 0)""")
+def _(spark, d):
+    """A crawl over the links that pages hold, and the records of the content pages it finds."""
+    p = linked_pages(spark, d)
+    root = p.filter("page_id = 0").select("url")
+    return crawl.crawl_news(p, root, crawl.CrawlOptions(depth=4), as_of=F.lit(AS_OF).cast("timestamp")).select("asked", "depth", "title", "lang", "error")
+
+
+@query("crawl_lists", """WITH RECURSIVE t(id, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT 2 * t.id + 1 + j, t.depth + 1 FROM t JOIN pages p ON p.page_id = t.id, (SELECT unnest([0, 1]) AS j) y WHERE t.depth < 5)
+    SELECT 'https://www.example.com/p/' || t.id || '.html' AS url, depth, CASE WHEN p.page_id IS NULL THEN 'ErrorRequest' ELSE '' END AS error FROM t LEFT JOIN pages p ON p.page_id = t.id""")
+def _(spark, d):
+    """Every list page that a crawl visits, those that fail too."""
+    p = linked_pages(spark, d)
+    visited = crawl.crawl_bfs(crawl.page_edges(p), p.filter("page_id = 0").select("url"), crawl.CrawlOptions(depth=6))
+    return crawl.crawl_lists(visited, p)
 
 
 @query("crawl_links", f"{TREE} SELECT a.url AS src, b.url AS dst, depth FROM t JOIN pages a ON a.page_id = t.id JOIN pages b ON b.page_id IN (2 * t.id + 1, 2 * t.id + 2)")

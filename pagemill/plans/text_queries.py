@@ -48,6 +48,7 @@ SAMPLES = {
     "俄语": "Президент России сегодня выступил с речью перед журналистами и рассказал о новых планах развития экономики страны на ближайшие годы и ответил на вопросы граждан",
     "阿拉伯语": "أعلنت الحكومة اليوم عن خطة جديدة لتطوير الاقتصاد الوطني ودعم الشركات الصغيرة والمتوسطة في جميع أنحاء البلاد خلال السنوات القادمة وقال الوزير ذلك",
     "英语": "The government announced today a new plan to develop the national economy and to support small companies all over the country in the coming years",
+    "one letter of another script": "0123456789 " * 8 + "ж",
     "short": "中文",
 }
 
@@ -195,7 +196,6 @@ DECODED = [("E4BDA0", "UTF-8", "你"), ("C4E3BAC3", "GBK", "你好"), ("A741A66E
 
 @query("decode_body", f"SELECT page_id, {sql_pick('page_id', [x[2] for x in DECODED])} AS text FROM pages")
 def _(spark, d):
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     body, name = F.unhex(pick("page_id", [x[0] for x in DECODED])), pick("page_id", [x[1] for x in DECODED])
     return table(spark, d, "pages").select("page_id", charset.decode_body(body, name).alias("text"))
 
@@ -415,7 +415,7 @@ def n_of(p: str, t: str = "t") -> str:
 
 
 LANG_SQL = f"""CASE WHEN length(t) < 64 THEN '' WHEN {n_of('[\\p{Han}]')}::DOUBLE / length(t) >= 0.3 THEN CASE WHEN {n_of('[\\p{Hiragana}|\\p{Katakana}]')}::DOUBLE / {n_of('[\\p{Han}]')} > 0.1 THEN 'ja' ELSE 'zh' END
-    WHEN {n_of('[a-zA-Z]')}::DOUBLE / length(t) > 0.618 THEN 'en' WHEN {n_of('[\\p{Arabic}]')} > 20 THEN 'ar' WHEN {n_of('[\\p{Cyrillic}]')} > 20 THEN 'ru' WHEN {n_of('[\\p{Hangul}]')} > 20 THEN 'ko' ELSE '' END"""
+    WHEN {n_of('[a-zA-Z]')}::DOUBLE / length(t) > 0.618 THEN 'en' WHEN {n_of('[\\p{Arabic}]')}::DOUBLE / length(t) > 0.3 THEN 'ar' WHEN {n_of('[\\p{Cyrillic}]')}::DOUBLE / length(t) > 0.3 THEN 'ru' WHEN {n_of('[\\p{Hangul}]')}::DOUBLE / length(t) > 0.3 THEN 'ko' ELSE '' END"""
 
 
 @query("lang_text", f"SELECT page_id, lang, CASE WHEN lang = '' THEN '' WHEN lang IN ('ar', 'ru', 'ko') THEN 'lingua' ELSE 'body' END AS lang_pos FROM (SELECT page_id, {LANG_SQL} AS lang FROM (SELECT page_id, {CHUNK_SQL.format(t=sql_pick('page_id', TEXTS))} AS t FROM pages))")

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.charset import charset_detect, decode_body
+
 TEXT_TYPES = ("application/json", "application/xhtml+xml", "application/xml", "text/html", "text/plain", "text/xml")
 MAX_BYTES = 10 * 1024 * 1024
 RESPONSE = "url string, request_url string, status int, success boolean, content_type string, body binary, error string"
@@ -49,6 +51,23 @@ def size_limit(body: Column, most: int = MAX_BYTES) -> Column:
     return F.octet_length(body) <= most
 
 
+def decoded_pages(responses: DataFrame, options: RequestOptions = RequestOptions(), body: str = "body", content_type: str = "content_type") -> DataFrame:
+    """Responses as pages: html, charset and charset_pos instead of the body, and error.
+
+    An answer of another type or size is turned down (html null, an error), as is a body that can't be read (ErrorCharset). A null body without an
+    error is an empty answer. An earlier error stays.
+    """
+    said = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
+    kind = content_type_filter(F.col(content_type)) if options.text_only else F.lit(True)
+    wrong = F.when(~kind, "content type").when(~size_limit(F.col(body), options.max_bytes), "content length")
+    found = charset_detect(F.col(body), F.col(content_type)) if options.detect_charset else F.struct(F.lit("UTF-8").alias("charset"), F.lit("").alias("charset_pos"))
+    own = [c for c in responses.columns if c not in (body, "error", "html", "charset", "charset_pos")]
+    out = responses.select(*own, F.col(body), F.coalesce(said, wrong).alias("_wrong")).withColumn("_c", F.when(F.col("_wrong").isNull() & F.col(body).isNotNull(), found))
+    out = out.withColumn("html", F.when(F.col("_c").isNotNull(), decode_body(F.col(body), F.col("_c.charset"))))
+    unread = F.when(F.col("_c").isNotNull() & F.col("html").isNull(), "ErrorCharset")
+    return out.select(*own, "html", F.coalesce("_c.charset", F.lit("")).alias("charset"), F.coalesce("_c.charset_pos", F.lit("")).alias("charset_pos"), F.coalesce("_wrong", unread).alias("error"))
+
+
 class _Address(InputPartition):
     def __init__(self, url: str):
         self.url = url
