@@ -5,6 +5,8 @@ The reader of the web is for small batches of addresses (crawls); everything els
 
 from __future__ import annotations
 
+import http.client
+import ssl
 import urllib.error
 import urllib.request
 from dataclasses import dataclass, field
@@ -25,6 +27,7 @@ class RequestOptions:
     max_bytes: int = MAX_BYTES
     max_redirects: int = 3
     timeout_ms: int = 10_000
+    connect_ms: int = 5_000
     retry: int = 1
     text_only: bool = True
     detect_charset: bool = True
@@ -78,9 +81,41 @@ class _Redirects(urllib.request.HTTPRedirectHandler):
         self.max_redirections = most
 
 
+def _dialling(kind: type, seconds: float) -> type:
+    """A connection that gives up dialling after so many seconds; reading has its own time."""
+
+    class Connection(kind):
+        def connect(self):
+            read, self.timeout = self.timeout, min(seconds, self.timeout)
+            super().connect()
+            self.timeout = read
+            self.sock.settimeout(read)
+
+    return Connection
+
+
+class _Http(urllib.request.HTTPHandler):
+    def __init__(self, seconds: float):
+        super().__init__()
+        self.connection = _dialling(http.client.HTTPConnection, seconds)
+
+    def http_open(self, req):
+        return self.do_open(self.connection, req)
+
+
+class _Https(urllib.request.HTTPSHandler):
+    def __init__(self, seconds: float):
+        super().__init__()
+        self.connection, self.context = _dialling(http.client.HTTPSConnection, seconds), ssl.create_default_context()
+
+    def https_open(self, req):
+        return self.do_open(self.connection, req, context=self.context)
+
+
 def fetch(url: str, options: RequestOptions) -> tuple:
     """One response row; an error is a value of the row. Certificates are verified."""
-    opener = urllib.request.build_opener(_Redirects(options.max_redirects))
+    dial = options.connect_ms / 1000
+    opener = urllib.request.build_opener(_Redirects(options.max_redirects), _Http(dial), _Https(dial))
     said = ""
     for _ in range(max(1, options.retry)):
         try:
@@ -92,7 +127,9 @@ def fetch(url: str, options: RequestOptions) -> tuple:
                 if len(body) > options.max_bytes:
                     return (url, r.geturl(), r.status, False, kind, None, "content length")
                 return (url, r.geturl(), r.status, True, kind, body, None)
-        except (urllib.error.URLError, OSError, ValueError) as e:
+        except urllib.error.HTTPError as e:
+            return (url, e.geturl() or url, e.code, False, e.headers.get("Content-Type", ""), None, str(e))
+        except (urllib.error.URLError, OSError, ValueError, http.client.HTTPException) as e:
             said = str(e)
     return (url, url, 0, False, "", None, said)
 
@@ -120,7 +157,8 @@ class HttpSource(DataSource):
 
     def reader(self, schema):
         o = self.options
-        return _Reader(o.get("urls", "").split(), RequestOptions(int(o.get("max_bytes", MAX_BYTES)), int(o.get("max_redirects", 3)), int(o.get("timeout_ms", 10_000)), int(o.get("retry", 1))))
+        number = {k: int(o[k]) for k in ("max_bytes", "max_redirects", "timeout_ms", "connect_ms", "retry") if o.get(k) is not None}
+        return _Reader(o.get("urls", "").split(), RequestOptions(**number, text_only=o.get("text_only", "true").lower() == "true"))
 
 
 def http_get(spark: SparkSession, *urls: str, **options) -> DataFrame:
@@ -132,3 +170,11 @@ def http_get(spark: SparkSession, *urls: str, **options) -> DataFrame:
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()
+
+
+def http_do(spark: SparkSession, *urls: str, **options) -> DataFrame:
+    """Pages of the addresses: http_get, charset, text. url is the address that answered, request_url the one that was asked."""
+    got = http_get(spark, *urls, **options)
+    named = {k: v for k, v in options.items() if k in ("max_bytes", "text_only", "detect_charset")}
+    pages = decoded_pages(got.withColumn("error", F.when(~F.col("success"), F.col("error"))), RequestOptions(**named))
+    return pages.withColumns({"url": F.col("request_url"), "request_url": F.col("url")})

@@ -1,15 +1,20 @@
 """Trees, content scores, links, news, crawls and streams on small pages."""
 
 import collections
+import contextlib
+import http.server
 import math
 import os
 import random
+import re
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import cepf, crawl, dom, links, news, page, sites
-from pagemill.sources.pages import http_get
+from pagemill.operators import cepf, crawl, dom, links, news, ngram, page, sites
+from pagemill.sources.pages import RequestOptions, decoded_pages, http_do, http_get
 from pagemill.streaming import pages as streaming
 
 FOLDER = "/root/testdata/sf0.001"
@@ -164,7 +169,9 @@ def test_crawl(spark):
     roots = spark.createDataFrame([("r",)], "url string")
     visited = crawl.crawl_bfs(df, roots, crawl.CrawlOptions(depth=3))
     assert sorted(map(tuple, visited.collect())) == [("a", 1), ("b", 1), ("c", 2), ("r", 0), ("r", 2)]
-    assert [tuple(r) for r in crawl.crawl_content(df, visited).collect()] == [("n1", 1)]
+    assert [tuple(r) for r in crawl.crawl_content(df, visited).collect()] == [("n1", 1, "", "a")]
+    there = spark.createDataFrame([("r", "x"), ("a", "x"), ("b", None)], "url string, html string")
+    assert sorted(tuple(r) for r in crawl.crawl_lists(visited, there).collect() if r["error"]) == [("b", 1, "ErrorRequest"), ("c", 2, "ErrorRequest")]
     assert crawl.CrawlOptions().clone(depth=9).depth == 9
 
 
@@ -187,6 +194,115 @@ def test_site_profile(spark):
     assert (r["domain"], r["lang"], r["country"], r["province"], r["icp"], r["title_clean"], r["description"], r["list_count"], r["subdomains"]) == ("example.fr", "fr", "中国", "北京", "京ICP备123", "Accueil", "d", 1, ["www.example.fr"])
 
 
+def jump(to):
+    return f'<meta http-equiv=refresh content="0;url={to}"><title>Old page here</title>'
+
+
+def test_get_news_follows_inside_the_domain_alone(spark):
+    rows = [
+        (1, "https://a.example.com/1", jump("https://b.example.com/2")),
+        (2, "https://a.example.com/3", jump("https://evil.other.org/")),
+        (3, "https://a.example.com/4", jump("/home")),
+        (4, "https://a.example.com/5", jump("https://gone.example.com/")),
+        (5, "https://b.example.com/2", "<title>New page there</title>" + jump("https://a.example.com/1").split("<title>")[0]),
+        (6, "https://b.example.com/2", "<title>New page there</title>"),
+        (7, "https://evil.other.org/", "<title>Evil page</title>"),
+        (8, None, None),
+    ]
+    got = [(r["page_id"], r["asked"], r["url"], r["title"], r["error"]) for r in news.get_news(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == [
+        (1, "https://a.example.com/1", "https://b.example.com/2", "New page there", ""),
+        (2, "https://a.example.com/3", "https://a.example.com/3", "Old page here", ""),
+        (3, "https://a.example.com/4", "https://a.example.com/4", "Old page here", ""),
+        (4, "https://a.example.com/5", "https://gone.example.com/", "", "ErrorRequest"),
+        (5, "https://b.example.com/2", "https://a.example.com/1", "Old page here", ""),
+        (6, "https://b.example.com/2", "https://b.example.com/2", "New page there", ""),
+        (7, "https://evil.other.org/", "https://evil.other.org/", "Evil page", ""),
+        (8, None, None, "", "ErrorRequest"),
+    ]
+
+
+def test_domain_errors(spark):
+    rows = [
+        (1, "https://www.example.com/", jump("https://b.example.com/"), "example.com", False),
+        (2, "https://www.example.com/", jump("https://x.other.org/"), "www.example.com", False),
+        (3, "https://www.example.com/", jump("http://10.0.0.1/"), "www.example.com", False),
+        (4, "https://www.other.org/", "<p>x", "www.example.com", False),
+        (5, "https://www.other.org:81/", "<p>x", "www.example.com", False),
+        (6, "https://www.example.com/", None, "www.example.com", False),
+        (7, "https://www.example.com/", None, "www.example.com", True),
+        (8, "https://www.example.com/", "<p>x", "sub.example.com", False),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, asked string, failed boolean")
+    codes = lambda d: {r["page_id"]: r["error"] for r in d.collect()}
+    assert codes(sites.detect_domain(df)) == {
+        1: "ErrorMetaJump", 2: "ErrorMetaJump:other.org", 3: "ErrorMetaJumpHost", 4: "ErrorRedirect:other.org", 5: "ErrorRedirectHost", 6: "ErrorDocParse", 7: "ErrorDomainDetect", 8: "",
+    }
+    assert codes(sites.detect_subdomain(df))[8] == "ErrorRedirect:example.com"
+
+
+def test_trigram_model_by_either_way(spark):
+    rows = [(1, "the cat and the dog and the bird", "en"), (2, "der hund und die katze und der vogel", "de"), (3, "le chien et le chat et les oiseaux", "fr"), (4, "xx", "fr"), (5, None, None), (None, "the end and the start", None), (6, "日本語の文", None)]
+    df = spark.createDataFrame(rows, "k long, text string, lang string")
+    model = ngram.train(df)
+    ways = [sorted((r["k"] or 0, r["lang"]) for r in ngram.lang_ngram(df, model, "k", few=few).collect()) for few in (10**6, 0)]
+    assert ways[0] == ways[1] == [(0, "en"), (1, "en"), (2, "de"), (3, "fr"), (4, ""), (5, ""), (6, "")]
+    assert ngram.lang_ngram(df, model.limit(0), "k").filter("lang <> ''").count() == 0
+
+
+def test_bodies_become_pages(spark):
+    rows = [
+        (1, "新闻".encode("gbk"), "text/html; charset=gb2312"), (2, "é".encode("latin-1"), "text/html; charset=iso-8859-1"), (3, "plain".encode(), "text/plain"), (4, b"\xff\xfe\xfd", "text/html; charset=utf-8"),
+        (5, b"x", "image/png"), (6, b"y" * 101, "text/html"), (7, None, "text/html"), (8, "日本".encode("iso2022_jp"), "text/html; charset=ISO-2022-JP"),
+    ]
+    df = spark.createDataFrame(rows, "k long, body binary, content_type string")
+    got = {r["k"]: (r["html"], r["charset"], r["error"]) for r in decoded_pages(df, RequestOptions(max_bytes=100)).collect()}
+    assert got[1] == ("新闻", "GBK", None) and got[2] == ("é", "ISO-8859-1", None) and got[3] == ("plain", "UTF-8", None)
+    assert got[4][2] == "ErrorCharset" and got[5][2] == "content type" and got[6][2] == "content length" and got[7] == (None, "", None)
+
+
+@pytest.fixture
+def site():
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            hop = re.match(r"/hop(\d+)", self.path)
+            if self.path == "/slow":
+                time.sleep(3)
+            self.send_response(302 if hop and hop[1] != "0" else 404 if self.path == "/gone" else 200)
+            if hop and hop[1] != "0":
+                self.send_header("Location", f"/hop{int(hop[1]) - 1}")
+            self.send_header("Content-Type", "image/png" if self.path == "/image" else "text/html; charset=gbk")
+            self.end_headers()
+            with contextlib.suppress(BrokenPipeError):
+                self.wfile.write(b"x" * 5000 if self.path == "/large" else "<title>新闻</title>".encode("gbk"))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_http_against_a_local_server(spark, site):
+    paths = ["/page", "/hop3", "/hop4", "/image", "/large", "/gone", "/slow"]
+    got = {r["request_url"].removeprefix(site): r for r in http_do(spark, *[site + x for x in paths], max_bytes=1000, timeout_ms=1000).collect()}
+    assert (got["/page"]["html"], got["/page"]["charset"], got["/page"]["error"]) == ("<title>新闻</title>", "GBK", None)
+    assert got["/hop3"]["status"] == 200 and got["/hop3"]["url"] == f"{site}/hop0" and got["/hop4"]["html"] is None
+    assert got["/image"]["error"] == "content type" and got["/large"]["error"] == "content length"
+    assert got["/gone"]["status"] == 404 and got["/gone"]["error"] and "timed out" in got["/slow"]["error"]
+
+
+def test_links_stay_in_their_row(spark):
+    pages = spark.createDataFrame([(1, "http://www.example.com/", "<a href=/x>y</a>")], "page_id long, url string, html string")
+    f = sites.with_lang(page.page_features(pages, *sites.LANGS, "links"))
+    found = links.web_links(f, carry=("lang",))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(found) == 0
+    assert exchanges(sites.detect_domain(pages)) == 1
+
+
 def test_http_errors_are_rows(spark):
     with pytest.raises(ValueError):
         http_get(spark)
