@@ -16,8 +16,8 @@ two parts.
 
 Vectors that are null, zero, or hold null or non-finite components, and rows with a null label or
 vec_id, link with nothing: n_links 0, component_id = vec_id, kept (false where vec_id is null). Vectors of
-different lengths are never compared. Repeated rows are vectors of their own: copies link with each other.
-An empty table gives no rows; extra columns are ignored.
+different lengths are never compared; they may have any length. Repeated rows are vectors of their own: copies link with each other.
+Ties of a component go to the smallest vec_id. An empty table gives no rows; extra columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -81,10 +81,12 @@ def cells(r: np.ndarray, budget: float, dims: int) -> list[tuple[np.ndarray, np.
 
 
 def _key(block: int, cell: np.ndarray) -> np.ndarray:
-    key = np.full(len(cell), block, np.int64)
+    """A 64-bit hash of block and cell, so that cells of any number and size stay apart."""
+    key = np.full(len(cell), block + 1, np.uint64)
     for j in range(cell.shape[1]):
-        key = key * 128 + (cell[:, j] + 64)
-    return key
+        key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + cell[:, j].astype(np.uint64)
+        key = (key ^ (key >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return (key ^ (key >> np.uint64(31))).view(np.int64)
 
 
 def pairs(x: np.ndarray, r: np.ndarray, block: int, left: np.ndarray, right: np.ndarray | None, home: np.ndarray, t: float):

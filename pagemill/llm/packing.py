@@ -11,8 +11,8 @@ Each piece finds its place from its length and its rank among pieces of that len
 a count per (partition, length); ids are never shuffled. The tokenised pieces are written once to the shared
 folder, so a lost executor can't change ranks.
 
-Nulls: a null text is empty and has the end id alone. Repeated rows are packed as documents of their own.
-An empty table gives no rows.
+Nulls: a null text is empty and has the end id alone; a null doc_id is a value. Repeated rows are packed as documents of their own; ties of length
+go by partition and order in it. Texts are tokenised whole, however long. Columns but doc_id and the text are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 Measures are built-in expressions over the whole text; every rule is a row (name, measure, low, high)
 and fails a document whose measure lies outside [low, high]. Null and empty texts have no words:
 every count is 0, ratios are 0, and they fail the length rule. Rows are independent, so repeated
-rows get repeated results; extra columns are kept as they are (a clash with an output name replaces
-the incoming column).
+rows get repeated results and there are no ties; an empty table gives no rows; texts are read whole, however long. Extra
+columns are kept as they are (a clash with an output name, __words, __lines or __m replaces the incoming column; keep() loses none).
+Where a column of languages is named, the rule on stop words binds those of LANGS and rows without a language alone.
 
 Repeats in 3-word windows are found by sorting (hash, position) pairs inside the row. The 64-bit
 hash only finds pairs to compare; the words themselves are compared before a window counts.
@@ -26,6 +27,8 @@ STOP_WORDS = (
     "el los las y que del se por con para su no lo al una como"
 ).split()
 
+LANGS = ("en", "fr", "de", "es")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -83,8 +86,9 @@ def _repeat_words(w: str) -> Column:
     return F.transform(F.transform(F.array(pairs), positions), covered)[0]
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base counts and the ratios that the rules read."""
+def measures(docs: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
+    """docs with the base counts and the ratios that the rules read; stop_ratio is null for languages without stop words here."""
+    spoken = F.lit(True) if lang is None else F.coalesce(F.lower(F.col(lang)).isin(*LANGS), F.lit(True))
     t = F.coalesce(F.col(text), F.lit(""))
     space, symbols = " \t\n\x0b\x0c\r", "#*$%&|<>"
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, space, "")) > 0)
@@ -100,13 +104,13 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     # an explode of one row bars a filter on the result from being pushed below, where it would repeat the counts
     one = F.explode(F.array(F.struct(*[v.alias(k) for k, v in counts.items()])))
-    out = out.select(*[c for c in docs.columns if c not in counts], one.alias("__m")).select("*", "__m.*").drop("__m")
+    out = out.select(*[f"`{c}`" for c in out.columns if c not in counts and c != "__m"], one.alias("__m")).select("*", "__m.*").drop("__m")
     return out.withColumns(
         {
             "repeat_ratio": _ratio(F.col("n_repeat_words"), F.col("n_words")),
             "symbol_ratio": _ratio(F.col("n_symbols"), F.col("n_words")),
             "mean_word_chars": _ratio(F.col("word_chars"), F.col("n_words")),
-            "stop_ratio": _ratio(F.col("n_stop_words"), F.col("n_words")),
+            "stop_ratio": F.when(spoken, _ratio(F.col("n_stop_words"), F.col("n_words"))),
             "dup_line_ratio": _ratio(F.col("n_dup_lines"), F.col("n_lines")),
         }
     )
@@ -118,23 +122,25 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*broken))
 
 
-def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str | None = None) -> DataFrame:
     """docs with measures, broken (rule names), base_failed and kept."""
-    out = measures(docs, text)
+    out = measures(docs, text, lang)
     out = out.withColumn("broken", compile_rules(rules))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 
-def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str | None = None) -> DataFrame:
     """The rows of docs that break no rule, with its columns."""
     rows = packed(docs).withColumn("text", F.col("_row").getField(text))
-    return unpacked(quality(rows, "text", rules).filter("kept"), docs)
+    if lang is not None:
+        rows = rows.withColumn("lang", F.col("_row").getField(lang))
+    return unpacked(quality(rows, "text", rules, lang and "lang").filter("kept"), docs)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality(docs.select("doc_id", "text")).select(
+    return quality(docs.select("doc_id", "text", "lang"), lang="lang").select(
         "doc_id", *BASE, "base_failed", "kept", F.array_join("broken", ",").alias("broken")
     )

@@ -6,8 +6,8 @@ place can so be computed from its number alone, reruns agree, and shard sizes di
 row (the law `rows`). Equal texts are spread like any other rows, so a hot group can't fill a shard.
 
 Nulls: a null text has size 16 and the checksum of the empty string; a null doc_id sorts first.
-Repeated rows are rows of their own. An empty table gives no rows. Texts never leave their partition:
-only (doc_id, size, checksum) is shuffled.
+Repeated rows are rows of their own; rows that agree in all three are interchangeable. An empty table gives no rows. Texts are
+read whole, however long, and never leave their partition: only (doc_id, size, checksum) is shuffled. Other columns, of any name, are not read.
 """
 
 from __future__ import annotations

@@ -7,10 +7,11 @@ score replaces, so the earliest start (longest last piece) wins; a character wit
 own takes the lowest score less 10 and becomes its UTF-8 bytes.
 
 The vocabulary is that of a public SentencePiece file (pieces and scores as they are; its byte pieces
-serve as fallback), read as a unigram model with a space marker before each word. No piece holds the
-marker after another character, so words are independent and each worker caches counts by word.
+serve as fallback), read as a unigram model with a space marker before each word. No piece may hold the
+marker after another character (a vocabulary with such a piece is refused), so words are independent and each worker caches counts by word.
 
-Null texts count 0, as empty ones do; repeated rows repeat; extra columns are kept.
+Null texts count 0, as empty ones do; repeated rows repeat; an empty table gives no rows; texts are read whole, however long, a word at a time;
+extra columns are kept (one named like the output is replaced).
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ class Counter:
     def __init__(self, vocab: list[tuple[str, float]]):
         import ahocorasick
 
+        if any(MARK in piece.lstrip(MARK) for piece, _ in vocab):
+            raise ValueError("a piece holds the space marker after another character: words would not be independent")
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocab:
             self.automaton.add_word(piece, (len(piece), score))

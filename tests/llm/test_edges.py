@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,7 +34,16 @@ OPERATORS = {
     "keep_one": lambda d: minhash_dedup.keep_one(d),
     "secrets": lambda d: secrets.find_secrets(d),
 }
-CLASHES = ("n_words", "kept", "size", "shard", "taken", "piece", "n_tokens", "n_lines", "component_id", "spans", "_w", "_k1", "_rank", "_h", "check", "sig")
+CLASHES = (
+    "n_words kept size shard taken piece n_tokens n_lines component_id spans _w _k1 _k2 _rank _h check sig _row _n _i _pid _at _base cid grp part parts leaf _d1 _d2 _left _same _whole _k _t id src mark "
+    "masked head first component _fine key band low comp drop gone again links _lines tokens line n row __m __words __lines copies source_size target"
+).split()
+STAGES = {
+    "quality": lambda d: quality.keep(d, lang="lang"),
+    "lines": lambda d: line_dedup.keep_rest(d),
+    "keep_one": lambda d: minhash_dedup.keep_one(d),
+    "mix": lambda d: mixing.mix(d),
+}
 
 
 @pytest.fixture(scope="module")
@@ -40,11 +51,31 @@ def docs(spark):
     return spark.createDataFrame(ROWS, SCHEMA)
 
 
-@pytest.mark.parametrize("name", OPERATORS)
-def test_odd_rows(docs, name):
-    rows = OPERATORS[name](docs).collect()
-    if name in ("quality", "sharding", "mixing", "tokens", "lines", "minhash", "secrets"):
-        assert len(rows) == len(ROWS)
+def ids(rows):
+    return sorted((r["doc_id"] for r in rows), key=lambda k: (k is not None, k))
+
+
+def test_odd_rows(docs):
+    """What each operator makes of nulls, blanks, ties, repeats and a long text."""
+    got = {name: f(docs).collect() for name, f in OPERATORS.items()}
+    for name in ("quality", "sharding", "mixing", "tokens", "lines", "minhash", "secrets"):
+        assert ids(got[name]) == ids([{"doc_id": r[0]} for r in ROWS]), name
+    of = lambda name, k: [r for r in got[name] if r["doc_id"] == k]
+    for k in (1, 2, 3):
+        q = of("quality", k)[0]
+        assert (q["n_words"], q["n_repeat_words"], q["base_failed"], q["kept"]) == (0, 0, True, False)
+        assert of("mixing", k)[0]["copies"] == 0 and (k == 3 or of("tokens", k)[0]["n_tokens"] == 0)
+        assert of("secrets", k)[0]["spans"] == "" and of("minhash", k)[0]["n_links"] == 0
+    assert of("quality", 6)[0]["n_words"] == 90_000
+    assert sorted(r["slot"] for r in got["sharding"]) == sorted(k // 40 for k in range(len(ROWS)))
+    assert [(r["piece"], r["length"]) for r in of("packing", 1)] == [(0, 1)]
+    long = sorted(r["length"] for r in of("packing", 6))
+    assert len(long) > 20 and set(long[1:]) == {4096}
+    assert {r["text"] for r in of("lines", 6)} == {LONG} and all(r["n_dropped"] == 0 for r in got["lines"])
+    assert {(r["doc_id"], r["n_links"], r["component_id"], r["kept"]) for r in got["minhash"] if r["n_links"]} == {(4, 2, 4, True), (5, 2, 4, False)}
+    assert ids(got["keep_one"]) == [None, 1, 2, 3, 4, 6, 7]
+    taken = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in got["mix"])
+    assert taken == sum(r["size"] * r["copies"] for r in got["mixing"]) and all(0 <= r["copies"] <= 2 for r in got["mixing"])
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -58,6 +89,26 @@ def test_clashing_columns(docs, name):
     assert len(OPERATORS[name](wide).collect()) == len(OPERATORS[name](docs).collect())
 
 
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_every_column(docs, name):
+    docs = docs.union(docs.sparkSession.createDataFrame([(8, "the " + " of ".join(f"word{k}" for k in range(60)), "en", "a", 1)], SCHEMA))
+    wide = docs.withColumns({c: F.lit("x") for c in CLASHES})
+    got, plain = STAGES[name](wide).collect(), STAGES[name](docs).collect()
+    assert got[0].asDict().keys() == set(wide.columns) and all(r[c] == "x" for r in got for c in CLASHES)
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["source"]) for r in got))) == sorted(map(str, ((r["doc_id"], r["text"], r["source"]) for r in plain)))
+
+
+def test_other_languages_are_not_judged_by_stop_words(spark):
+    text = " ".join(f"sana{k} puhe{k % 31}" for k in range(60))
+    df = spark.createDataFrame([(1, text, "fi"), (2, text, "en"), (3, text, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["kept"] for r in quality.quality(df, lang="lang").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_pieces_with_an_inner_marker_are_refused():
+    with pytest.raises(ValueError):
+        token_counts.Counter([("<unk>", 0.0), ("a\u2581b", -1.0)])
+
+
 def test_pages(spark):
     schema = "page_id long, url string, html string, text string, n_chars string"
     page = "<article><h1>Title</h1><p>" + "Words of the article go here. " * 20 + "</p></article>"
