@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import blank, literal_map
+from .text import blank, built_once, literal_map
 
 LIST = Path(__file__).with_name("data") / "public_suffix.txt.gz"
 
@@ -60,6 +60,12 @@ def suffix_table(spark: SparkSession) -> DataFrame:
     return TABLES[spark]
 
 
+@built_once
+def _host_parts(host: str) -> dict[str, Column]:
+    h = F.lower(F.regexp_replace(F.trim(blank(F.col(host))), "\\.\\z", ""))
+    return {"_h": h, "_labels": F.split(h, "\\."), "_k1": F.substring_index(h, ".", -1), "_k2": F.when(F.contains(h, F.lit(".")), F.substring_index(h, ".", -2))}
+
+
 def domain_parse(df: DataFrame, host: str, out: str = "domain") -> DataFrame:
     """Adds a struct (subdomain, domain, tld, icann); null for a blank host or one that is a bare suffix.
 
@@ -67,19 +73,24 @@ def domain_parse(df: DataFrame, host: str, out: str = "domain") -> DataFrame:
     compared with the host in place. No shuffle, no user function.
     """
     table = suffix_table(df.sparkSession)
-    h = F.lower(F.regexp_replace(F.trim(blank(F.col(host))), "\\.\\z", ""))
-    labels = F.split(h, "\\.")
-    work = df.withColumns({"_h": h, "_labels": labels, "_k1": F.substring_index(h, ".", -1), "_k2": F.when(F.contains(h, F.lit(".")), F.substring_index(h, ".", -2))})
+    work = df.withColumns(_host_parts(host))
     for k in (1, 2):
         side = table.select(F.col("key").alias(f"_key{k}"), F.col("entries").alias(f"_e{k}"))
         work = work.join(F.broadcast(side), F.col(f"_k{k}") == F.col(f"_key{k}"), "left")
+    best, found, domain = _parse_steps()
+    return work.withColumn("_best", best).withColumns(found).withColumn(out, domain).select(*[c for c in df.columns if c != out], out)
+
+
+@built_once
+def _parse_steps() -> tuple[Column, dict[str, Column], Column]:
+    """Of a host _h, its _labels and the rules _e1, _e2: the _best rule, what it says, the parsed domain."""
     none = F.array().cast("array<struct<suffix:string,labels:int,kind:int,icann:boolean>>")
     entries = F.concat(F.coalesce("_e1", none), F.coalesce("_e2", none))
     size = F.size("_labels")
     fits = lambda x: ((F.col("_h") == x["suffix"]) | F.col("_h").endswith(F.concat(F.lit("."), x["suffix"]))) & ((x["kind"] != 1) | (size > x["labels"]))
     rank = lambda x: F.struct((x["kind"] == 2).alias("e"), (x["labels"] + F.when(x["kind"] == 0, 0).when(x["kind"] == 1, 1).otherwise(-1)).alias("n"), x["icann"].alias("icann"))
-    work = work.withColumn("_best", F.array_max(F.transform(F.filter(entries, fits), rank)))
-    work = work.withColumns({"_n": F.coalesce("_best.n", F.lit(1)), "_i": F.coalesce("_best.icann", F.lit(False))})
+    best = F.array_max(F.transform(F.filter(entries, fits), rank))
+    found = {"_n": F.coalesce("_best.n", F.lit(1)), "_i": F.coalesce("_best.icann", F.lit(False))}
     fine = (F.col("_h") != "") & (size > F.col("_n")) & ~F.array_contains("_labels", "")
     left = F.greatest(size - F.col("_n") - 1, F.lit(0))
     domain = F.when(
@@ -91,7 +102,7 @@ def domain_parse(df: DataFrame, host: str, out: str = "domain") -> DataFrame:
             F.col("_i").alias("icann"),
         ),
     )
-    return work.withColumn(out, domain).select(*[c for c in df.columns if c != out], out)
+    return best, found, domain
 
 
 def domain_top(domain: Column) -> Column:

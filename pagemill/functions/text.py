@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +53,20 @@ def literal_map(pairs: dict[str, str]) -> Column:
 def let(c: Column, use) -> Column:
     """use(c) with c evaluated once, where an expression would repeat it many times."""
     return F.get(F.transform(F.array(c), use), 0)
+
+
+def built_once(make: Callable) -> Callable:
+    """make(names and options) with its result kept for the process.
+
+    An expression over column names belongs to no table, and large ones take thousands of calls to the JVM to put together.
+    """
+    kept: dict = {}
+
+    @wraps(make)
+    def get(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in kept:
+            kept[key] = make(*args)
+        return kept[key]
+
+    return get

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..functions.domain import domain_parse, domain_top
 from ..functions.lang import HAN, WORD_LANGS
-from ..functions.text import blank, let, normalise_space, remove_lines, trimmed
+from ..functions.text import blank, built_once, let, normalise_space, remove_lines, trimmed
 
 CONTENT, LIST, UNKNOWN, NONE = "CONTENT", "LIST", "UNKNOWN", "NONE"
 ZH_SHORT = ("5g", "ai", "cba", "ipo", "it", "nba")
@@ -35,6 +35,21 @@ def page_links(links: Column, base: Column) -> Column:
     return first(F.transform(once, resolved), lambda a, b: (a["url"] == b["url"]) & (a["bad"] == b["bad"]))
 
 
+@built_once
+def _found() -> Column:
+    return F.when(F.col("base").isNotNull(), page_links(F.col("links"), F.col("base")))
+
+
+@built_once
+def _reason(strict: bool) -> Column:
+    return urls.url_reason(F.col("href"), F.col("url"), F.col("base"), F.lit(strict), F.col("_top"), F.col("_base_top"))
+
+
+@built_once
+def _kind() -> Column:
+    return link_by_title(F.col("url"), F.col("title"), F.col("lang"))
+
+
 def web_links(features: DataFrame, strict: bool = True, carry: tuple[str, ...] = (), outer: bool = False) -> DataFrame:
     """page_id, base, url, title, reason (null for accepted links), and the page's columns in carry. No shuffle.
 
@@ -45,15 +60,14 @@ def web_links(features: DataFrame, strict: bool = True, carry: tuple[str, ...] =
         pages = domain_parse(pages.withColumn("_base_host", urls.hostname(F.col("base"))), "_base_host", "_b").withColumn("_base_top", domain_top(F.col("_b")))
     else:
         pages = pages.withColumn("_base_top", F.lit(""))
-    found = F.when(F.col("base").isNotNull(), page_links(F.col("links"), F.col("base")))
+    found = _found()
     out = pages.select("page_id", "base", *carry, "_base_top", (F.explode_outer if outer else F.explode)(found).alias("l"))
     out = out.select("page_id", "base", *carry, "_base_top", "l.url", "l.title", "l.href")
     if strict:
         out = domain_parse(out.withColumn("_host", urls.hostname(F.col("url"))), "_host", "_d").withColumn("_top", domain_top(F.col("_d")))
     else:
         out = out.withColumn("_top", F.lit(""))
-    reason = urls.url_reason(F.col("href"), F.col("url"), F.col("base"), F.lit(strict), F.col("_top"), F.col("_base_top"))
-    return out.select("page_id", "base", "url", "title", reason.alias("reason"), *carry)
+    return out.select("page_id", "base", "url", "title", _reason(strict).alias("reason"), *carry)
 
 
 def link_by_title(url: Column, title: Column, lang: Column) -> Column:
@@ -112,24 +126,37 @@ def link_path_stats(links: DataFrame, kind: str = "kind") -> DataFrame:
 
 def link_path_process(links: DataFrame, kind: str = "kind") -> DataFrame:
     """Reclassifies links of a page by what the paths of its CONTENT links look like (counted before any change)."""
+    work = links
+    for step in _path_steps(kind):
+        work = work.withColumns(step)
+    return work.select(*links.columns)
+
+
+@built_once
+def _path_steps(kind: str) -> list[dict[str, Column]]:
     page = Window.partitionBy("page_id")
     where = trimmed(urls.path(F.col("url")))
-    work = links.withColumns({"_seg": urls.path_first_seg(where), "_dated": urls.url_publish_date(urls.path(F.col("url"))), "_is": F.col(kind) == CONTENT})
-    content = F.count_if("_is").over(page)
-    dated = F.count_if(F.col("_is") & F.col("_dated")).over(page)
     own = F.count_if("_is").over(Window.partitionBy("page_id", "_seg"))
-    work = work.withColumns({"_own": F.when(F.col("_seg").isNotNull(), own).otherwise(0), "_content": content, "_dates": dated})
-    work = work.withColumn("_top", (F.col("_own") > 1) & (F.col("_own") / F.col("_content") > 0.4) & (F.col("_content") >= 8))
-    work = work.withColumn("_tops", F.coalesce(F.bool_or("_top").over(page), F.lit(False)))
     publish = F.coalesce(F.try_divide("_dates", "_content") > 0.7, F.lit(False))
     long = F.char_length(blank(F.col("title"))) >= 2
     k = F.col(kind)
     a = F.when((k == LIST) & F.col("_dated") & long, CONTENT).when(k == UNKNOWN, F.when(F.col("_dated") & long, CONTENT).otherwise(LIST)).otherwise(k)
     b = F.when((k == UNKNOWN) & F.col("_seg").isNotNull(), F.when(F.col("_top") & long, CONTENT).otherwise(LIST)).otherwise(k)
-    work = work.withColumn(kind, F.when(publish, a).when(F.col("_tops"), b).otherwise(k))
-    bare = (where == "") | (where == "/") | F.col("_seg").isNull()
+    bare = (F.col("_where") == "") | (F.col("_where") == "/") | F.col("_seg").isNull()
     c = (F.col(kind) == CONTENT) & (F.col("_content") > 0) & (publish | F.col("_tops")) & bare
-    return work.withColumn(kind, F.when(c, UNKNOWN).otherwise(F.col(kind))).select(*links.columns)
+    return [
+        {"_where": where},
+        {"_seg": urls.path_first_seg(F.col("_where")), "_dated": urls.url_publish_date(F.col("_where")), "_is": F.col(kind) == CONTENT},
+        {
+            "_own": F.when(F.col("_seg").isNotNull(), own).otherwise(0),
+            "_content": F.count_if("_is").over(page),
+            "_dates": F.count_if(F.col("_is") & F.col("_dated")).over(page),
+        },
+        {"_top": (F.col("_own") > 1) & (F.col("_own") / F.col("_content") > 0.4) & (F.col("_content") >= 8)},
+        {"_tops": F.coalesce(F.bool_or("_top").over(page), F.lit(False))},
+        {kind: F.when(publish, a).when(F.col("_tops"), b).otherwise(k)},
+        {kind: F.when(c, UNKNOWN).otherwise(F.col(kind))},
+    ]
 
 
 def link_types(links: DataFrame, rules: DataFrame | None = None, accepted: Column | None = None) -> DataFrame:
@@ -139,7 +166,7 @@ def link_types(links: DataFrame, rules: DataFrame | None = None, accepted: Colum
     """
     fine = F.lit(True) if accepted is None else accepted
     if rules is None:
-        out = links.withColumn("kind", F.when(fine, link_by_title(F.col("url"), F.col("title"), F.col("lang"))))
+        out = links.withColumn("kind", F.when(fine, _kind()))
         out = link_path_process(out)
     else:
         out = link_by_regex(links, rules)

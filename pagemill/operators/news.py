@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import times, urls
 from ..functions.domain import domain_parse, domain_top
-from ..functions.lang import WORD_LANGS, lang_html, lang_page
-from ..functions.text import blank, let, similarity, trimmed
+from ..functions.lang import WORD_LANGS
+from ..functions.text import blank, built_once, let, similarity, trimmed
 from ..functions.titles import content_title_clean, web_title
 from .durable import checkpointed
 from .page import page_features
@@ -103,6 +103,20 @@ def news_time(url: Column, lang: Column, title: Column, title_pos: Column, as_of
     return F.coalesce(*[F.when(c != "", pair(c, pos, en)) for c, pos, en in tries], pair(F.lit(""), "", no))
 
 
+@built_once
+def _record(origin: str | None, charset: bool) -> list[dict[str, Column]]:
+    """The steps from a page's features to its language, title and time."""
+    from .sites import page_lang
+
+    return [
+        {"_l": page_lang("para_text", charset)},
+        {"lang": F.col("_l.lang"), "_t": news_title(F.col(origin) if origin else F.lit(""), F.col("title"), F.col("_l.lang"))},
+        {"_d": news_time(F.col("url"), F.col("lang"), F.col("_t.title"), F.col("_t.title_pos"), F.col("_as_of"))},
+        {"time": times.format_time(F.col("_d.time"), F.col("_d.english"))},
+        {"time_local": times.parse_time(F.col("time"))},
+    ]
+
+
 def extract_news(pages: DataFrame, origin: str | None = None, as_of: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One news record per page: title, time, content and language, with where each was found.
 
@@ -112,19 +126,16 @@ def extract_news(pages: DataFrame, origin: str | None = None, as_of: Column | No
         pages, "title", "html_lang", "xml_lang", "content_language", "meta_lang", "metas", "scripts", "para_text", "headings", "titled", "datetime",
         "news_text", "content", "content_tag", "content_pre", "content_html",
     )
-    attribute = lang_html(F.col("html_lang"), F.col("xml_lang"), F.col("content_language"), F.col("meta_lang"))
-    charset = F.col("charset") if "charset" in pages.columns else F.lit("UTF-8")
-    f = f.withColumn("_l", lang_page(charset, web_title(F.col("title")), F.col("para_text"), attribute))
-    f = f.withColumns({"lang": F.col("_l.lang"), "_t": news_title(F.col(origin) if origin else F.lit(""), F.col("title"), F.col("_l.lang"))})
-    f = f.withColumn("_d", news_time(F.col("url"), F.col("lang"), F.col("_t.title"), F.col("_t.title_pos"), as_of))
-    f = f.withColumn("time", times.format_time(F.col("_d.time"), F.col("_d.english")))
+    f = f.withColumn("_as_of", F.current_timestamp() if as_of is None else as_of)
+    for step in _record(origin, "charset" in pages.columns):
+        f = f.withColumns(step)
     return f.select(
         "page_id",
         "url",
         *carry,
         "_t.title",
         "_t.title_pos",
-        times.parse_time(F.col("time")).alias("time_local"),
+        "time_local",
         "time",
         "_d.time_pos",
         F.coalesce("content", F.lit("")).alias("content"),

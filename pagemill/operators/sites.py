@@ -9,7 +9,7 @@ from ..functions import urls
 from ..functions.domain import domain_parse, domain_top, meta_from_host
 from ..functions.lang import lang_html, lang_page
 from ..functions.registration import icp_doc, province_name
-from ..functions.text import blank, limited, remove_lines, trimmed
+from ..functions.text import blank, built_once, limited, remove_lines, trimmed
 from ..functions.titles import web_title, web_title_clean
 from .links import CONTENT, LIST, link_types, web_links
 from .page import page_features
@@ -19,12 +19,17 @@ LANGS = ("title", "html_lang", "xml_lang", "content_language", "meta_lang", "lis
 
 def with_lang(features: DataFrame, text: str = "list_text") -> DataFrame:
     """Adds lang and lang_pos. A page without a column charset is read as UTF-8."""
-    attribute = lang_html(F.col("html_lang"), F.col("xml_lang"), F.col("content_language"), F.col("meta_lang"))
-    charset = F.col("charset") if "charset" in features.columns else F.lit("UTF-8")
-    out = features.withColumn("_l", lang_page(charset, web_title(F.col("title")), F.col(text), attribute))
+    out = features.withColumn("_l", page_lang(text, "charset" in features.columns))
     return out.withColumns({"lang": F.col("_l.lang"), "lang_pos": F.col("_l.lang_pos")}).drop("_l")
 
 
+@built_once
+def page_lang(text: str, charset: bool) -> Column:
+    """struct(lang, lang_pos) of a page's features; text: the column whose text is judged."""
+    attribute = lang_html(F.col("html_lang"), F.col("xml_lang"), F.col("content_language"), F.col("meta_lang"))
+    return lang_page(F.col("charset") if charset else F.lit("UTF-8"), web_title(F.col("title")), F.col(text), attribute)
+
+
 def meta_refresh(refresh):
     """Target of a refresh meta's content."""
     return trimmed(F.regexp_extract(blank(refresh), "(?i)url=(.+)", 1))
@@ -64,6 +69,33 @@ PROFILE = {
 }
 
 
+@built_once
+def _profile(top: bool) -> tuple[dict[str, Column], Column]:
+    first = {"_i": icp_doc(F.col("body_text")), "_m": meta_from_host(F.col("asked"), F.col("lang"), F.col("_a")), "_title": web_title(F.col("title"))}
+    known = F.col("_i.icp") != ""
+    domain = domain_top(F.col("_a")) if top else F.col("asked")
+    error = domain_errors(
+        domain, F.col("asked"), F.col("_host"), domain_top(F.col("_d")), urls.port(F.col("url")),
+        F.col("_refresh"), F.col("_refresh_host"), domain_top(F.col("_r")), urls.port(F.col("_refresh")), F.col("failed"), F.col("unparsed"),
+    )
+    return first, F.struct(
+        domain.alias("domain"),
+        F.col("_host").alias("home_host"),
+        domain_top(F.col("_d")).alias("top"),
+        F.regexp_extract("url", "^[a-z]+", 0).alias("scheme"),
+        "lang",
+        "lang_pos",
+        F.when(known, "中国").otherwise(F.col("_m.country")).alias("country"),
+        F.when(known, province_name(F.col("_i.province_short"))).otherwise(F.col("_m.province")).alias("province"),
+        F.col("_m.category").alias("category"),
+        F.col("_i.icp").alias("icp"),
+        F.col("_title").alias("title"),
+        web_title_clean(F.col("_title"), F.col("lang")).alias("title_clean"),
+        limited(trimmed(remove_lines(F.col("description"))), 384).alias("description"),
+        error.alias("error"),
+    )
+
+
 def detect_domain(pages: DataFrame, top: bool = True) -> DataFrame:
     """One profile per page, as of a site's front page: by registrable domain, or by host (top=False, the form for sub-domains).
 
@@ -80,35 +112,8 @@ def detect_domain(pages: DataFrame, top: bool = True) -> DataFrame:
     f = f.withColumns({"_host": urls.hostname(F.col("url")), "_refresh": meta_refresh(F.col("refresh"))})
     f = f.withColumn("_refresh_host", urls.hostname(F.col("_refresh")))
     f = domain_parse(domain_parse(domain_parse(f, "_host", "_d"), "asked", "_a"), "_refresh_host", "_r")
-    f = f.withColumns({"_i": icp_doc(F.col("body_text")), "_m": meta_from_host(F.col("asked"), F.col("lang"), F.col("_a")), "_title": web_title(F.col("title"))})
-    known = F.col("_i.icp") != ""
-    domain = domain_top(F.col("_a")) if top else F.col("asked")
-    error = domain_errors(
-        domain, F.col("asked"), F.col("_host"), domain_top(F.col("_d")), urls.port(F.col("url")),
-        F.col("_refresh"), F.col("_refresh_host"), domain_top(F.col("_r")), urls.port(F.col("_refresh")), F.col("failed"), F.col("unparsed"),
-    )
-    f = f.select(
-        "page_id",
-        "url",
-        "lang",
-        "links",
-        F.struct(
-            domain.alias("domain"),
-            F.col("_host").alias("home_host"),
-            domain_top(F.col("_d")).alias("top"),
-            F.regexp_extract("url", "^[a-z]+", 0).alias("scheme"),
-            "lang",
-            "lang_pos",
-            F.when(known, "中国").otherwise(F.col("_m.country")).alias("country"),
-            F.when(known, province_name(F.col("_i.province_short"))).otherwise(F.col("_m.province")).alias("province"),
-            F.col("_m.category").alias("category"),
-            F.col("_i.icp").alias("icp"),
-            F.col("_title").alias("title"),
-            web_title_clean(F.col("_title"), F.col("lang")).alias("title_clean"),
-            limited(trimmed(remove_lines(F.col("description"))), 384).alias("description"),
-            error.alias("error"),
-        ).alias("p"),
-    )
+    first, profile = _profile(top)
+    f = f.withColumns(first).select("page_id", "url", "lang", "links", profile.alias("p"))
     links = web_links(f, carry=("lang", "p"), outer=True)
     typed = link_types(links, accepted=F.col("url").isNotNull() & F.col("reason").isNull())
     host = urls.hostname(F.col("url"))

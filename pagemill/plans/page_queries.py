@@ -11,7 +11,7 @@ from ..functions.lang import lang_html, lang_page
 from ..functions.text import limited, normalise_space, remove_lines, trimmed
 from ..functions.titles import web_title
 from ..operators import cepf, crawl, dom, links, news, ngram, page, sites
-from ..operators.durable import shared_folder
+from ..operators.durable import removed_at_exit, shared_folder
 from ..sources.pages import decoded_pages
 from ..streaming import pages as streaming
 from . import tree_sql
@@ -660,7 +660,7 @@ def _(spark, d):
 @query("stream_titles", f"SELECT page_id, url, left({edge(f'''regexp_replace({TITLE}, '[\\r\\n]', '', 'g')''')}, 128) AS title FROM pages")
 def _(spark, d):
     """The streaming form: a folder as a stream, features, each URL once, a batch sink."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = removed_at_exit(spark, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
     titled = page.page_features(streaming.stream_pages(spark, d, name="pages.parquet"), "title")
     once = streaming.seen_once(titled.select("page_id", "url", web_title(F.col("title")).alias("title")))
     streaming.run(once, lambda df, k: df.write.mode("append").parquet(f"{base}/out"), f"{base}/checkpoint").awaitTermination()
