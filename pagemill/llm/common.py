@@ -1,17 +1,17 @@
-"""Helpers that the training-data operators share: word rule, shared-folder tables, row numbers."""
+"""Helpers that the training-data operators share: word rule, row numbers and digests, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.durable import shared_folder as shared_dir
+from ..operators.durable import written
 from ..sources.pages import spread
 
+__all__ = ["WORD", "components", "global_row_number", "keyed", "local_roots", "packed", "row_digest", "shared_dir", "table", "unpacked", "words", "written"]
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -24,45 +24,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        found = sc._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            named = found.get()
-        else:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = "file://" + tempfile.mkdtemp(prefix="pagemill-")
-            sc.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors.
-
-    The table is removed when the driver's process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    try:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has gone already
-        pass
-
-
 def global_row_number(df: DataFrame, keys: list[str], out: str, name: str) -> tuple[DataFrame, int]:
     """Adds a gapless row number from 0 in the order of keys (nulls first), and gives the row count.
 
