@@ -173,12 +173,14 @@ def _sided(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= FEW else small
 
 
-def _taken(rows: DataFrame, cuts: DataFrame, same: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """rows with their copies; and once for each row repeated, of whose repeats only some are taken once more, its columns with _whole, _same, _left."""
+def _taken(rows: DataFrame, cuts: DataFrame, same: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """rows with their copies; and once for each row repeated, of whose repeats only some are taken once more, its columns with _whole, _same, _left (None: there are none)."""
     out = rows.join(F.broadcast(cuts) if cuts.count() <= FEW else cuts, ["_k", "size"], "left")
     here = F.struct("_h", "_d1", "_d2")
     cut = F.struct("_ch", "_c1", "_c2")
     out = out.withColumn("copies", F.coalesce(F.col("_whole") + F.when(here <= cut, 1).otherwise(0), F.lit(0)).cast("long"))
+    if cuts.filter("_left < _same").isEmpty():
+        return out, None
     split = F.coalesce((F.col("_left") < F.col("_same")) & (here == cut), F.lit(False))
     some = out.filter(split).groupBy("_k", "size", "_d1", "_d2").agg(*[F.first(c).alias(c) for c in same], *[F.first(c).alias(c) for c in ("_whole", "_same", "_left")])
     return out.filter(~split), some
@@ -197,9 +199,12 @@ def choose(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = 1.5,
     narrow = written(_measures(rows, F.col("source"), F.col("_t"), seed).drop("_t"), "mix")
     goal, cuts = _cuts(narrow, weights, share, most)
     out, some = _taken(narrow, cuts, ["doc_id", "source"])
-    some = _repeat(some, F.col("_same")).withColumn("copies", F.col("_whole") + F.when(F.col("_i") <= F.col("_left"), 1).otherwise(0))
     names = ["doc_id", "source", "size", "_k", "copies"]
-    out = out.select(*names).unionByName(some.select(*names)).join(goal, "_k", "left")
+    out = out.select(*names)
+    if some is not None:
+        some = _repeat(some, F.col("_same")).withColumn("copies", F.col("_whole") + F.when(F.col("_i") <= F.col("_left"), 1).otherwise(0))
+        out = out.unionByName(some.select(*names))
+    out = out.join(goal, "_k", "left")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
@@ -209,8 +214,10 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, share: float = 1.5, mos
     rows = _measures(keyed(docs), row.getField("source"), row.getField(text), seed)
     _, cuts = _cuts(written(rows.withColumn("source", row.getField("source")).drop("_row"), "mix"), weights, share, most)
     out, some = _taken(rows, cuts, ["_row"])
-    times = F.col("_whole") * F.col("_same") + F.col("_left")
-    return unpacked(_repeat(out, F.col("copies")).select("_row").unionByName(_repeat(some, times).select("_row")), docs)
+    out = _repeat(out, F.col("copies")).select("_row")
+    if some is not None:
+        out = out.unionByName(_repeat(some, F.col("_whole") * F.col("_same") + F.col("_left")).select("_row"))
+    return unpacked(out, docs)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
