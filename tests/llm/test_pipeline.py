@@ -49,6 +49,22 @@ def test_stages(spark):
     assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == copies
 
 
+def test_rows_are_known_by_more_than_doc_id(spark, tmp_path):
+    """Unlike texts under one doc_id or none, a repeated row, null and empty texts, an extra column."""
+    rnd = random.Random(13)
+    schema = SCHEMA + ", _row string"
+    a, b, c, d = (say(rnd, 90) for _ in range(4))
+    rows = [(1, a, "en", "s", 1, "x"), (1, b, "en", "s", 1, "x"), (None, c, None, None, None, "x"), (None, d, None, None, None, "y"), (2, a, "en", "s", 1, "x"), (1, b, "en", "s", 1, "x"), (3, None, "en", "s", 0, "x"), (4, "", "en", None, 0, "x")]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [f.split()[0] for f in schema.split(", ")], name
+    one = sorted(map(str, (tuple(r) for r in docs.collect())))
+    assert one == sorted(map(str, [rows[0], rows[1], rows[2], rows[3]]))
+    mixed = [collections.Counter(map(str, (tuple(r) for r in corpus_pipeline.STAGES[3][1](spark, x, "").collect()))) for x in (docs, docs.repartition(3))]
+    assert mixed[0] == mixed[1] and set(mixed[0]) <= set(one) and max(mixed[0].values()) <= 2
+
+
 def test_run(spark, tmp_path):
     rnd = random.Random(12)
     rows = [(k, say(rnd, 90), "en", "s", 1) for k in range(12)]
