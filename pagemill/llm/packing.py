@@ -107,12 +107,12 @@ def _cutter(path: str, size: int, end: int):
     def run(batches):
         from .tokens import word_ids
 
-        ids, last = word_ids(path).ids, np.asarray([end], "<u4").tobytes()
+        many, last = word_ids(path).many, np.asarray([end], "<u4").tobytes()
         pid, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = ids(text or "") + last
+            for doc, raw in zip(batch.column(0).to_pylist(), many(batch.column(1).to_pylist())):
+                raw += last
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at : at + 4 * size]
                     n = len(part) // 4

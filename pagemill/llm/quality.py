@@ -7,7 +7,7 @@ rows get repeated results and there are no ties; an empty table gives no rows; t
 columns are kept as they are (a clash with an output name, __words, __lines or __m replaces the incoming column; keep() loses none).
 Where a column of languages is named, the rule on stop words binds those of LANGS and rows without a language alone.
 
-Repeats in 3-word windows are found by sorting (hash, position) pairs inside the row. The 64-bit
+Repeats in 3-word windows are found by sorting (hash, position) pairs inside the row, unless all its hashes are distinct. The 64-bit
 hash only finds pairs to compare; the words themselves are compared before a window counts.
 """
 
@@ -57,11 +57,9 @@ def _ratio(a: Column, b: Column) -> Column:
 def _repeat_words(w: str) -> Column:
     """Words of array column w that lie in a 3-word window found twice or more."""
     n = F.size(w)
-    pairs = F.sort_array(
-        F.transform(
-            F.slice(F.col(w), F.lit(1), F.greatest(n - 2, F.lit(0))),
-            lambda x, i: F.struct(F.xxhash64(x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)).alias("h"), i.alias("i")),
-        )
+    hashes = F.transform(
+        F.slice(F.col(w), F.lit(1), F.greatest(n - 2, F.lit(0))),
+        lambda x, i: F.xxhash64(x, F.get(F.col(w), i + 1), F.get(F.col(w), i + 2)),
     )
 
     def same(a: Column, b: Column) -> Column:
@@ -82,21 +80,27 @@ def _repeat_words(w: str) -> Column:
             lambda a: a["n"],
         )
 
-    # one-element arrays bind the sorted pairs and the positions once
-    return F.transform(F.transform(F.array(pairs), positions), covered)[0]
+    def count(hs: Column) -> Column:
+        pairs = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        found = F.transform(F.transform(F.array(pairs), positions), covered)[0]
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(found)
+
+    # one-element arrays bind the hashes, the sorted pairs and the positions once
+    return F.transform(F.array(hashes), count)[0]
 
 
 def measures(docs: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
     """docs with the base counts and the ratios that the rules read; stop_ratio is null for languages without stop words here."""
     spoken = F.lit(True) if lang is None else F.coalesce(F.lower(F.col(lang)).isin(*LANGS), F.lit(True))
     t = F.coalesce(F.col(text), F.lit(""))
-    space, symbols = " \t\n\x0b\x0c\r", "#*$%&|<>"
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, space, "")) > 0)
+    symbols = "#*$%&|<>"
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t\n\x0b\x0c\r]"))
     out = docs.withColumns({"__words": words(F.col(text)), "__lines": lines})
     counts = {
         "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.translate(t, space, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, symbols, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        # a search first: most texts hold no symbol, and translate looks at each character
+        "n_symbols": F.when(t.rlike(f"[{symbols}]"), F.length(t) - F.length(F.translate(t, symbols, ""))).otherwise(F.lit(0)).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_lines": F.size("__lines").cast("long"),
         "n_repeat_words": F.coalesce(_repeat_words("__words"), F.lit(0)).cast("long"),

@@ -404,6 +404,25 @@ def test_word_ids_equal_the_tokenizer():
         assert w.ids(text) == w.encode(text), text
 
 
+@pytest.mark.parametrize("block, at_once, cache", [(1 << 23, 10_000, 600_000), (50, 3, 20), (1, 1, 0)])
+def test_a_batch_equals_the_tokenizer(block, at_once, cache, monkeypatch):
+    """Whole batches, small blocks and a full cache; the words of simple texts reach the tokenizer together, not one by one."""
+    from pagemill.llm import tokens
+
+    for name, value in (("BLOCK", block), ("AT_ONCE", at_once), ("CACHE", cache)):
+        monkeypatch.setattr(tokens, name, value)
+    rnd, w = random.Random(14), tokens.WordIds(BPE)
+    mixed = ["".join(rnd.choice("aé'st.,!\n\t\xa0 1½ß-<|") for _ in range(60)) for _ in range(60)]
+    simple = [*[say(rnd, 40) for _ in range(20)], "x" * 300 + " " + "x" * 300, "'s 't ''s 're 'd12", "\xa0a\xa0\xa0b\r\n", " ", "END. End.\tend"]
+    texts = [None, *ODD, *mixed, *simple, None]
+    assert w.many(texts) == [w.encode(t or "") for t in texts]
+    assert w.many([]) == [] and w.many([None, ""]) == [b"", b""] and len(w.cache) <= cache
+    alone, w = [], tokens.WordIds(BPE)
+    monkeypatch.setattr(w, "encode", alone.append)
+    w.many(simple)
+    assert alone == []
+
+
 @pytest.mark.parametrize("few", [True, False])
 def test_lines(spark, few, monkeypatch):
     if not few:
