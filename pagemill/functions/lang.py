@@ -105,11 +105,17 @@ OTHER_SCRIPTS = (("\\p{IsArabic}", "ar"), ("\\p{IsCyrillic}", "ru"), ("\\p{IsDev
 
 
 def lang_page(charset: Column, title: Column, body: Column, html_lang: Column, latin: Column | None = None) -> Column:
-    """struct(lang, lang_pos): charset, then title, then a trusted attribute, then the text of UTF pages."""
+    """struct(lang, lang_pos): charset, then title, then a trusted attribute, then the text of UTF pages.
+
+    Without a model's verdict (`latin`), Latin text with accents on a page that says en is en: function words of a foreign footer or advertisement don't overrule it.
+    """
     by_charset = F.try_element_at(literal_map(BY_CHARSET), blank(charset))
     by_title = lang_title(title, body)
-    from_text = lang_text(body, latin)
     pair = lambda a, b: F.struct(a.alias("lang"), F.lit(b).alias("lang_pos"))
+    from_text = lang_text(body, latin)
+    if latin is None:
+        said = blank(html_lang) == "en"
+        from_text = let(lang_text(body, F.when(said, "en")), lambda r: F.when(said & (r["lang"] == "en") & (r["lang_pos"] == "lingua"), pair(F.lit("en"), "html")).otherwise(r))
     return (
         F.when(by_charset.isNotNull(), pair(by_charset, "charset"))
         .when(by_title != "", pair(by_title, "title"))

@@ -27,6 +27,8 @@ US = MONTH + "[-/.]" + DAY + "[-/.]" + Y2 + "[ ]{0,3}(?:(?:2[0-3]|[01]?\\d):[0-5
 SCRIPT = "(?i)\"[\\w\\-]*pub.*\"[\\t ]{0,4}:[\\t ]{0,4}\"(" + Y4 + "[-/年.]" + MONTH_DAY + MOMENT + ")\""
 EPOCH = "(?i)ct[\\t ]{0,4}=[\\t ]{0,4}\"(1[2-9]\\d{8})\""
 IN_URL = "20[23]\\d/?(?:1[0-2]|0[1-9])/?(?:[12]\\d|3[01]|0[1-9])"
+#: A network address, whose numbers would read as a short or US date.
+IPV4 = "(?<!\\d)(?<!\\d\\.)\\d{1,3}(?:\\.\\d{1,3}){3}(?!\\.?\\d)"
 NAMED = "publish|pubdate|pubtime|release|dctermsdate"
 FORMATS = (
     "yyyy-M-d H:m:s", "yyyy-M-d H:m", "yyyy-M-d", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d", "yyyy.M.d H:m:s", "yyyy.M.d H:m", "yyyy.M.d",
@@ -143,12 +145,18 @@ def every(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(blank(text), F.lit(pattern), F.lit(0))
 
 
+def numbers_apart(text: Column) -> Column:
+    """A text without network addresses, for patterns of dates that have numbers and points alone."""
+    return F.regexp_replace(blank(text), IPV4, " ")
+
+
 def time_by_body(text: Column, lang: Column, title: Column, title_pos: Column, as_of: Column | None = None) -> Column:
     """From all short dates of the body; zh pages without any may show month, day and clock: the year is as_of's."""
     now = F.current_timestamp() if as_of is None else as_of
-    found = let(every(text, SHORT), lambda d: F.when(F.size(d) > 0, pick_dates(text, d, title, title_pos, as_of=now)).otherwise(""))
-    some = F.size(every(text, SHORT)) > 0
-    bare = pick_dates(text, every(text, NO_YEAR), title, title_pos, need_clock=True, as_of=now)
+    plain = numbers_apart(text)
+    found = let(every(plain, SHORT), lambda d: F.when(F.size(d) > 0, pick_dates(text, d, title, title_pos, as_of=now)).otherwise(""))
+    some = F.size(every(plain, SHORT)) > 0
+    bare = pick_dates(text, every(plain, NO_YEAR), title, title_pos, need_clock=True, as_of=now)
     year = F.date_format(now, "yyyy")
     dated = let(
         bare,
@@ -161,7 +169,7 @@ def time_by_lang(text: Column, lang: Column, title: Column, title_pos: Column, a
     """struct(time, english): English and US forms for pages that aren't zh (a zh form would have matched before)."""
     en1, en2 = every(text, ENGLISH_1), every(text, ENGLISH_2)
     en = F.transform(F.when(F.size(en1) > 0, en1).otherwise(en2), english)
-    us = every(text, US)
+    us = every(numbers_apart(text), US)
     use = F.size(en) > 0
     time = F.when(use, pick_dates(text, en, title, title_pos, is_english=True, as_of=as_of)).when(F.size(us) > 0, pick_dates(text, us, title, title_pos, as_of=as_of)).otherwise("")
     other = blank(lang) != "zh"

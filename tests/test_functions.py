@@ -166,6 +166,17 @@ def test_time_by_body(spark, body, language, found):
     assert one(spark, got) == found
 
 
+def test_addresses_of_hosts_are_no_dates(spark):
+    none, now = F.lit(""), F.lit(NOW).cast("timestamp")
+    us = lambda t: one(spark, times.time_by_lang(F.lit(t), F.lit("en"), none, none, now)["time"])
+    assert us("seen at 14.14.156.110 and 91.12.248.113") == ""
+    assert us("seen at 14.14.156.110 on 8/30/2022 11:11:11.") == "8/30/2022 11:11:11"
+    short = lambda t, l: one(spark, times.time_by_body(F.lit(t), F.lit(l), none, none, now))  # noqa: E731, E741
+    assert short("host 23.1.15.7 is down", "en") == ""
+    assert short("host 23.1.15.7 is down, 23.1.16", "en") == "23.1.16"
+    assert short("host 10.9.1.2 10:30 起", "zh") == ""
+
+
 def test_pick_dates_near_the_title(spark):
     body = F.lit("2020-01-01 10:00 " + "far " * 30 + "My title 2021-02-03 11:12:13")
     got = times.pick_dates(body, times.every(body, times.SHORT), F.lit("My title"), F.lit("headline"))

@@ -136,6 +136,15 @@ def test_extract_news(spark):
     assert (got[2]["title"], got[2]["content"], got[3]["time"]) == ("", "", "")
 
 
+FOOTED = '<html lang="{}"><title>Stin anor</title><p>Stin anor inreea.<div>Die chlich ist als ungüach zu eniegeß enere und der</div><footer>Répaaux la éaux pas è les des enouch on éréle</footer>'
+
+
+def test_a_foreign_footer_leaves_the_language_that_the_page_says(spark):
+    rows = [(1, "https://a.example.com/1", FOOTED.format("en")), (2, "https://a.example.com/2", FOOTED.format("")), (3, "https://a.example.com/3", FOOTED.format("es"))]
+    got = {r["page_id"]: r["lang"] for r in news.extract_news(spark.createDataFrame(rows, streaming.PAGES)).collect()}
+    assert got[1] == "en" and got[2] in ("fr", "de") and got[3] == "es"
+
+
 def test_title_cascade_order(spark):
     html = '<title>Big storm on the coast</title><meta property="og:title" content="Big storm on coast"><body><h1>Storm: big, on the coast</h1><p>x</p></body>'
     pages = spark.createDataFrame([(1, "u", html, "storm big on the coast"), (2, "u", html, "")], "page_id long, url string, html string, anchor string")
