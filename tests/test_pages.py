@@ -231,6 +231,12 @@ def test_get_news_follows_inside_the_domain_alone(spark):
     ]
 
 
+def test_get_news_of_a_page_with_a_foreign_footer(spark):
+    rows = [(1, "https://a.example.com/1", jump("https://b.example.com/2")), (2, "https://b.example.com/2", FOOTED.format("en"))]
+    got = {r["page_id"]: (r["url"], r["lang"]) for r in news.get_news(spark.createDataFrame(rows, streaming.PAGES)).collect()}
+    assert got == {1: ("https://b.example.com/2", "en"), 2: ("https://b.example.com/2", "en")}
+
+
 def test_domain_errors(spark):
     rows = [
         (1, "https://www.example.com/", jump("https://b.example.com/"), "example.com", False),
