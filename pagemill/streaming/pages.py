@@ -21,11 +21,11 @@ def stream_pages(spark: SparkSession, folder: str, schema: str = PAGES, name: st
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def seen_once(pages: DataFrame, event_time: str | None = None, within: str = "1 day") -> DataFrame:
-    """Each URL once: for ever, or within a watermark where a time column bounds the state."""
+def seen_once(pages: DataFrame, event_time: str | None = None, within: str = "1 day", by: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Each URL (or what `by` names) once: for ever, or within a watermark where a time column bounds the state."""
     if event_time is None:
-        return pages.dropDuplicates(["url"])
-    return pages.withWatermark(event_time, within).dropDuplicatesWithinWatermark(["url"])
+        return pages.dropDuplicates(list(by))
+    return pages.withWatermark(event_time, within).dropDuplicatesWithinWatermark(list(by))
 
 
 def run(stream: DataFrame, process: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import cepf, crawl, dom, links, news, ngram, page, sites
+from pagemill.plans import all_queries
 from pagemill.sources.pages import RequestOptions, decoded_pages, http_do, http_get
 from pagemill.streaming import pages as streaming
 
@@ -197,6 +198,13 @@ def test_stream(spark, tmp_path):
     assert got == {"u0": 1, "u1": 1, "u2": 1}
 
 
+def test_stream_titles_has_pages_that_share_a_url(spark, tmp_path):
+    rows = [(k, f"u{k % 3}", f"<title>t{k}</title>") for k in range(6)]
+    spark.createDataFrame(rows, streaming.PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in all_queries()["stream_titles"](spark, str(tmp_path)).collect())
+    assert got == [(k, f"u{k % 3}", f"t{k}") for k in range(6)]
+
+
 def test_site_profile(spark):
     html = '<html lang="fr"><head><title>Accueil - Site</title><meta name=description content="d"></head><body><a href="/un">x</a>京ICP备 123号</body></html>'
     r = sites.detect_domain(spark.createDataFrame([(1, "https://www.example.fr/", html)], "page_id long, url string, html string")).first()
