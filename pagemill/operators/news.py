@@ -14,6 +14,7 @@ from .durable import checkpointed
 from .page import page_features
 
 REFRESH = "(?i)http-equiv\\s*=\\s*[\"']?\\s*refresh"
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 QUOTED = "(?i)\"title\"[\\t ]{0,4}:[\\t ]{0,4}\"(.*)\""
 
 
@@ -48,9 +49,10 @@ def title_by_meta(metas: Column, title: Column, least: Column) -> Column:
 
 
 def title_by_script(scripts: Column, title: Column, least: Column) -> Column:
-    """The last quoted "title" in a script that is similar to the page's."""
+    """The last quoted "title" in a script that is similar to the page's. Scripts may hold character references, which stand for signs: it is compared without them too."""
+    near = lambda q: F.greatest(similarity(q, title), similarity(F.regexp_replace(q, REFERENCE, ""), title)) > least
     quoted = F.transform(_strings(scripts), lambda s: trimmed(F.regexp_extract(F.regexp_replace(s, "[\\r\\n]+", " "), QUOTED, 1)))
-    return F.coalesce(F.try_element_at(F.filter(quoted, lambda q: (q != "") & (similarity(q, title) > least)), F.lit(-1)), F.lit(""))
+    return F.coalesce(F.try_element_at(F.filter(quoted, lambda q: (q != "") & near(q)), F.lit(-1)), F.lit(""))
 
 
 def title_by_heading(headings: Column, title: Column, least: Column) -> Column:

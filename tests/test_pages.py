@@ -153,6 +153,12 @@ def test_title_cascade_order(spark):
     assert got == {1: ("Storm: big, on the coast", "headline"), 2: ("Big storm on coast", "meta")}
 
 
+def test_script_titles_with_character_references(spark):
+    given = "array('\"title\": \"Que&amp;&amp;&amp; do\"', 'x = \"title\": \"Other words\"')"
+    title = spark.range(1).select(news.title_by_script(F.expr(given), F.lit("Que&&& do"), F.lit(0.5)).alias("t")).first()["t"]
+    assert title == "Que&amp;&amp;&amp; do"
+
+
 def test_web_links_keep_the_longest_title(spark):
     html = '<body><a href="/a">one</a><a href="/a">longer one</a><a href="">x</a><a href="/b"></a><a href="/c.pdf">file</a><a href="http://other.org/">other site</a></body>'
     f = page.page_features(spark.createDataFrame([(1, "http://www.example.com/x", html), (2, None, html)], "page_id long, url string, html string"), "links")
