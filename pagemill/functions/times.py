@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -188,6 +190,16 @@ def format_time(time: Column, is_english: Column) -> Column:
     return let(out, lambda x: F.when(x.contains(":") & ~x.rlike("[时点]"), F.regexp_replace(x, "分\\z", "")).otherwise(x))
 
 
+def shape(form: str) -> str:
+    """A pattern that every string has which a format of FORMATS reads: numbers of any width, signed years, months by any letters.
+
+    A format that doesn't fit costs an exception, a pattern next to nothing.
+    """
+    parts = [m.group() for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", form)]
+    known = {"yyyy": "[+\\-]?\\d{4,}", "MMMM": "\\D+", "MMM": "\\D+", "MM": "\\d{2}", "dd": "\\d{2}"}
+    return "(?i)\\A" + "".join(known.get(p) or ("\\d+" if p in "MdHms" else re.escape(p.strip("'"))) for p in parts) + "\\z"
+
+
 def parsed(time: Column) -> Column:
     """Timestamp of a time string, by the first format that fits; null if none does. Zone tails are honoured."""
     t = trimmed(time)
@@ -196,7 +208,7 @@ def parsed(time: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(plain, "(\\d)(?:st|nd|rd|th)", "$1"), " {2,}", " ")
     plain = F.regexp_replace(F.regexp_replace(plain, "[点时]", ":"), "[分](\\d)", ":$1")
     plain = F.regexp_replace(plain, "[:分秒]+\\z", "")
-    return let(plain, lambda p: F.coalesce(*[F.try_to_timestamp(p, F.lit(f)) for f in FORMATS], zoned))
+    return let(plain, lambda p: F.coalesce(*[F.when(p.rlike(shape(f)), F.try_to_timestamp(p, F.lit(f))) for f in FORMATS], zoned))
 
 
 def parse_time(time: Column) -> Column:

@@ -193,6 +193,15 @@ def test_parse_time(spark, given, found):
     assert one(spark, times.parse_time(F.lit(given))) == found
 
 
+def test_formats_are_tried_where_they_can_fit_alone(spark):
+    given = ["2024-05-06 7:8:9", "2024-5-6", "2024/05/06 07:08", "2024.5.6", "2024年5月6日7:08", "2024-05-06t07:08:09", "20240506", "6 may 2024", "MAY 6 2024 07:08", "6 September 2024", "5/6/2024", "2024-13-01", "6 Mai 2024", ""]
+    df = spark.createDataFrame([(t,) for t in given], "t string")
+    plain = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in times.FORMATS], F.try_to_timestamp("t"))
+    fits = sum((F.col("t").rlike(times.shape(f)).cast("int") for f in times.FORMATS), F.lit(0))
+    for r in df.select("t", times.parsed(F.col("t")).alias("got"), plain.alias("want"), fits.alias("fits")).collect():
+        assert r["got"] == r["want"] and r["fits"] <= 2, r
+
+
 @pytest.mark.parametrize(
     "url, title, language, kind",
     [
