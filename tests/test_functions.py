@@ -1,5 +1,7 @@
 """Scalar functions on cases whose results follow from their definitions by hand."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,18 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
+def test_a_body_is_searched_once_for_registrations(spark):
+    df = spark.createDataFrame([("a 粤 ICP\n备 123 号",), ("x 京公网安备 11\t沪B2-1",), ("",), (None,)], "body string").select(registration.icp_doc(F.col("body")).alias("i")).select("i.*")
+    assert [tuple(r) for r in df.collect()] == [("粤ICP备123", "粤"), ("京公网安备11", "京"), ("", ""), ("", "")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 2 and plan.count("body#") < 8
+    given = [("".join(random.Random(k).choices(["粤", "京", "台", "ICP", "icp", "备案", "证", "公网安备", "B2-", "b2-", "12", " "], k=12)),) for k in range(600)]
+    each = [F.struct(F.regexp_extract("t", p, 0).alias("icp"), F.regexp_extract("t", p, 1).alias("short")) for p in (registration.ICP, registration.POLICE, registration.TELECOM)]
+    want = F.coalesce(F.get(F.filter(F.array(*each), lambda x: x["icp"] != ""), 0), F.struct(F.lit("").alias("icp"), F.lit("").alias("short")))
+    got = spark.createDataFrame(given, "t string").select(registration.icp_from_text(F.col("t")).alias("got"), want.alias("want")).collect()
+    assert all(tuple(r["got"]) == tuple(r["want"]) for r in got) and sum(r["want"][0] != "" for r in got) > 30
+
+
 @pytest.mark.parametrize(
     "given, icp, province",
     [
