@@ -7,6 +7,8 @@ while it has at most FEW_GRAMS rows; beyond, the distinct grams of each text are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ from .durable import checkpointed
 #: Rows of a model that is sent to all tasks (some 100 bytes each).
 FEW_GRAMS = 500_000
 BITS = np.uint64(21)
+#: Characters that are cut at once (some 50 bytes of memory each).
+MOST_CHARS = 1 << 20
 
 
 def _plain(text: Column) -> Column:
@@ -37,6 +41,28 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return text[:-2][whole], code[whole]
 
 
+def in_pieces(texts: list[str | None], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What trigrams() gives, in parts of a bounded number of characters: whole short texts together, long ones in windows that share two characters."""
+    most = MOST_CHARS if most is None else most
+    rows, held, size = [], [], 0
+
+    def cut():
+        at, code = trigrams(held)
+        return np.array(rows, np.int64)[at], code
+
+    for k, t in enumerate(texts):
+        for start in range(0, max(len(t or "") - 2, 0), most):
+            window = t[start : start + most + 2]
+            if held and size + len(window) > most:
+                yield cut()
+                rows, held, size = [], [], 0
+            rows.append(k)
+            held.append(window)
+            size += len(window)
+    if held:
+        yield cut()
+
+
 def _gram(code: int) -> str:
     return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
 
@@ -52,12 +78,12 @@ def train(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
     def run(batches):
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            at, code = trigrams(batch.column(1).to_pylist())
             names, which = np.unique(np.array(langs, dtype=object).astype(str), return_inverse=True)
-            for k, name in enumerate(names):
-                grams, n = np.unique(code[which[at] == k], return_counts=True)
-                rows = [[str(name)] * len(grams), [_gram(int(g)) for g in grams], n]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64())], names=["lang", "gram", "n"])
+            for at, code in in_pieces(batch.column(1).to_pylist()):
+                for k in np.unique(which[at]):
+                    grams, n = np.unique(code[which[at] == k], return_counts=True)
+                    rows = [[str(names[k])] * len(grams), [_gram(int(g)) for g in grams], n]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int64())], names=["lang", "gram", "n"])
 
     known = texts.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), _plain(F.col(text)))
     counts = known.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -88,28 +114,31 @@ def lang_ngram(texts: DataFrame, model: DataFrame, key: str, text: str = "text",
             codes, gains = sent.value
             for batch in batches:
                 n = batch.num_rows
-                at, code = trigrams(batch.column(1).to_pylist())
-                found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                hit = codes[found] == code
-                score = np.bincount(at, minlength=n)[:, None] * base
-                for k in range(len(langs)):
-                    score[:, k] += np.bincount(at[hit], gains[found[hit], k], n)
-                best = np.round(score, 6).argmax(1)
-                some = np.bincount(at[hit], minlength=n) > 0
+                grams, hits, gained = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, len(langs)))
+                for at, code in in_pieces(batch.column(1).to_pylist()):
+                    found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                    hit = codes[found] == code
+                    grams += np.bincount(at, minlength=n)
+                    at, found = at[hit], found[hit]
+                    hits += np.bincount(at, minlength=n)
+                    for k in range(len(langs)):
+                        gained[:, k] += np.bincount(at, gains[found, k], n)
+                best = np.round(grams[:, None] * base + gained, 6).argmax(1)
+                some = hits > 0
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([langs[b] if s else "" for b, s in zip(best, some)], pa.string())], names=[key, "lang"])
 
         return plain.mapInArrow(run, f"`{key}` {kind}, lang string")
 
     def cut(batches):
         for batch in batches:
-            at, code = trigrams(batch.column(1).to_pylist())
-            order = np.lexsort((code, at))
-            at, code = at[order], code[order]
-            first = np.ones(len(at), bool)
-            first[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
-            start = np.flatnonzero(first)
-            n = np.diff(np.append(start, len(at)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[start])), pa.array([_gram(int(c)) for c in code[start]], pa.string()), pa.array(n, pa.int64())], names=["_id", "gram", "n"])
+            for at, code in in_pieces(batch.column(1).to_pylist()):
+                order = np.lexsort((code, at))
+                at, code = at[order], code[order]
+                first = np.ones(len(at), bool)
+                first[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
+                start = np.flatnonzero(first)
+                n = np.diff(np.append(start, len(at)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[start])), pa.array([_gram(int(c)) for c in code[start]], pa.string()), pa.array(n, pa.int64())], names=["_id", "gram", "n"])
 
     model = checkpointed(model)
     wide = model.groupBy("gram").pivot("lang", langs).agg(F.first(F.col("gain") - F.col("unseen")))

@@ -279,6 +279,15 @@ def test_trigram_model_by_either_way(spark):
     assert ngram.lang_ngram(df, model.limit(0), "k").filter("lang <> ''").count() == 0
 
 
+def test_trigrams_of_a_batch_are_cut_in_bounded_pieces():
+    texts = [None, "", "ab", "abcabcabc" * 7, "x", "日本語の文章" * 30, "the end", "abc"]
+    whole = collections.Counter(zip(*(x.tolist() for x in ngram.trigrams(texts))))
+    for most in (1, 2, 5, 50, 10**6):
+        parts = list(ngram.in_pieces(texts, most))
+        assert sum((collections.Counter(zip(at.tolist(), code.tolist())) for at, code in parts), collections.Counter()) == whole
+        assert max(len(code) for _, code in parts) <= most
+
+
 def test_bodies_become_pages(spark):
     rows = [
         (1, "新闻".encode("gbk"), "text/html; charset=gb2312"), (2, "é".encode("latin-1"), "text/html; charset=iso-8859-1"), (3, "plain".encode(), "text/plain"), (4, b"\xff\xfe\xfd", "text/html; charset=utf-8"),
