@@ -95,6 +95,16 @@ def random_page(rnd, depth=0):
     return "".join(out)
 
 
+def test_features_do_only_what_is_asked_for(monkeypatch):
+    def number(root):
+        raise AssertionError("numbered")
+
+    monkeypatch.setattr(dom, "number", number)
+    monkeypatch.setattr(page, "number", number)
+    got = page.features_of("<title>t</title><script>x</script><p>a<p>b<a href=u>c</a>", {"body_text", "links"})
+    assert got["body_text"] == "abc" and got["links"] == [{"pos": 0, "href": "u", "title": "c"}] and "para_text" not in got
+
+
 def test_prefix_sums_equal_recursion(spark):
     rnd = random.Random(1)
     pages = [(k, random_page(rnd)) for k in range(60)] + [(99, ""), (100, None)]
